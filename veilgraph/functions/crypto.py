@@ -46,6 +46,11 @@ def unseal(blob: Column, key: DataFrame) -> Column:
     return F.try_aes_decrypt(blob, _value(key), F.lit("GCM")).cast("string")
 
 
+def unseal_or_fail(blob: Column, key: DataFrame) -> Column:
+    """Plain text of a blob; a tag that does not verify fails the job."""
+    return F.aes_decrypt(blob, _value(key), F.lit("GCM")).cast("string")
+
+
 def keyed_token(label: Column, key: DataFrame) -> Column:
     """Hex SHA-256 of key and label: the search token of a label."""
     return F.sha2(F.concat(_value(key), F.encode(label, "UTF-8")), 256)

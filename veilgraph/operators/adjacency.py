@@ -45,6 +45,13 @@ def neighbours(edges: DataFrame, piece_rows: int = JOIN_ROWS) -> DataFrame:
     )
 
 
+def owner_pieces(ids: DataFrame, nodes: DataFrame, piece_rows: int = JOIN_ROWS) -> DataFrame:
+    """(id, piece) for every distinct asked id that is a node: the join keys of its neighbour rows."""
+    known = ids.select("id").distinct().join(nodes.select("id", "degree"), "id")
+    count = piece_count(F.col("degree"), piece_rows)
+    return known.select("id", F.explode(F.sequence(F.lit(0).cast("bigint"), count - 1)).alias("piece"))
+
+
 def build_adjacency(edges: DataFrame, list_rows: int = LIST_ROWS) -> DataFrame:
     """(id, piece, nbrs): sorted neighbour lists, in pieces of about ``list_rows`` entries."""
     entry = F.struct("nbr", "lbl")

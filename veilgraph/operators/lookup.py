@@ -75,9 +75,20 @@ def adjacency_or_empty(nodes: DataFrame, adjacency: DataFrame) -> DataFrame:
     )
 
 
-def restrict_to_frontier(rows: DataFrame, frontier: DataFrame, on: list[str]) -> DataFrame:
-    """Keep the rows of requested ids."""
-    return rows.join(frontier.select(*on).distinct(), on, "left_semi")
+def requested_pieces(blocks: DataFrame, requests: DataFrame, key: str) -> DataFrame:
+    """(key, node_id, piece) of the requested ones among the fetched ``blocks`` (key, node_id, pieces)."""
+    own = blocks.select(key, "node_id", "pieces").distinct().join(
+        requests.select(key, "node_id"), [key, "node_id"], "left_semi"
+    )
+    return own.select(key, "node_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("pieces") - 1)).alias("piece"))
+
+
+def restrict_to_frontier(rows: DataFrame, pieces: DataFrame, on: list[str]) -> DataFrame:
+    """Keep the rows of requested owners.
+
+    ``on`` names the owner and its piece, so the rows of a hub come from many join groups.
+    """
+    return rows.join(pieces.select(*on), on, "left_semi")
 
 
 def exclude_visited(candidates: DataFrame, visited: DataFrame, on: list[str]) -> DataFrame:

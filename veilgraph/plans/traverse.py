@@ -19,9 +19,15 @@ from veilgraph.functions.arithmetic import doubled_size, padded_size, piece_coun
 from veilgraph.functions.crypto import Keys
 from veilgraph.operators.adjacency import JOIN_ROWS, neighbours
 from veilgraph.operators.graph import Graph
-from veilgraph.operators.lookup import exclude_visited, fetch_lists, lookup_padded, restrict_to_frontier
+from veilgraph.operators.lookup import (
+    exclude_visited,
+    fetch_lists,
+    lookup_padded,
+    requested_pieces,
+    restrict_to_frontier,
+)
 from veilgraph.operators.padding import decoy_copies, pad_table
-from veilgraph.operators.protect import LIST_RECORD, Store, require_all_opened, unprotect_rows
+from veilgraph.operators.protect import LIST_RECORD, Store, open_rows
 from veilgraph.operators.skew import with_positions
 from veilgraph.runtime import save, save_bucketed
 
@@ -168,13 +174,16 @@ def reachable_pairs(pairs: DataFrame, nodes: DataFrame, table: DataFrame, hops:
     )
 
 
-def expand_frontier(lists: DataFrame, frontier: DataFrame, visited: DataFrame, key: str, keys: Keys) -> DataFrame:
-    """One level over fetched list pieces (key, node_id, adj_ct): distinct unvisited neighbours (key, node_id).
+def expand_frontier(
+    blocks: DataFrame, lists: DataFrame, frontier: DataFrame, visited: DataFrame, key: str, keys: Keys
+) -> DataFrame:
+    """One level: distinct unvisited neighbours (key, node_id) of the frontier (key, node_id).
 
-    Only requested nodes are expanded; decoys were decrypted for the observer.
+    ``blocks`` and ``lists`` are what was fetched, decoys included; only
+    requested nodes are expanded.
     """
-    opened = require_all_opened(unprotect_rows(lists, keys, "adj_ct", LIST_RECORD, into="nbrs"))
-    wanted = restrict_to_frontier(opened, frontier, [key, "node_id"])
+    opened = open_rows(lists, keys, "adj_ct", LIST_RECORD, into="nbrs")
+    wanted = restrict_to_frontier(opened, requested_pieces(blocks, frontier, key), [key, "node_id", "piece"])
     nbrs = wanted.select(key, F.explode("nbrs.nbr").alias("node_id")).distinct()
     return exclude_visited(nbrs, visited, [key, "node_id"])
 
@@ -209,7 +218,7 @@ def bfs_levels(
             batch = frontier.join(store.nodes.select("node_id", "pieces"), "node_id")
             blocks = save(decoy_copies(batch, "seed", ["node_id"], doubled_size), "fetched")
             lists = fetch_lists(blocks, "seed", store)
-        fresh = save(expand_frontier(lists, frontier, visited, "seed", keys), "frontier")
+        fresh = save(expand_frontier(blocks, lists, frontier, visited, "seed", keys), "frontier")
         read = blocks.groupBy("seed").agg(F.count(F.lit(1)).alias("blocks_fetched"))
         new = fresh.groupBy("seed").agg(F.count(F.lit(1)).alias("new_nodes"))
         reports.append(

@@ -42,7 +42,8 @@ from veilgraph.operators.protect import (
     protect_adjacency,
     protect_edges,
     protect_nodes,
-    require_all_opened,
+   
+    open_rows,
     unprotect_rows,
 )
 from veilgraph.runtime import save
@@ -124,21 +125,21 @@ def protect_stats_query(w):
 @query("protect_nodes", graph_sql("SELECT id, label, 0 AS attrs FROM nodes"))
 def protect_nodes_query(w):
     blobs = save(protect_nodes(w.nodes.select("id", "label"), w.keys), "blobs")
-    rows = require_all_opened(unprotect_rows(blobs, w.keys, "ct", NODE_RECORD))
+    rows = open_rows(blobs, w.keys, "ct", NODE_RECORD)
     return rows.select("record.id", "record.label", F.size("record.attrs").alias("attrs"))
 
 
 @query("protect_edges", graph_sql("SELECT u AS src, v AS dst, label, 0 AS attrs FROM edges"))
 def protect_edges_query(w):
     blobs = save(protect_edges(w.edges.select("u", "v", "label"), w.keys), "blobs")
-    rows = require_all_opened(unprotect_rows(blobs, w.keys, "ct", EDGE_RECORD))
+    rows = open_rows(blobs, w.keys, "ct", EDGE_RECORD)
     return rows.select("record.src", "record.dst", "record.label", F.size("record.attrs").alias("attrs"))
 
 
 @query("protect_adjacency", graph_sql(f"SELECT id, {piece('nbr', 'degree', LIST_ROWS)} AS piece, nbr, lbl FROM sym"))
 def protect_adjacency_query(w):
     blobs = save(protect_adjacency(build_adjacency(w.edges), w.keys), "blobs")
-    rows = require_all_opened(unprotect_rows(blobs, w.keys, "adj_ct", LIST_RECORD, "nbrs"))
+    rows = open_rows(blobs, w.keys, "adj_ct", LIST_RECORD, "nbrs")
     return expand_lists(rows).withColumnRenamed("node_id", "id")
 
 
@@ -314,5 +315,5 @@ def build_adjacency_query(w):
 
 @query("expand_adjacency", graph_sql("SELECT id, nbr, lbl FROM sym"))
 def expand_adjacency(w):
-    rows = require_all_opened(unprotect_rows(w.store.adjacency, w.keys, "adj_ct", LIST_RECORD, "nbrs"))
+    rows = open_rows(w.store.adjacency, w.keys, "adj_ct", LIST_RECORD, "nbrs")
     return expand_lists(rows).select(F.col("node_id").alias("id"), "nbr", "lbl")

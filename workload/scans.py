@@ -13,8 +13,8 @@ from veilgraph.operators.protect import (
     LIST_RECORD,
     NODE_RECORD,
     protect_edges,
-    require_all_opened,
-    unprotect_rows,
+   
+    open_rows,
 )
 from veilgraph.plans.report import filter_runs
 from veilgraph.runtime import new_path
@@ -145,8 +145,8 @@ def sink_protected_nodes(w):
     replace_dataset(rows, path, "twin")
     replace_dataset(rows, path, "trade")  # the whole dataset again; the twin stays
     back = w.spark.read.parquet(path)
-    nodes = require_all_opened(unprotect_rows(back.filter("piece = 0"), w.keys, "ct", NODE_RECORD))
-    lists = require_all_opened(unprotect_rows(back.filter("length(adj_ct) > 0"), w.keys, "adj_ct", LIST_RECORD, "nbrs"))
+    nodes = open_rows(back.filter("piece = 0"), w.keys, "ct", NODE_RECORD)
+    lists = open_rows(back.filter("length(adj_ct) > 0"), w.keys, "adj_ct", LIST_RECORD, "nbrs")
     sizes = lists.groupBy("dataset_id", "node_id").agg(F.sum(F.size("nbrs")).alias("degree"))
     return nodes.join(sizes, ["dataset_id", "node_id"]).select(
         "dataset_id", F.col("record.id").alias("id"), F.col("record.label").alias("label"), "degree"
@@ -160,7 +160,7 @@ def sink_protected_edges(w):
     path = new_path(w.spark, "sink")
     kept = with_endpoints(w.edges.select("u", "v", "label"), alive, "u", "v")
     replace_dataset(protect_edges(kept, w.keys), path, "trade")
-    back = require_all_opened(unprotect_rows(w.spark.read.parquet(path), w.keys, "ct", EDGE_RECORD))
+    back = open_rows(w.spark.read.parquet(path), w.keys, "ct", EDGE_RECORD)
     return back.select("dataset_id", "record.src", "record.dst", "record.label")
 
 
