@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,7 +28,7 @@ class Keys:
     @staticmethod
     def of(spark: SparkSession, content: bytes, token: bytes, index: bytes) -> "Keys":
         def holder(key: bytes) -> DataFrame:
-            return spark.createDataFrame([(bytearray(key),)], "key binary")
+            return spark.createDataFrame(pa.table({"key": pa.array([key], pa.binary())}))
 
         return Keys(holder(content), holder(token), holder(index))
 
@@ -51,6 +52,16 @@ def unseal_or_fail(blob: Column, key: DataFrame) -> Column:
     return F.aes_decrypt(blob, _value(key), F.lit("GCM")).cast("string")
 
 
+def evaluated_once(value: Column, name: str) -> Column:
+    """``value`` as a column that later filters cannot copy.
+
+    A filter on a plain column is moved below its projection together with the
+    column's expression, so the blob would be decrypted in the filter and again in
+    the projection.  Generated rows are not moved past.
+    """
+    return F.explode(F.array(value)).alias(name)
+
+
 def keyed_token(label: Column, key: DataFrame) -> Column:
     """Hex SHA-256 of key and label: the search token of a label."""
     return F.sha2(F.concat(_value(key), F.encode(label, "UTF-8")), 256)

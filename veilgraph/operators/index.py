@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilgraph.functions.crypto import Keys, fixed_width, keyed_order, keyed_token, seal, unseal
+from veilgraph.functions.crypto import Keys, evaluated_once, fixed_width, keyed_order, keyed_token, seal, unseal
 from veilgraph.operators.padding import dummy_entries, pad_table
 from veilgraph.operators.skew import SALTS, filter_by_keys, with_positions
 from veilgraph.runtime import save
@@ -65,7 +65,8 @@ def build_label_index(histogram: DataFrame, keys: Keys) -> LabelIndex:
 def open_entries(entries: DataFrame, keys: Keys) -> DataFrame:
     """Decrypt index entries and keep the real ones: ``ct`` becomes kind, id, u, v."""
     kept = [c for c in entries.columns if c != "ct"]
-    opened = entries.select(*kept, F.from_json(unseal(F.col("ct"), keys.index), ENTRY).alias("_e"))
+    record = F.from_json(unseal(F.col("ct"), keys.index), ENTRY)
+    opened = entries.select(*kept, evaluated_once(record, "_e"))
     return opened.filter(F.col("_e.kind").isin("v", "e")).select(*kept, "_e.kind", "_e.id", "_e.u", "_e.v")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilgraph.functions.arithmetic import piece_count
-from veilgraph.functions.crypto import Keys, seal, unseal, unseal_or_fail
+from veilgraph.functions.crypto import Keys, evaluated_once, seal, unseal, unseal_or_fail
 from veilgraph.operators.adjacency import LIST_ROWS, build_adjacency
 from veilgraph.operators.graph import Graph
 from veilgraph.operators.skew import with_positions
@@ -56,7 +56,7 @@ class Opened:
 
 def unprotect_rows(blobs: DataFrame, keys: Keys, column: str, schema: str, into: str = "record") -> Opened:
     """Decrypt ``column`` and parse it; a blob that does not verify goes to ``rejected``."""
-    opened = blobs.withColumn("_text", unseal(F.col(column), keys.content))
+    opened = blobs.select("*", evaluated_once(unseal(F.col(column), keys.content), "_text"))
     good = opened.filter(F.col("_text").isNotNull())
     return Opened(
         rows=good.withColumn(into, F.from_json("_text", schema)).drop("_text", column),
@@ -70,7 +70,8 @@ def open_rows(blobs: DataFrame, keys: Keys, column: str, schema: str, into: str
     The check is part of the decryption, so nothing is read twice.
     """
     text = unseal_or_fail(F.col(column), keys.content)
-    return blobs.withColumn(into, F.from_json(text, schema)).drop(column)
+    kept = [c for c in blobs.columns if c != column]
+    return blobs.select(*kept, evaluated_once(F.from_json(text, schema), into))
 
 
 @dataclass(frozen=True)
