@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from veilgraph.functions.crypto import Keys, evaluated_once, fixed_width, keyed_order, keyed_token, seal, unseal
 from veilgraph.operators.padding import dummy_entries, pad_table
-from veilgraph.operators.skew import SALTS, filter_by_keys, with_positions
+from veilgraph.operators.skew import filter_by_keys, join_small, with_positions
 from veilgraph.runtime import save
 
 ENTRY = "kind string, id bigint, u bigint, v bigint, pad string"
@@ -73,16 +73,11 @@ def open_entries(entries: DataFrame, keys: Keys) -> DataFrame:
 def fetch_entries(index: LabelIndex, labels: DataFrame, keys: Keys) -> DataFrame:
     """All index rows (label, slot, ct) of the asked labels, real and dummy.
 
-    Joined on (token, slot group): the rows of a label that fills a third of
-    the index come from many join groups.
+    A label may fill a third of the index: the short list of asked tokens is
+    broadcast, the index is not shuffled.
     """
-    asked = labels.select("label").distinct().select(
-        "label",
-        keyed_token(F.col("label"), keys.token).alias("token"),
-        F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"),
-    )
-    rows = index.entries.withColumn("_salt", F.pmod("slot", F.lit(SALTS)).cast("int"))
-    return rows.join(asked, ["token", "_salt"]).select("label", "slot", "ct")
+    asked = labels.select("label").distinct().withColumn("token", keyed_token(F.col("label"), keys.token))
+    return join_small(index.entries, save(asked, "asked-labels"), ["token"]).select("label", "slot", "ct")
 
 
 def index_lookup(index: LabelIndex, labels: DataFrame, keys: Keys) -> DataFrame:
@@ -105,7 +100,7 @@ def rebuild_label_index(old: LabelIndex, histogram: DataFrame, touched: DataFram
     """
     labels = save(touched.select("label").distinct(), "touched-labels")
     fresh = build_label_index(filter_by_keys(histogram, "label", labels), keys)
-    tokens = labels.select(keyed_token(F.col("label"), keys.token).alias("token"))
+    tokens = save(labels.select(keyed_token(F.col("label"), keys.token).alias("token")), "touched-tokens")
     return LabelIndex(
         filter_by_keys(old.entries, "token", tokens, keep=False).unionByName(fresh.entries),
         filter_by_keys(old.sizes, "token", tokens, keep=False).unionByName(fresh.sizes),

@@ -66,18 +66,23 @@ def attach(rows: DataFrame, key: str, dim: Dimension, columns: dict[str, str], s
     )
 
 
-def filter_by_keys(rows: DataFrame, key: str, wanted: DataFrame, keep: bool = True) -> DataFrame:
-    """Rows whose ``key`` is (or, with ``keep=False``, is not) in ``wanted`` (one column, distinct).
+def join_small(rows: DataFrame, side: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join ``rows`` to a written table ``side`` with one row per key.
 
-    ``wanted`` is broadcast only after its rows were counted; a longer one is
-    joined on (key, salt), so a hot key is split over SALTS join groups.
+    ``side`` is broadcast only after its rows were counted.  A longer one is
+    joined on (key, salt), so a hot key is split over SALTS join groups, which
+    adaptive execution can split further.
     """
-    how = "left_semi" if keep else "left_anti"
-    if wanted.count() <= MAX_HUBS:
-        return rows.join(F.broadcast(wanted), key, how)
-    salted = wanted.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    if side.count() <= MAX_HUBS:
+        return rows.join(F.broadcast(side), on, how)
+    salted = side.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salt = F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")
-    return rows.withColumn("_salt", salt).join(salted, [key, "_salt"], how).drop("_salt")
+    return rows.withColumn("_salt", salt).join(salted, [*on, "_salt"], how).drop("_salt")
+
+
+def filter_by_keys(rows: DataFrame, key: str, wanted: DataFrame, keep: bool = True) -> DataFrame:
+    """Rows whose ``key`` is (or, with ``keep=False``, is not) in ``wanted`` (one column, distinct, written)."""
+    return join_small(rows, wanted, [key], "left_semi" if keep else "left_anti")
 
 
 def with_positions(
@@ -105,12 +110,10 @@ def with_positions(
     offsets = runs.withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
     if size:
         offsets = offsets.withColumn(size, F.sum("_rows").over(Window.partitionBy(*groups)))
-    offsets = offsets.drop("_rows")
-    if not groups:
-        # One row per range partition.
-        offsets = F.broadcast(offsets)
+    # One row per range partition, and one more per further group in it.
+    offsets = save(offsets.drop("_rows"), f"offsets-{name}")
     return (
-        placed.join(offsets, [*groups, "_part"])
+        join_small(placed, offsets, [*groups, "_part"])
         .withColumn(name, F.col("_before") + F.col("_place") - F.col("_first"))
         .drop("_place", "_part", "_first", "_before")
     )

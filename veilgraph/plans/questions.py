@@ -11,7 +11,7 @@ from veilgraph.functions.roles import NODE_LABELS
 from veilgraph.operators.graph import Graph
 from veilgraph.operators.skew import Dimension, attach
 from veilgraph.plans.pattern import _directed
-from veilgraph.plans.traverse import PAIR_HOPS, bfs_reachable_count, reachable_pairs
+from veilgraph.plans.traverse import PAIR_HOPS, NeighbourTable, pairs_reached, reach, reachable_counts
 from veilgraph.runtime import save
 
 # The phrases and patterns that decide what a (lower-cased)
@@ -111,7 +111,7 @@ def question_parameters(routed: DataFrame) -> DataFrame:
 _PARAMETERS = ("node", "other", "depth", "label", "src_label", "edge_label", "dst_label")
 
 
-def _answers(asked: DataFrame, graph: Graph, table: DataFrame) -> DataFrame:
+def _answers(asked: DataFrame, graph: Graph, table: NeighbourTable) -> DataFrame:
     """(key, result) of the distinct questions (key, intent, parameters)."""
 
     def of(intent: str) -> DataFrame:
@@ -130,9 +130,12 @@ def _answers(asked: DataFrame, graph: Graph, table: DataFrame) -> DataFrame:
     by_triple = _directed(graph).groupBy(*triple).agg(F.count(F.lit(1)).alias("n"))
 
     bfs = of("bfs").select("key", F.col("node").alias("seed"), "depth")
-    reached = bfs_reachable_count(bfs, nodes, table, GREATEST_DEPTH)
     pairs = of("pair").select("key", F.col("node").alias("src"), F.col("other").alias("dst"))
-    joined = reachable_pairs(pairs, nodes, table, PAIR_HOPS)
+    # One traversal serves both kinds of question.
+    starts = bfs.select("seed").unionByName(pairs.select(F.col("src").alias("seed")))
+    found = reach(starts, nodes, table, max(GREATEST_DEPTH, PAIR_HOPS))
+    reached = reachable_counts(bfs, found, GREATEST_DEPTH)
+    joined = pairs_reached(pairs, nodes, found, PAIR_HOPS)
     parts = [
         of("node_count").select("key", text(n_nodes)),
         of("edge_count").select("key", text(n_edges)),
@@ -149,7 +152,7 @@ def _answers(asked: DataFrame, graph: Graph, table: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def answer_questions(questions: DataFrame, graph: Graph, table: DataFrame) -> DataFrame:
+def answer_questions(questions: DataFrame, graph: Graph, table: NeighbourTable) -> DataFrame:
     """(qid, intent, result) for a whole log.
 
     Equal questions are answered once: the log is reduced to its distinct

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilgraph.functions.arithmetic import piece_count, spread
@@ -14,7 +14,7 @@ from veilgraph.operators.graph import attach_endpoint_labels, degrees
 from veilgraph.operators.index import LabelIndex, label_histogram, rebuild_label_index
 from veilgraph.operators.protect import protect_adjacency
 from veilgraph.operators.skew import filter_by_keys
-from veilgraph.runtime import save
+from veilgraph.runtime import new_path, save
 from veilgraph.sources.store import with_endpoints
 
 EDGE_KEY = ["u", "v"]
@@ -30,6 +30,19 @@ class State:
     index: LabelIndex
 
 
+def changes(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
+    """(key, old_label, label, change) of every element that came, went or changed its label."""
+    before = old.select(*key, F.col("label").alias("old_label"), F.lit(True).alias("_old"))
+    after = new.select(*key, "label", F.lit(True).alias("_new"))
+    change = (
+        F.when(F.col("_old").isNull(), "added")
+        .when(F.col("_new").isNull(), "removed")
+        .when(~F.col("label").eqNullSafe(F.col("old_label")), "relabelled")
+    )
+    both = before.join(after, key, "full_outer").withColumn("change", change)
+    return both.filter(F.col("change").isNotNull()).drop("_old", "_new")
+
+
 def added(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     return new.join(old.select(*key), key, "left_anti")
 
@@ -56,37 +69,35 @@ def adjacency_changed(old: DataFrame, new: DataFrame, key: list[str]) -> DataFra
     return both.filter(differs).select(*key, "adj_ct")
 
 
-def _compare(old: DataFrame, new: DataFrame, key: list[str], names: tuple[str, str, str]) -> DataFrame:
-    before = old.select(*key, F.lit(True).alias("_in_old"), F.col("label").alias("_old_label"))
-    after = new.select(*key, F.lit(True).alias("_in_new"), F.col("label").alias("_new_label"))
-    both = before.join(after, key, "full_outer")
-    there, here = F.col("_in_old").isNotNull(), F.col("_in_new").isNotNull()
-    differs = there & here & ~F.col("_old_label").eqNullSafe(F.col("_new_label"))
+def _tally(found: DataFrame, prefix: str) -> DataFrame:
+    kinds = (("added", "added"), ("removed", "removed"), ("relabelled", "updated" if prefix == "nodes" else "relabelled"))
+    return found.agg(
+        *[F.count(F.when(F.col("change") == kind, 1)).alias(f"{prefix}_{name}") for kind, name in kinds]
+    )
 
-    def tally(condition):
-        return F.coalesce(F.sum(condition.cast("bigint")), F.lit(0).cast("bigint"))
 
-    return both.agg(
-        tally(here & ~there).alias(names[0]), tally(there & ~here).alias(names[1]), tally(differs).alias(names[2])
-    )
+def summary_of(node_changes: DataFrame, edge_changes: DataFrame) -> DataFrame:
+    """One row of counters over the changes of both tables."""
+    nodes, edges = _tally(node_changes, "nodes"), _tally(edge_changes, "edges")
+    edge_counts = edges.select(F.struct(*edges.columns).alias("row")).scalar()
+    row = nodes.select("*", *[edge_counts.getField(c).alias(c) for c in edges.columns])
+    return row.withColumn("changed", sum((F.col(c) for c in row.columns), F.lit(0)) > 0)
 
 
 def sync_summary(old_nodes: DataFrame, old_edges: DataFrame, new_nodes: DataFrame, new_edges: DataFrame) -> DataFrame:
     """One row of counters; one full outer join per table."""
-    nodes = _compare(old_nodes, new_nodes, ["id"], ("nodes_added", "nodes_removed", "nodes_updated"))
-    edges = _compare(old_edges, new_edges, EDGE_KEY, ("edges_added", "edges_removed", "edges_relabelled"))
-    one = F.lit(1).alias("_one")
-    row = nodes.select("*", one).join(edges.select("*", one), "_one").drop("_one")  # one row each
-    total = sum((F.col(c) for c in row.columns), F.lit(0))
-    return row.withColumn("changed", total > 0)
+    return summary_of(changes(old_nodes, new_nodes, ["id"]), changes(old_edges, new_edges, EDGE_KEY))
 
 
-def touched_nodes(old_edges: DataFrame, new_edges: DataFrame) -> DataFrame:
+def touched_nodes(edge_changes: DataFrame) -> DataFrame:
     """(id): endpoints of edges that came, went or changed their label."""
-    before = old_edges.select(*EDGE_KEY, F.col("label").alias("_old"))
-    after = new_edges.select(*EDGE_KEY, F.col("label").alias("_new"))
-    differing = before.join(after, EDGE_KEY, "full_outer").filter(~F.col("_old").eqNullSafe(F.col("_new")))
-    return differing.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+    return edge_changes.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+
+
+def touched_labels(node_changes: DataFrame, edge_changes: DataFrame) -> DataFrame:
+    """(label): labels that gained or lost an entry, the old and the new label of each change."""
+    both = node_changes.select("old_label", "label").unionByName(edge_changes.select("old_label", "label"))
+    return both.select(F.explode(F.array("old_label", "label")).alias("label")).filter("label IS NOT NULL").distinct()
 
 
 def rebuild_adjacency(
@@ -102,7 +113,7 @@ def rebuild_adjacency(
     )
     counted = save(counted, "counted-nodes")
     sized = attach_endpoint_labels(edges.select("u", "v", "label"), counted)
-    ends = touched.select("id").distinct()
+    ends = save(touched.select("id").distinct(), "touched")
     lists = build_adjacency_of(sized, ends, list_rows)
     kept = filter_by_keys(adjacency, "node_id", ends.withColumnRenamed("id", "node_id"), keep=False)
     alive = kept.join(nodes.select(F.col("id").alias("node_id")), "node_id", "left_semi")
@@ -110,8 +121,7 @@ def rebuild_adjacency(
 
 
 def build_adjacency_of(edges: DataFrame, ids: DataFrame, list_rows: int = LIST_ROWS) -> DataFrame:
-    """``build_adjacency`` for the owners in ``ids`` (id) only."""
-    ids = save(ids, "touched")
+    """``build_adjacency`` for the owners in the written table ``ids`` (id) only."""
     near = filter_by_keys(edges, "u", ids.withColumnRenamed("id", "u"))
     far = filter_by_keys(edges, "v", ids.withColumnRenamed("id", "v"))
 
@@ -127,30 +137,45 @@ def build_adjacency_of(edges: DataFrame, ids: DataFrame, list_rows: int = LIST_R
     return rows.groupBy("id", "piece").agg(F.array_sort(F.collect_list("entry")).alias("nbrs"))
 
 
-def touched_labels(old: State, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(label): labels that gained or lost an entry, old and new label of each change."""
+def write_state(state: State, path: str) -> None:
+    """The tables of a state, each written once under ``path``."""
+    for name, part in _parts(state).items():
+        part.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def read_state(spark: SparkSession, path: str) -> State:
+    part = {name: spark.read.parquet(f"{path}/{name}") for name in PARTS}
+    return State(part["nodes"], part["edges"], part["adjacency"], LabelIndex(part["index"], part["sizes"]))
+
+
+PARTS = ("nodes", "edges", "adjacency", "index", "sizes")
 
-    def changes(before, after, key):
-        a = before.select(*key, F.col("label").alias("_old"))
-        b = after.select(*key, F.col("label").alias("_new"))
-        both = a.join(b, key, "full_outer").filter(~F.col("_old").eqNullSafe(F.col("_new")))
-        return both.select(F.explode(F.array("_old", "_new")).alias("label")).filter(F.col("label").isNotNull())
 
-    return changes(old.nodes, nodes, ["id"]).unionByName(changes(old.edges, edges, EDGE_KEY)).distinct()
+def _parts(state: State) -> dict[str, DataFrame]:
+    tables = (state.nodes, state.edges, state.adjacency, state.index.entries, state.index.sizes)
+    return dict(zip(PARTS, tables))
 
 
-def sync_apply(old: State, snap_nodes: DataFrame, snap_edges: DataFrame, keys: Keys) -> tuple[State, DataFrame]:
+def sync_apply(
+    old: State, snap_nodes: DataFrame, snap_edges: DataFrame, keys: Keys, path: str | None = None
+) -> tuple[State, DataFrame]:
     """The state after a snapshot, and the summary row.  Nothing is rewritten when nothing changed.
 
-    Edges with an endpoint outside the snapshot's nodes are gone with it.
+    Edges with an endpoint outside the snapshot's nodes are gone with it.  Lists
+    and index entries are encrypted again only for touched nodes and labels.
+    The new state lies under ``path``.
     """
+    spark = snap_nodes.sparkSession
     nodes = save(snap_nodes.select("id", "label"), "sync-nodes")
     edges = save(with_endpoints(snap_edges.select("u", "v", "label"), nodes, "u", "v"), "sync-edges")
-    summary = save(sync_summary(old.nodes, old.edges, nodes, edges), "sync-summary")
+    node_changes = save(changes(old.nodes, nodes, ["id"]), "node-changes")
+    edge_changes = save(changes(old.edges, edges, EDGE_KEY), "edge-changes")
+    summary = save(summary_of(node_changes, edge_changes), "sync-summary")
     if not summary.first()["changed"]:
         return old, summary
-    ends = touched_nodes(old.edges, edges)
-    adjacency = save(rebuild_adjacency(old.adjacency, nodes, edges, ends, keys), "sync-adjacency")
-    labels = touched_labels(old, nodes, edges)
+    adjacency = rebuild_adjacency(old.adjacency, nodes, edges, touched_nodes(edge_changes), keys)
+    labels = touched_labels(node_changes, edge_changes)
     index = rebuild_label_index(old.index, label_histogram(nodes, edges), labels, keys)
-    return State(nodes, edges, adjacency, index), summary
+    path = path or new_path(spark, "state")
+    write_state(State(nodes, edges, adjacency, index), path)
+    return read_state(spark, path), summary

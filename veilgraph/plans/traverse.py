@@ -37,12 +37,20 @@ PAIR_HOPS = 4
 BUCKET_ROWS = 4_000_000
 
 
-def neighbour_table(graph: Graph) -> DataFrame:
-    """(id, piece, nbr, nbr_pieces), bucketed on (id, piece)."""
-    rows = neighbours(graph.edges).select("id", "piece", "nbr", "nbr_pieces")
+@dataclass(frozen=True)
+class NeighbourTable:
+    """rows (id, piece, nbr, nbr_pieces) bucketed on (id, piece), and the rows per piece."""
+
+    rows: DataFrame
+    piece_rows: int
+
+
+def neighbour_table(graph: Graph, piece_rows: int = JOIN_ROWS) -> NeighbourTable:
+    rows = neighbours(graph.edges, piece_rows).select("id", "piece", "nbr", "nbr_pieces")
     total = 2 * graph.edges.count()
     default = int(graph.edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return save_bucketed(rows, "neighbours", max(default, ceil(total / BUCKET_ROWS)), "id", "piece")
+    buckets = max(default, ceil(total / BUCKET_ROWS))
+    return NeighbourTable(save_bucketed(rows, "neighbours", buckets, "id", "piece"), piece_rows)
 
 
 @dataclass(frozen=True)
@@ -54,7 +62,7 @@ class Reached:
     bits: int
 
 
-def reach(seeds: DataFrame, nodes: DataFrame, table: DataFrame, max_depth: int) -> Reached:
+def reach(seeds: DataFrame, nodes: DataFrame, table: NeighbourTable, max_depth: int) -> Reached:
     """Distances up to ``max_depth`` from every ``seed``; starts that are no nodes reach nothing."""
     numbered = with_positions(seeds.select("seed").distinct(), ["seed"], name="_at")
     placed = save(
@@ -72,7 +80,7 @@ def reach(seeds: DataFrame, nodes: DataFrame, table: DataFrame, max_depth: int)
             F.col("seed").alias("node"),
             "block",
             F.expr("shiftleft(1L, bit)").alias("mask"),
-            piece_count(F.col("degree"), JOIN_ROWS).alias("pieces"),
+            piece_count(F.col("degree"), table.piece_rows).alias("pieces"),
         )
     )
     levels = [save(start, "level")]
@@ -81,7 +89,7 @@ def reach(seeds: DataFrame, nodes: DataFrame, table: DataFrame, max_depth: int)
             "block", "mask", F.col("node").alias("id"),
             F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("pieces") - 1)).alias("piece"),
         )
-        found = frontier.join(table, ["id", "piece"]).select(
+        found = frontier.join(table.rows, ["id", "piece"]).select(
             F.col("nbr").alias("node"), "block", "mask", F.col("nbr_pieces").alias("pieces"),
             F.lit(0).cast("bigint").alias("seen"),
         )
@@ -131,31 +139,42 @@ def level_sizes(reached: Reached, max_depth: int) -> DataFrame:
     return by_seed.select("seed", F.inline(rows))
 
 
-def bfs_plain(seeds: DataFrame, nodes: DataFrame, table: DataFrame, max_depth: int = DEPTH_CAP) -> DataFrame:
+def bfs_plain(seeds: DataFrame, nodes: DataFrame, table: NeighbourTable, max_depth: int = DEPTH_CAP) -> DataFrame:
     """Level sizes of an unpadded traversal."""
     return level_sizes(reach(seeds, nodes, table, max_depth), max_depth)
 
 
-def bfs_reachable_count(questions: DataFrame, nodes: DataFrame, table: DataFrame, cap: int = DEPTH_CAP) -> DataFrame:
+def bfs_reachable_count(questions: DataFrame, nodes: DataFrame, table: NeighbourTable, cap: int = DEPTH_CAP) -> DataFrame:
     """(seed, depth, reachable) for rows (seed, depth): depth capped, start excluded, unknown start 0."""
+    reached = reach(questions.select("seed"), nodes, table, cap)
+    return reachable_counts(questions, reached, cap)
+
+
+def reachable_counts(questions: DataFrame, reached: Reached, cap: int) -> DataFrame:
+    """``bfs_reachable_count`` from a traversal that included all seeds."""
     asked = questions.select("seed", F.least("depth", F.lit(cap)).alias("depth")).distinct()
-    sizes = bfs_plain(asked.select("seed"), nodes, table, cap).select("seed", "depth", "visited")
+    sizes = level_sizes(reached, cap).select("seed", "depth", "visited")
     return asked.join(sizes, ["seed", "depth"], "left").select(
         "seed", "depth", F.greatest(F.coalesce("visited", F.lit(0)) - 1, F.lit(0)).cast("bigint").alias("reachable")
     )
 
 
-def reachable_pairs(pairs: DataFrame, nodes: DataFrame, table: DataFrame, hops: int = PAIR_HOPS) -> DataFrame:
+def reachable_pairs(pairs: DataFrame, nodes: DataFrame, table: NeighbourTable, hops: int = PAIR_HOPS) -> DataFrame:
     """(src, dst, reachable, min_hops) within ``hops``; a node reaches itself through any neighbour."""
+    reached = reach(pairs.select(F.col("src").alias("seed")), nodes, table, hops)
+    return pairs_reached(pairs, nodes, reached, hops)
+
+
+def pairs_reached(pairs: DataFrame, nodes: DataFrame, reached: Reached, hops: int) -> DataFrame:
+    """``reachable_pairs`` from a traversal that included all sources."""
     asked = pairs.select("src", "dst").distinct()
-    reached = reach(asked.select(F.col("src").alias("seed")), nodes, table, hops)
     numbered = asked.join(reached.seeds.withColumnRenamed("seed", "src"), "src")
     # One row per target: the starts that ask for it, as a mask.
     wanted = numbered.groupBy(F.col("dst").alias("node"), "block").agg(
         F.bit_or(F.expr("shiftleft(1L, bit)")).alias("wanted")
     )
     hits = (
-        reached.levels.filter(F.col("depth") > 0)
+        reached.levels.filter((F.col("depth") > 0) & (F.col("depth") <= hops))
         .join(wanted, ["node", "block"])
         .withColumn("_hit", F.col("mask").bitwiseAND(F.col("wanted")))
         .filter(F.col("_hit") != 0)
@@ -238,7 +257,7 @@ def bfs_levels(
 
 
 def bfs_by_start_class(
-    starts: DataFrame, nodes: DataFrame, table: DataFrame, ks: tuple[int, ...] = (1, 2, 4, 8), max_depth: int = DEPTH_CAP
+    starts: DataFrame, nodes: DataFrame, table: NeighbourTable, ks: tuple[int, ...] = (1, 2, 4, 8), max_depth: int = DEPTH_CAP
 ) -> DataFrame:
     """(class, seed, depth, k, visited) for starts (class, id): one traversal serves all depths and k."""
     seeds = starts.select("class", F.col("id").alias("seed"))

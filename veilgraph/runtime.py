@@ -25,9 +25,6 @@ def local_session(cpus: int | str = 8, **conf: str) -> SparkSession:
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
-        # Small tables, costly rows: keep all cores busy on a few megabytes.
-        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64KB")
-        .config("spark.sql.files.openCostInBytes", "64KB")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )

@@ -16,8 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from veilgraph.functions.crypto import Keys
-from veilgraph.operators.index import LabelIndex
-from veilgraph.plans.sync import State, sync_apply
+from veilgraph.plans.sync import State, read_state, sync_apply, write_state
 from veilgraph.sources.snapshot import scan_edge_snapshot, scan_node_snapshot
 
 MANIFEST = "snapshot_id string, path string"
@@ -30,20 +29,6 @@ HISTORY = (
 INITIAL_BATCH = -1
 
 
-def write_state(state: State, path: str) -> None:
-    parts = {
-        "nodes": state.nodes, "edges": state.edges, "adjacency": state.adjacency,
-        "index": state.index.entries, "sizes": state.index.sizes,
-    }
-    for name, table in parts.items():
-        table.write.mode("overwrite").parquet(f"{path}/{name}")
-
-
-def read_state(spark: SparkSession, path: str) -> State:
-    part = {n: spark.read.parquet(f"{path}/{n}") for n in ("nodes", "edges", "adjacency", "index", "sizes")}
-    return State(part["nodes"], part["edges"], part["adjacency"], LabelIndex(part["index"], part["sizes"]))
-
-
 def sync_history(spark: SparkSession, root: str) -> DataFrame:
     """One row per processed snapshot, with its batch and counters."""
     return spark.read.schema(f"{HISTORY}, batch_id bigint").option("basePath", f"{root}/history").parquet(f"{root}/history")
@@ -77,17 +62,16 @@ def apply_manifests(spark: SparkSession, manifests: list, root: str, batch_id: i
     for step, manifest in enumerate(manifests):
         counters, changed, error = (0,) * len(COUNTERS), False, None
         try:
-            old = read_state(spark, path)
-            new, summary = sync_apply(
-                old,
+            target = os.path.join(root, "state", f"batch={batch_id}", f"step={step}")
+            _, summary = sync_apply(
+                read_state(spark, path),
                 scan_node_snapshot(spark, f"{manifest['path']}/nodes"),
                 scan_edge_snapshot(spark, f"{manifest['path']}/edges"),
                 keys,
+                target,
             )
             found = summary.first()
             if found["changed"]:
-                target = os.path.join(root, "state", f"batch={batch_id}", f"step={step}")
-                write_state(new, target)
                 path = target
             counters, changed = tuple(found[c] for c in COUNTERS), found["changed"]
         except Exception as problem:  # the stream goes on; the failure is in the history

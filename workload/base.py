@@ -12,7 +12,7 @@ from veilgraph.functions.crypto import Keys
 from veilgraph.operators.graph import Graph, build_graph, pick_by_degree_rank
 from veilgraph.operators.index import LabelIndex, build_label_index, label_histogram
 from veilgraph.operators.protect import Store, build_store
-from veilgraph.plans.traverse import neighbour_table
+from veilgraph.plans.traverse import NeighbourTable, neighbour_table
 from veilgraph.runtime import save
 from veilgraph.sources.trade import trade_pairs
 
@@ -47,7 +47,7 @@ class Workspace:
         return build_label_index(label_histogram(self.graph.nodes, self.graph.edges), self.keys)
 
     @cached_property
-    def neighbour_table(self) -> DataFrame:
+    def neighbour_table(self) -> NeighbourTable:
         return neighbour_table(self.graph)
 
     @cached_property

@@ -24,8 +24,9 @@ from veilgraph.plans.report import (
 )
 from veilgraph.plans.sync import (
     State,
-    added,
     adjacency_changed,
+    added,
+    changes,
     rebuild_adjacency,
     relabelled,
     removed,
@@ -221,12 +222,7 @@ def sync_edges_removed(w):
 @query("sync_edges_changed", graph_sql("SELECT u, v, old_label, label FROM edge_changes", NEXT))
 def sync_edges_changed(w):
     """Edges that came, went or were relabelled."""
-    old = w.edges.select("u", "v", "label")
-    new = snapshot(w)[1]
-    null = F.lit(None).cast("string")
-    came = added(old, new, ["u", "v"]).select("u", "v", null.alias("old_label"), "label")
-    went = removed(old, new, ["u", "v"]).select("u", "v", F.col("label").alias("old_label"), null.alias("label"))
-    return came.unionByName(went).unionByName(relabelled(old, new, ["u", "v"]))
+    return changes(w.edges, snapshot(w)[1], ["u", "v"]).drop("change")
 
 
 _SUMMARY = ("SELECT *, nodes_added + nodes_removed + nodes_updated + edges_added + edges_removed + edges_relabelled > 0 "
@@ -262,7 +258,7 @@ def sync_apply_query(w):
 
 @query("sync_touched_nodes", graph_sql("SELECT u AS id FROM edge_changes UNION SELECT v FROM edge_changes", NEXT))
 def sync_touched_nodes(w):
-    return touched_nodes(w.edges, snapshot(w)[1])
+    return touched_nodes(changes(w.edges, snapshot(w)[1], ["u", "v"]))
 
 
 _COLUMNS = ", ".join(COUNTERS)
