@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from conftest import LOW_CUTOFFS, pairs_of, rows
 from veilgraph.operators.graph import build_graph
 from veilgraph.operators.index import build_label_index, label_histogram, open_entries
-from veilgraph.operators.protect import LIST_RECORD, build_store, open_rows
+from veilgraph.operators.protect import build_store, open_lists
 from veilgraph.plans.sync import State, added, adjacency_changed, relabelled, removed, sync_apply
 from veilgraph.sources.snapshot import clean_edge_snapshot, clean_node_snapshot
 from veilgraph.sources.store import append_nodes, replace_dataset, with_endpoints, write_labelled_snapshot
@@ -37,7 +37,7 @@ def _snapshot(spark):
 def _check(state, keys, nodes, edges):
     assert rows(state.nodes) == rows(nodes)
     assert rows(state.edges) == rows(edges)
-    lists = open_rows(state.adjacency, keys, "adj_ct", LIST_RECORD, "nbrs").select("node_id", F.inline("nbrs"))
+    lists = open_lists(state.adjacency, keys).select("node_id", F.inline("nbrs"))
     both = edges.select("u", "v", "label").union(edges.select("v", "u", "label"))
     assert rows(lists) == rows(both)
     entries = open_entries(state.index.entries, keys)

@@ -19,30 +19,22 @@ JOIN_ROWS = 16_384
 
 
 def neighbours(edges: DataFrame, piece_rows: int = JOIN_ROWS) -> DataFrame:
-    """Both directions of each edge: (id, piece, nbr, lbl, nbr_pieces, label, nbr_label), one scan.
+    """Both directions of each edge in one scan: (id, piece, nbr, lbl, nbr_pieces).
 
-    ``edges`` carries the degrees and roles of its endpoints.
+    ``edges`` carries the degrees of its endpoints.
     """
-    forward = F.struct(
-        F.col("u").alias("id"), F.col("v").alias("nbr"), F.col("label").alias("lbl"),
-        F.col("u_degree").alias("_d"), F.col("v_degree").alias("_nd"),
-        F.col("u_label").alias("label"), F.col("v_label").alias("nbr_label"),
-    )
-    backward = F.struct(
-        F.col("v").alias("id"), F.col("u").alias("nbr"), F.col("label").alias("lbl"),
-        F.col("v_degree").alias("_d"), F.col("u_degree").alias("_nd"),
-        F.col("v_label").alias("label"), F.col("u_label").alias("nbr_label"),
-    )
-    rows = edges.select(F.inline(F.array(forward, backward)))
-    return rows.select(
-        "id",
-        F.pmod(spread(F.col("nbr")), piece_count(F.col("_d"), piece_rows)).alias("piece"),
-        "nbr",
-        "lbl",
-        piece_count(F.col("_nd"), piece_rows).alias("nbr_pieces"),
-        "label",
-        "nbr_label",
-    )
+
+    def side(own: str, other: str):
+        pieces = piece_count(F.col(f"{own}_degree"), piece_rows)
+        return F.struct(
+            F.col(own).alias("id"),
+            F.pmod(spread(F.col(other)), pieces).alias("piece"),
+            F.col(other).alias("nbr"),
+            F.col("label").alias("lbl"),
+            piece_count(F.col(f"{other}_degree"), piece_rows).alias("nbr_pieces"),
+        )
+
+    return edges.select(F.inline(F.array(side("u", "v"), side("v", "u"))))
 
 
 def owner_pieces(ids: DataFrame, nodes: DataFrame, piece_rows: int = JOIN_ROWS) -> DataFrame:

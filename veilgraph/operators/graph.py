@@ -108,7 +108,7 @@ def build_graph(pairs: DataFrame, cutoffs=NODE_CUTOFFS, hub_rows: int | None = N
         raise ValueError("the input has no edges")
     nodes = save(node_roles(edges, cutoffs), "nodes")
     dim = Dimension.of(nodes, "id", "degree", hub_rows)
-    return Graph(nodes, save(edge_roles(edges, nodes, dim), "labelled-edges"))
+    return Graph(nodes, save(edge_roles(edges, nodes, dim), "labelled-edges", ("label",)))
 
 
 def edge_label_distribution(edges: DataFrame) -> DataFrame:

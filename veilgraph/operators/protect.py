@@ -16,7 +16,7 @@ from veilgraph.runtime import save
 
 NODE_RECORD = "id bigint, label string, attrs map<string,string>"
 EDGE_RECORD = "src bigint, dst bigint, label string, attrs map<string,string>"
-LIST_RECORD = "array<struct<nbr:bigint,lbl:string>>"
+LIST_RECORD = "id bigint, piece bigint, nbrs array<struct<nbr:bigint,lbl:string>>"
 
 
 def _no_attrs():
@@ -40,10 +40,9 @@ def protect_edges(edges: DataFrame, keys: Keys) -> DataFrame:
 
 
 def protect_adjacency(lists: DataFrame, keys: Keys) -> DataFrame:
-    """(node_id, piece, adj_ct) from (id, piece, nbrs)."""
-    return lists.select(
-        F.col("id").alias("node_id"), "piece", seal(F.to_json("nbrs"), keys.content).alias("adj_ct")
-    )
+    """(node_id, piece, adj_ct) from (id, piece, nbrs); the blob names its owner, so it cannot be moved."""
+    record = F.to_json(F.struct("id", "piece", "nbrs"))
+    return lists.select(F.col("id").alias("node_id"), "piece", seal(record, keys.content).alias("adj_ct"))
 
 
 @dataclass(frozen=True)
@@ -74,6 +73,17 @@ def open_rows(blobs: DataFrame, keys: Keys, column: str, schema: str, into: str
     return blobs.select(*kept, evaluated_once(F.from_json(text, schema), into))
 
 
+def open_lists(blobs: DataFrame, keys: Keys) -> DataFrame:
+    """Decrypt list pieces: (node_id, piece, nbrs) come from inside the blob, other columns are kept.
+
+    A later filter for wanted owners therefore works on decrypted rows only: it
+    cannot be moved below the decryption, and decoys are decrypted like the rest.
+    """
+    kept = [c for c in blobs.columns if c not in ("node_id", "piece", "adj_ct")]
+    opened = open_rows(blobs.select(*kept, "adj_ct"), keys, "adj_ct", LIST_RECORD, "list")
+    return opened.select(*kept, F.col("list.id").alias("node_id"), "list.piece", "list.nbrs")
+
+
 @dataclass(frozen=True)
 class Store:
     """The protected tables of a graph.

@@ -7,10 +7,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilgraph.functions.crypto import evaluated_once
 from veilgraph.functions.roles import NODE_LABELS
 from veilgraph.operators.graph import Graph
 from veilgraph.operators.skew import Dimension, attach
-from veilgraph.plans.pattern import _directed
+from veilgraph.plans.pattern import TRIPLE, triple_counts
 from veilgraph.plans.traverse import PAIR_HOPS, NeighbourTable, pairs_reached, reach, reachable_counts
 from veilgraph.runtime import save
 
@@ -71,7 +72,8 @@ def route_questions(questions: DataFrame) -> DataFrame:
         .when(F.regexp_like(q, _rx(PATTERN)), "pattern")
         .otherwise("fallback")
     )
-    return questions.withColumn("intent", intent)
+    # The rules are used by every parameter; they are evaluated once.
+    return questions.select("*", evaluated_once(intent, "intent"))
 
 
 def question_parameters(routed: DataFrame) -> DataFrame:
@@ -126,8 +128,7 @@ def _answers(asked: DataFrame, graph: Graph, table: NeighbourTable) -> DataFrame
     n_edges = edges.agg(F.count(F.lit(1))).scalar()
     by_id = nodes.select(F.col("id").alias("node"), "degree", F.col("label").alias("_found"))
     by_label = nodes.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    triple = ["src_label", "edge_label", "dst_label"]
-    by_triple = _directed(graph).groupBy(*triple).agg(F.count(F.lit(1)).alias("n"))
+    by_triple = triple_counts(graph)
 
     bfs = of("bfs").select("key", F.col("node").alias("seed"), "depth")
     pairs = of("pair").select("key", F.col("node").alias("src"), F.col("other").alias("dst"))
@@ -146,7 +147,7 @@ def _answers(asked: DataFrame, graph: Graph, table: NeighbourTable) -> DataFrame
         pairs.join(joined, ["src", "dst"], "left").select(
             "key", F.when(F.col("reachable"), F.lit(YES)).otherwise(F.lit(NO)).alias("result")
         ),
-        of("pattern").join(by_triple, triple, "left").select("key", text(F.coalesce("n", zero))),
+        of("pattern").join(by_triple, list(TRIPLE), "left").select("key", text(F.coalesce("n", zero))),
         of("fallback").select("key", F.lit(UNKNOWN).alias("result")),
     ]
     return reduce(DataFrame.unionByName, parts)

@@ -101,23 +101,22 @@ def touched_labels(node_changes: DataFrame, edge_changes: DataFrame) -> DataFram
 
 
 def rebuild_adjacency(
-    adjacency: DataFrame, nodes: DataFrame, edges: DataFrame, touched: DataFrame, keys: Keys,
+    adjacency: DataFrame, nodes: DataFrame, edges: DataFrame, touched: DataFrame, gone: DataFrame, keys: Keys,
     list_rows: int = LIST_ROWS,
 ) -> DataFrame:
-    """Neighbour lists after a change: new blobs for ``touched`` nodes, old blobs for the others in ``nodes``.
+    """Neighbour lists after a change: new blobs for ``touched`` nodes (id), none for those ``gone`` (id), the rest as is.
 
     The lists come from the reconciled edges, never from an older list.
     """
     counted = nodes.select("id", "label").join(degrees(edges), "id", "left").withColumn(
         "degree", F.coalesce("degree", F.lit(0).cast("bigint"))
     )
-    counted = save(counted, "counted-nodes")
-    sized = attach_endpoint_labels(edges.select("u", "v", "label"), counted)
+    sized = attach_endpoint_labels(edges.select("u", "v", "label"), save(counted, "counted-nodes"))
     ends = save(touched.select("id").distinct(), "touched")
+    stale = save(ends.unionByName(gone.select("id")).distinct().withColumnRenamed("id", "node_id"), "stale")
     lists = build_adjacency_of(sized, ends, list_rows)
-    kept = filter_by_keys(adjacency, "node_id", ends.withColumnRenamed("id", "node_id"), keep=False)
-    alive = kept.join(nodes.select(F.col("id").alias("node_id")), "node_id", "left_semi")
-    return alive.unionByName(protect_adjacency(lists, keys).select(*adjacency.columns))
+    kept = filter_by_keys(adjacency, "node_id", stale, keep=False)
+    return kept.unionByName(protect_adjacency(lists, keys).select(*adjacency.columns))
 
 
 def build_adjacency_of(edges: DataFrame, ids: DataFrame, list_rows: int = LIST_ROWS) -> DataFrame:
@@ -173,7 +172,8 @@ def sync_apply(
     summary = save(summary_of(node_changes, edge_changes), "sync-summary")
     if not summary.first()["changed"]:
         return old, summary
-    adjacency = rebuild_adjacency(old.adjacency, nodes, edges, touched_nodes(edge_changes), keys)
+    gone = node_changes.filter("change = 'removed'")
+    adjacency = rebuild_adjacency(old.adjacency, nodes, edges, touched_nodes(edge_changes), gone, keys)
     labels = touched_labels(node_changes, edge_changes)
     index = rebuild_label_index(old.index, label_histogram(nodes, edges), labels, keys)
     path = path or new_path(spark, "state")

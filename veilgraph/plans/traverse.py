@@ -27,7 +27,7 @@ from veilgraph.operators.lookup import (
     restrict_to_frontier,
 )
 from veilgraph.operators.padding import decoy_copies, pad_table
-from veilgraph.operators.protect import LIST_RECORD, Store, open_rows
+from veilgraph.operators.protect import Store, open_lists
 from veilgraph.operators.skew import with_positions
 from veilgraph.runtime import save, save_bucketed
 
@@ -201,7 +201,7 @@ def expand_frontier(
     ``blocks`` and ``lists`` are what was fetched, decoys included; only
     requested nodes are expanded.
     """
-    opened = open_rows(lists, keys, "adj_ct", LIST_RECORD, into="nbrs")
+    opened = open_lists(lists, keys)
     wanted = restrict_to_frontier(opened, requested_pieces(blocks, frontier, key), [key, "node_id", "piece"])
     nbrs = wanted.select(key, F.explode("nbrs.nbr").alias("node_id")).distinct()
     return exclude_visited(nbrs, visited, [key, "node_id"])

@@ -62,10 +62,14 @@ def read_table(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
     return spark.read.schema(like.schema).parquet(path)
 
 
-def save(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once and return the table read back."""
+def save(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
+    """Write ``df`` once and return the table read back.
+
+    ``partition_by`` names columns with a small vocabulary; a filter on them
+    then reads only their directories.
+    """
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path)
     return read_table(df.sparkSession, path, df)
 
 

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from veilgraph.functions.roles import EDGE_LABELS, NODE_LABELS
 from veilgraph.operators.graph import pick_by_degree_rank
 from veilgraph.operators.index import open_entries
-from veilgraph.operators.protect import LIST_RECORD, open_rows
+from veilgraph.operators.protect import open_lists
+from veilgraph.operators.skew import filter_by_keys
 from veilgraph.plans.pattern import match_pattern_batch, match_pattern_protected, pattern_table
 from veilgraph.plans.questions import answer_questions, question_parameters, route_questions
 from veilgraph.plans.report import (
@@ -196,10 +197,11 @@ def _rebuilt(w, came: bool):
     nodes, new = snapshot(w)
     new = save(new, "snapshot-edges")
     changed = added(old, new, ["u", "v"]) if came else removed(old, new, ["u", "v"])
-    ends = changed.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-    lists = save(rebuild_adjacency(w.store.adjacency, nodes, new, ends, w.keys), "rebuilt")
-    touched = lists.join(ends.withColumnRenamed("id", "node_id"), "node_id", "left_semi")
-    opened = open_rows(touched, w.keys, "adj_ct", LIST_RECORD, "nbrs")
+    ends = save(changed.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "ends")
+    gone = removed(w.nodes, nodes, ["id"])
+    lists = save(rebuild_adjacency(w.store.adjacency, nodes, new, ends, gone, w.keys), "rebuilt")
+    touched = filter_by_keys(lists, "node_id", ends.withColumnRenamed("id", "node_id"))
+    opened = open_lists(touched, w.keys)
     return opened.groupBy(F.col("node_id").alias("id")).agg(F.sum(F.size("nbrs")).alias("neighbours"))
 
 
@@ -243,7 +245,7 @@ UNION ALL SELECT 'index rows', '', sum({pad('r')})::BIGINT FROM (SELECT label, c
   (SELECT label FROM next_nodes UNION ALL SELECT label FROM next_edges) GROUP BY label)""", NEXT))
 def sync_apply_query(w):
     state, _ = sync_apply(old_state(w), *snapshot(w), w.keys)
-    lists = open_rows(state.adjacency, w.keys, "adj_ct", LIST_RECORD, "nbrs").select(F.explode("nbrs.lbl").alias("label"))
+    lists = open_lists(state.adjacency, w.keys).select(F.explode("nbrs.lbl").alias("label"))
     kinds = open_entries(state.index.entries, w.keys)
     one = F.count(F.lit(1)).alias("n")
     parts = [

@@ -18,7 +18,7 @@ from veilgraph.operators.lookup import (
     restrict_to_frontier,
 )
 from veilgraph.operators.padding import pad_table
-from veilgraph.operators.protect import LIST_RECORD, NODE_RECORD, open_rows
+from veilgraph.operators.protect import NODE_RECORD, open_lists, open_rows
 from veilgraph.plans.labels import (
     count_rows,
     label_count_index,
@@ -92,7 +92,7 @@ _FETCHED = "fetched AS (SELECT label, id, label AS own_label, degree FROM nodes
 def lookup_padded_query(w):
     requests, pads = _label_requests(w)
     blocks = lookup_padded(requests, pads, "label", w.store, ["pieces"])
-    lists = open_rows(fetch_lists(blocks, "label", w.store), w.keys, "adj_ct", LIST_RECORD, "nbrs")
+    lists = open_lists(fetch_lists(blocks, "label", w.store), w.keys)
     read = blocks.groupBy("label", "node_id").agg(F.count(F.lit(1)).alias("reads"))
     found = lists.groupBy("label", "node_id").agg(F.sum(F.size("nbrs")).alias("neighbours"))
     return read.join(found, ["label", "node_id"])

@@ -37,15 +37,16 @@ from veilgraph.operators.padding import (
 )
 from veilgraph.operators.protect import (
     EDGE_RECORD,
-    LIST_RECORD,
     NODE_RECORD,
     protect_adjacency,
     protect_edges,
     protect_nodes,
    
+    open_lists,
     open_rows,
     unprotect_rows,
 )
+from veilgraph.operators.skew import join_small
 from veilgraph.runtime import save
 from workload.base import CHECK_KEYS
 from workload.registry import graph_sql, pad, piece, query, workers
@@ -139,7 +140,7 @@ def protect_edges_query(w):
 @query("protect_adjacency", graph_sql(f"SELECT id, {piece('nbr', 'degree', LIST_ROWS)} AS piece, nbr, lbl FROM sym"))
 def protect_adjacency_query(w):
     blobs = save(protect_adjacency(build_adjacency(w.edges), w.keys), "blobs")
-    rows = open_rows(blobs, w.keys, "adj_ct", LIST_RECORD, "nbrs")
+    rows = open_lists(blobs, w.keys)
     return expand_lists(rows).withColumnRenamed("node_id", "id")
 
 
@@ -297,9 +298,11 @@ UNION ALL SELECT 'Nobody', NULL, NULL, NULL, NULL, 0"""))
 def index_lookup_query(w):
     labels = w.labels("Nobody")
     found = index_lookup(w.index, labels, w.keys).drop("slot")
-    return lookup_sizes(w.index, labels, w.keys).join(found, "label", "left").select(
-        "label", "kind", "id", "u", "v", "p_r"
+    asked = save(lookup_sizes(w.index, labels, w.keys), "asked-sizes")
+    unknown = asked.filter("p_r = 0").select(
+        "label", *[F.lit(None).cast(t).alias(c) for c, t in (("kind", "string"), ("id", "bigint"), ("u", "bigint"), ("v", "bigint"))], "p_r"
     )
+    return join_small(found, asked, ["label"]).select(unknown.columns).unionByName(unknown)
 
 
 @query("build_adjacency", graph_sql(f"""
@@ -315,5 +318,5 @@ def build_adjacency_query(w):
 
 @query("expand_adjacency", graph_sql("SELECT id, nbr, lbl FROM sym"))
 def expand_adjacency(w):
-    rows = open_rows(w.store.adjacency, w.keys, "adj_ct", LIST_RECORD, "nbrs")
+    rows = open_lists(w.store.adjacency, w.keys)
     return expand_lists(rows).select(F.col("node_id").alias("id"), "nbr", "lbl")

@@ -10,10 +10,10 @@ from veilgraph.operators.index import filter_kind, label_histogram
 from veilgraph.operators.lookup import adjacency_or_empty
 from veilgraph.operators.protect import (
     EDGE_RECORD,
-    LIST_RECORD,
     NODE_RECORD,
     protect_edges,
    
+    open_lists,
     open_rows,
 )
 from veilgraph.plans.report import filter_runs
@@ -146,7 +146,7 @@ def sink_protected_nodes(w):
     replace_dataset(rows, path, "trade")  # the whole dataset again; the twin stays
     back = w.spark.read.parquet(path)
     nodes = open_rows(back.filter("piece = 0"), w.keys, "ct", NODE_RECORD)
-    lists = open_rows(back.filter("length(adj_ct) > 0"), w.keys, "adj_ct", LIST_RECORD, "nbrs")
+    lists = open_lists(back.filter("length(adj_ct) > 0"), w.keys)
     sizes = lists.groupBy("dataset_id", "node_id").agg(F.sum(F.size("nbrs")).alias("degree"))
     return nodes.join(sizes, ["dataset_id", "node_id"]).select(
         "dataset_id", F.col("record.id").alias("id"), F.col("record.label").alias("label"), "degree"
