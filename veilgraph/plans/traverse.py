@@ -28,7 +28,7 @@ from veilgraph.operators.lookup import (
 )
 from veilgraph.operators.padding import decoy_copies, pad_table
 from veilgraph.operators.protect import Store, open_lists
-from veilgraph.operators.skew import with_positions
+from veilgraph.operators.skew import MAX_HUBS, with_positions
 from veilgraph.runtime import save, save_bucketed
 
 BITS = 62
@@ -64,7 +64,11 @@ class Reached:
 
 def reach(seeds: DataFrame, nodes: DataFrame, table: NeighbourTable, max_depth: int) -> Reached:
     """Distances up to ``max_depth`` from every ``seed``; starts that are no nodes reach nothing."""
-    numbered = with_positions(seeds.select("seed").distinct(), ["seed"], name="_at")
+    starts = save(seeds.select("seed").distinct(), "starts")
+    if starts.count() <= MAX_HUBS:
+        numbered = starts.withColumn("_at", F.row_number().over(Window.orderBy("seed")) - 1)  # a counted, short list
+    else:
+        numbered = with_positions(starts, ["seed"], name="_at")
     placed = save(
         numbered.select(
             "seed",

@@ -68,7 +68,7 @@ class Workspace:
         used = self.nodes.select("label").unionByName(self.edges.select("label")).distinct()
         for name in more:
             used = used.unionByName(used.agg(F.lit(name).alias("label")))
-        return used
+        return save(used, "labels")
 
 
 _SPACES: dict[tuple[str, str], Workspace] = {}
