@@ -15,7 +15,7 @@ from veilgraph.functions.arithmetic import piece_count, spread
 
 # Neighbours per piece, on average: of a stored list, and of the rows joined in a traversal.
 LIST_ROWS = 1024
-JOIN_ROWS = 16_384
+JOIN_ROWS = 65_536
 
 
 def neighbours(edges: DataFrame, piece_rows: int = JOIN_ROWS) -> DataFrame:

@@ -54,9 +54,7 @@ def fetch_lists(blocks: DataFrame, key: str, store: Store) -> DataFrame:
 
     The join key (node_id, piece) splits hubs over many join groups.
     """
-    wanted = blocks.select(
-        key, "node_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("pieces") - 1)).alias("piece")
-    )
+    wanted = repeat_rows(blocks.select(key, "node_id", "pieces"), F.col("pieces"), [key, "node_id"], index="piece")
     return save(
         wanted.join(store.adjacency, ["node_id", "piece"]).select(key, "node_id", "piece", "adj_ct"), "fetched-lists"
     )
@@ -67,9 +65,7 @@ def adjacency_or_empty(nodes: DataFrame, adjacency: DataFrame) -> DataFrame:
 
     ``nodes`` (node_id, pieces, ...), ``adjacency`` (node_id, piece, adj_ct).
     """
-    pieces = nodes.select(
-        "*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("pieces") - 1)).alias("piece")
-    )
+    pieces = repeat_rows(nodes, F.col("pieces"), ["node_id"], index="piece")
     return pieces.join(adjacency, ["node_id", "piece"], "left").withColumn(
         "adj_ct", F.coalesce("adj_ct", F.lit("").cast("binary"))
     )
@@ -80,7 +76,7 @@ def requested_pieces(blocks: DataFrame, requests: DataFrame, key: str) -> DataFr
     own = blocks.select(key, "node_id", "pieces").distinct().join(
         requests.select(key, "node_id"), [key, "node_id"], "left_semi"
     )
-    return own.select(key, "node_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("pieces") - 1)).alias("piece"))
+    return repeat_rows(own, F.col("pieces"), [key, "node_id"], index="piece").drop("pieces")
 
 
 def restrict_to_frontier(rows: DataFrame, pieces: DataFrame, on: list[str]) -> DataFrame:

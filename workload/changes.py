@@ -13,7 +13,16 @@ from veilgraph.operators.index import open_entries
 from veilgraph.operators.protect import open_lists
 from veilgraph.operators.skew import filter_by_keys
 from veilgraph.plans.pattern import match_pattern_batch, match_pattern_protected, pattern_table
-from veilgraph.plans.questions import answer_questions, question_parameters, route_questions
+from veilgraph.plans.questions import (
+    BFS,
+    DEGREE,
+    LABEL,
+    PAIR,
+    PATTERN,
+    answer_questions,
+    question_parameters,
+    route_questions,
+)
 from veilgraph.plans.report import (
     align_schemes,
     filter_runs,
@@ -358,15 +367,7 @@ questions AS MATERIALIZED (
   UNION ALL SELECT {_N} + 800, {_pick_sql(PLAIN_TEXTS)} FROM nation
   UNION ALL SELECT 7000000000 + conv_id * 1000 + turn, text FROM conversations WHERE role = 'user')"""
 
-# Written out again for SQL: what each question asks for.
-_D1 = r"(?:degree|neighbors|connections).*?node\s+(\d+)|node\s+(\d+).*?(?:degree|neighbors|connections)"
-_D2 = r"how many (?:neighbors|connections) does (?:node\s+)?(\d+)"
-_L = r"(?:label|type|role).*?node\s+(\d+)|node\s+(\d+).*?(?:label|type|role|what is)"
-_B1 = r"bfs\s+from\s+(?:node\s+)?(\d+)(?:\s+depth\s+(\d+))?"
-_B2 = r"reach(?:able|ability)?\s+from\s+(?:node\s+)?(\d+)(?:\s+depth\s+(\d+))?"
-_P1 = r"(?:can|does|is).*?(?:node\s+)?(\d+).*?reach.*?(?:node\s+)?(\d+)"
-_P2 = r"path.*?(?:from|between).*?(\d+).*?(?:to|and).*?(\d+)"
-_F = r"find\s+(\w+)\s+(\w+)\s+(\w+)"
+(_D1, _D2), _L, (_B1, _B2), (_P1, _P2), _F = DEGREE, LABEL, BFS, PAIR, PATTERN
 _NAMED = " ".join(f"WHEN contains(q, '{n.lower()}') THEN '{n}'" for n in NODE_LABELS)
 _COUNTING = "(contains(q, 'how many') OR contains(q, 'count') OR contains(q, 'number'))"
 

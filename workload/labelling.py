@@ -259,17 +259,17 @@ def _index_shape(entries, index_sizes, keys):
     """Per token: padded size, rows, real rows and whether the slots are exactly 0 .. p-1."""
     rows = entries.groupBy("token").agg(
         F.count(F.lit(1)).alias("entries"), F.min("slot").alias("first_slot"), F.max("slot").alias("last_slot"),
-        F.sum("slot").alias("slot_sum"), F.min(F.length("ct")).alias("shortest"), F.max(F.length("ct")).alias("longest"),
+        F.avg("slot").alias("mean_slot"), F.min(F.length("ct")).alias("shortest"), F.max(F.length("ct")).alias("longest"),
     )
     real = open_entries(entries, keys).groupBy("token").agg(F.count(F.lit(1)).alias("real"))
     return index_sizes.join(rows, "token").join(real, "token").select(
-        "token", "p_r", "entries", "real", "first_slot", "last_slot", "slot_sum",
+        "token", "p_r", "entries", "real", "first_slot", "last_slot", "mean_slot",
         (F.col("shortest") == F.col("longest")).alias("one_length"),
     )
 
 
 _SHAPE = """SELECT sha256('{key}' || label) AS token, p AS p_r, p AS entries, r AS real, 0::BIGINT AS first_slot, p - 1 AS last_slot,
-  (p * (p - 1) // 2)::BIGINT AS slot_sum, TRUE AS one_length FROM (SELECT label, r, ({pad})::BIGINT AS p FROM {source})"""
+  (p - 1) / 2.0::DOUBLE AS mean_slot, TRUE AS one_length FROM (SELECT label, r, ({pad})::BIGINT AS p FROM {source})"""
 
 
 @query("build_label_index", graph_sql(_SHAPE.format(key=TOKEN_KEY, pad=pad("r"), source="counts")))
