@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from veilgraph.llm.base import ORACLE, QUERIES, query, table  # noqa: F401  (the entry reads the registry here)
+from veilgraph.llm.quality_model import fit_quality, score_quality
 from veilgraph.llm.quality_rules import STOP_WORDS, quality_rules
+from veilgraph.llm.sentencepiece_ids import encode_decode
 
 _WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
 
@@ -41,3 +44,16 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
+
+
+@query("op2_sentencepiece")
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"), ids=False)
+
+
+@query("op9_quality_classifier")
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_quality(docs, table(spark, sf_dir, "labels"))
+    return score_quality(docs, model).select("doc_id", "held_out", "score", "predicted")
