@@ -9,6 +9,7 @@ from veilgraph.llm.base import ORACLE, QUERIES, query, table  # noqa: F401  (the
 from veilgraph.llm.quality_model import fit_quality, score_quality
 from veilgraph.llm.quality_rules import STOP_WORDS, quality_rules
 from veilgraph.llm.sentencepiece_ids import encode_decode
+from veilgraph.llm.toxicity import fit_toxicity, score_toxicity
 
 _WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
 
@@ -57,3 +58,10 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit_quality(docs, table(spark, sf_dir, "labels"))
     return score_quality(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
+@query("op8_toxicity")
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels"))
+    return score_toxicity(docs, model).select("doc_id", "held_out", "score", "predicted")
