@@ -10,6 +10,7 @@ from veilgraph.llm.quality_model import fit_quality, score_quality
 from veilgraph.llm.quality_rules import STOP_WORDS, quality_rules
 from veilgraph.llm.sentencepiece_ids import encode_decode
 from veilgraph.llm.toxicity import fit_toxicity, score_toxicity
+from veilgraph.llm.warc import archive_round_trip
 
 _WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
 
@@ -65,3 +66,24 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit_toxicity(docs, table(spark, sf_dir, "labels"))
     return score_toxicity(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
+# Base 32 of a SHA-1: five hexadecimal digits make four of its digits.
+_SHA1_BASE32 = """array_to_string(list_transform(range(32), lambda k:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (('0x' || substr(h, 1 + 5 * (k // 4), 5))::BIGINT
+      >> (15 - 5 * (k % 4))) % 32, 1)), '')"""
+
+
+@query(
+    "op5_warc",
+    f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+g AS (SELECT t, max(page_id) AS top FROM p GROUP BY t),
+r AS (SELECT page_id, strlen(t)::BIGINT AS payload_bytes, sha1(t) AS h, top FROM p JOIN g USING (t))
+SELECT page_id, payload_bytes, {_SHA1_BASE32} AS payload_digest,
+  CASE WHEN page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id < top THEN top END AS refers_to
+FROM r""",
+)
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(table(spark, sf_dir, "pages"))
