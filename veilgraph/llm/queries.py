@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from veilgraph.llm.base import ORACLE, QUERIES, query, table  # noqa: F401  (the entry reads the registry here)
+from veilgraph.llm.html_text import main_text
 from veilgraph.llm.quality_model import fit_quality, score_quality
 from veilgraph.llm.quality_rules import STOP_WORDS, quality_rules
 from veilgraph.llm.sentencepiece_ids import encode_decode
@@ -87,3 +88,8 @@ FROM r""",
 )
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(table(spark, sf_dir, "pages"))
+
+
+@query("op4_html_text")
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
