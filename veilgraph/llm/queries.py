@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from veilgraph.llm.base import ORACLE, QUERIES, query, table  # noqa: F401  (the entry reads the registry here)
+from veilgraph.llm.base import ORACLE, QUERIES, query, table, text_of, words_of  # noqa: F401  (the entry reads the registry here)
 from veilgraph.llm.html_text import main_text
+from veilgraph.llm.merkle import LEAF, fingerprints_with_edits
+from veilgraph.llm.packing import pack
 from veilgraph.llm.quality_model import fit_quality, score_quality
 from veilgraph.llm.quality_rules import STOP_WORDS, quality_rules
 from veilgraph.llm.sentencepiece_ids import encode_decode
+from veilgraph.llm.token_counts import token_counts
 from veilgraph.llm.toxicity import fit_toxicity, score_toxicity
 from veilgraph.llm.warc import archive_round_trip
 
@@ -93,3 +97,52 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_html_text")
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+def _leaves_sql(text: str) -> str:
+    """Leaf hashes by paragraph and section."""
+    cut = f"regexp_extract_all(p, '{LEAF}')"
+    return f"""list_transform(string_split({text}, chr(10) || chr(10)), lambda s:
+      list_transform(string_split(s, chr(10)), lambda p: list_transform({cut}, lambda l: sha256('l' || l))))"""
+
+
+def _root_sql(leaves: str) -> str:
+    paragraphs = "list_transform(s, lambda p: sha256('p' || coalesce(array_to_string(p, ''), '')))"
+    return f"sha256('r' || array_to_string(list_transform({leaves}, lambda s: sha256('s' || array_to_string({paragraphs}, ''))), ''))"
+
+
+def _near_sql(root_a: str, a: str, root_b: str, b: str) -> str:
+    both, total = f"len(list_intersect({a}, {b}))", f"(len({a}) + len({b}))"
+    share = f"CASE WHEN {total} > 0 THEN 2.0::DOUBLE * {both} / {total} ELSE 0.0::DOUBLE END"
+    return f"CASE WHEN {root_a} = {root_b} THEN 1.0::DOUBLE ELSE least({share}, 1.0::DOUBLE - 1.0::DOUBLE / ({total} + 2)) END"
+
+
+@query(
+    "op1_fingerprints",
+    f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n FROM documents),
+x AS (SELECT doc_id, t, n, coalesce(lead(t) OVER o, first_value(t) OVER o) AS nt FROM d WINDOW o AS (ORDER BY doc_id DESC)),
+e AS (SELECT doc_id, t, n, nt, substr(t, 1, n - n // 2) || substr(nt, 1, n // 2) AS et FROM x),
+l AS (SELECT doc_id, n, et, {_leaves_sql("t")} AS tl, {_leaves_sql("et")} AS el, {_leaves_sql("nt")} AS nl FROM e),
+r AS (SELECT doc_id, n, et, {_root_sql("tl")} AS tr, {_root_sql("el")} AS er, {_root_sql("nl")} AS nr,
+  list_distinct(list_transform(flatten(flatten(tl)), lambda h: substr(h, 1, 15))) AS ta,
+  list_distinct(list_transform(flatten(flatten(el)), lambda h: substr(h, 1, 15))) AS ea,
+  list_distinct(list_transform(flatten(flatten(nl)), lambda h: substr(h, 1, 15))) AS na FROM l)
+SELECT doc_id, n::BIGINT AS n_chars, sha256(et) AS edited_sha256, tr AS fingerprint, er AS edited_fingerprint,
+  {_near_sql("tr", "ta", "er", "ea")} AS near_edited, {_near_sql("tr", "ta", "nr", "na")} AS near_next
+FROM r""",
+)
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints_with_edits(table(spark, sf_dir, "documents"))
+
+
+@query("op3_packing")
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sized = table(spark, sf_dir, "documents").select("doc_id", F.size(words_of(text_of())).alias("words"))
+    return pack(sized, F.col("words")).drop("words")
+
+
+@query("op7_token_counts")
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts(docs, public_tokenizers.path("piece_bpe_32k.model")).drop("text")
