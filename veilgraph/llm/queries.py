@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from veilgraph.llm.base import ORACLE, QUERIES, query, table, text_of, words_of  # noqa: F401  (the entry reads the registry here)
 from veilgraph.llm.html_text import main_text
+from veilgraph.llm.jaccard_join import near_duplicates
 from veilgraph.llm.merkle import LEAF, fingerprints_with_edits
 from veilgraph.llm.packing import pack
 from veilgraph.llm.quality_model import fit_quality, score_quality
@@ -146,3 +147,30 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts(docs, public_tokenizers.path("piece_bpe_32k.model")).drop("text")
+
+
+# Lower-cases A to Z only; a shingle is a list of words.
+_LOWER_WORDS = (
+    "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    "'[^\\x20\\x09-\\x0D]+')"
+)
+
+
+@query(
+    "op10_jaccard_join",
+    f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_LOWER_WORDS} AS ws FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, ws[i : i + 2] AS g FROM (
+    SELECT doc_id, ws, unnest(range(1, greatest(2, len(ws) - 1))) AS i FROM w WHERE len(ws) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+met AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS MATERIALIZED (SELECT x, y FROM met JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y
+  WHERE 100 * k >= 90 * (p.n + q.n - k)),
+edges AS MATERIALIZED (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach(x, y) AS (SELECT x, y FROM edges UNION SELECT r.x, e.y FROM reach r JOIN edges e ON r.y = e.x),
+least AS (SELECT x, min(y) AS y FROM reach GROUP BY x)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(w.doc_id, coalesce(least.y, w.doc_id)) AS component_id
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN least ON least.x = w.doc_id""",
+)
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
