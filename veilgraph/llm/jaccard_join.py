@@ -3,9 +3,9 @@
 1. Every text becomes a set of 64-bit shingle hashes.  Equal sets are one class,
    whose least id stands for all; copies are never compared.
 2. Exact prefix blocking.  All shingles have one order; sets that link must
-   share one of their first ``n - need + 1``.  Order: shingles of the pool (3 of
-   16, by hash) that only one class has, then the pool's others by how many
-   have them, then all other shingles by hash.  So only the pool is counted,
+   share one of their first ``n - need + 1``.  Order: shingles of the pool (a
+   share of all, by hash) that only one class has, then the pool's others by how
+   many have them, then all other shingles by hash.  So only the pool is counted,
    and a passage common to many documents comes late in the order.  Most
    documents have enough shingles of their own and can link with nothing.
 3. Classes that share a blocking shingle are connected; each connected block
@@ -44,7 +44,7 @@ from veilgraph.llm.signature_tree import UnionFind, least_overlap, link
 from veilgraph.operators.skew import Dimension, attach
 from veilgraph.runtime import save
 
-POOL, POOL_OF = 3, 16
+POOL_OF = 16
 CELL_RECORDS = 2000
 CELL_MEMBERS = 1_000_000
 MAX_TABLE_WORDS = 400_000
@@ -87,8 +87,13 @@ def shingle_set(text: str, words: int) -> np.ndarray:
     return np.unique(total)
 
 
-def in_pool(members: np.ndarray) -> np.ndarray:
-    return (members >> np.uint64(8)) % np.uint64(POOL_OF) < POOL
+def pool_size(percent: int) -> int:
+    """Sixteenths of all shingles that are counted: half as much again as a prefix takes."""
+    return min(POOL_OF, -(-155 * (100 - percent) * POOL_OF // 10_000))
+
+
+def in_pool(members: np.ndarray, percent: int) -> np.ndarray:
+    return (members >> np.uint64(8)) % np.uint64(POOL_OF) < pool_size(percent)
 
 
 def prefix_length(size: int, percent: int) -> int:
@@ -98,7 +103,7 @@ def prefix_length(size: int, percent: int) -> int:
 
 def _keys(members: np.ndarray, percent: int) -> tuple[list[int], int, list[int]]:
     """What is counted of a set: its shingles of the pool, and further first ones where these are too few."""
-    pooled = in_pool(members)
+    pooled = in_pool(members, percent)
     pool, rest = members[pooled], members[~pooled]
     more = max(0, prefix_length(len(members), percent) - len(pool))
     return pool.view(np.int64).tolist(), len(pool), rest[:more].view(np.int64).tolist()
@@ -160,7 +165,7 @@ def blocking_keys(classes: DataFrame, percent: int) -> DataFrame:
     counted = classes.select("doc_id", F.explode(F.concat("pool", "more")).alias("key"))
     shared = save(counted.groupBy("key").agg(F.count("*").alias("df")).filter("df > 1"), "shared-keys")
     hits = counted.join(shared, "key")
-    pooled = F.pmod(F.shiftrightunsigned("key", 8), F.lit(POOL_OF)) < POOL
+    pooled = F.pmod(F.shiftrightunsigned("key", 8), F.lit(POOL_OF)) < pool_size(percent)
     per_class = hits.groupBy("doc_id").agg(
         F.sort_array(F.collect_list(F.when(pooled, F.struct("df", "key")))).alias("_pool"),
         F.collect_list(F.when(~pooled, F.col("key"))).alias("_more"),
