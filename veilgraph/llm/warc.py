@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilgraph.llm.base import small_batches
+from veilgraph.llm.labelled import least_hashed
 from veilgraph.operators.skew import Dimension, attach
 from veilgraph.runtime import new_path, save
 
@@ -167,12 +168,8 @@ def write_archives(pages: DataFrame, path: str) -> None:
     spark = pages.sparkSession
     small_batches(spark)
     # At most SAMPLE_RECORDS payloads, cut to SAMPLE_CHARS, come to the driver: those of least hash.
-    sample = (
-        pages.select("page_id", "url", F.substring(F.coalesce("html", F.lit("")), 1, SAMPLE_CHARS).alias("html"))
-        .orderBy(F.xxhash64("page_id", "url"), "page_id", "url")
-        .limit(SAMPLE_RECORDS)
-        .collect()
-    )
+    cut = F.substring(F.coalesce("html", F.lit("")), 1, SAMPLE_CHARS).alias("html")
+    sample = least_hashed(pages.select("page_id", "url", cut), SAMPLE_RECORDS, "page_id", "url").collect()
     content = build_dictionary([record(r["page_id"], r["url"], r["html"].encode(), None) for r in sample])
     shared = spark.sparkContext.broadcast(content)  # DICTIONARY_BYTES at most
 
