@@ -15,8 +15,14 @@ LOW_CUTOFFS = (("Executive", 6), ("Manager", 4), ("Employee", 2), ("External", 1
 
 
 @pytest.fixture(scope="session")
-def spark():
-    return local_session(8, **{"spark.sql.shuffle.partitions": "4"})
+def shared_folder(tmp_path_factory):
+    return tmp_path_factory.mktemp("shared")
+
+
+@pytest.fixture(scope="session")
+def spark(shared_folder):
+    folders = {"spark.checkpoint.dir": str(shared_folder), "spark.sql.warehouse.dir": str(shared_folder / "warehouse")}
+    return local_session(8, **{"spark.sql.shuffle.partitions": "4"}, **folders)
 
 
 @pytest.fixture(scope="session")

@@ -53,9 +53,13 @@ def shard_size(p_r: Column, k: Column) -> Column:
 
 
 def spread(x: Column) -> Column:
-    """Scatter integer ids evenly; plain arithmetic, so any SQL engine gives the same value."""
+    """Scatter integer ids evenly; plain arithmetic, so any SQL engine gives the same value.
+
+    Ids that agree modulo the prime differ in their quotient, which is mixed in.
+    """
     prime = F.lit(2147483647).cast("bigint")
-    return F.pmod(F.pmod(x, prime) * 48271, prime)
+    quotient = F.call_function("div", x, prime)
+    return F.pmod(F.pmod(x, prime) * 48271 + F.pmod(quotient * 16807, prime), prime)
 
 
 def piece_count(degree: Column, rows: int) -> Column:

@@ -12,10 +12,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Index entries are padded to this many characters so that real and dummy
-# entries have ciphertexts of one length.
-ENTRY_WIDTH = 96
-
 
 @dataclass(frozen=True)
 class Keys:
@@ -73,6 +69,6 @@ def keyed_order(key: DataFrame, *parts: Column) -> Column:
     return F.sha2(F.concat(_value(key), F.encode(text, "UTF-8")), 256)
 
 
-def fixed_width(text: Column, width: int = ENTRY_WIDTH) -> Column:
-    """Blank-pad short text; longer text is left whole."""
-    return F.when(F.length(text) < width, F.rpad(text, width, " ")).otherwise(text)
+def fixed_width(text: Column, width: int) -> Column:
+    """Text blank-padded to ``width`` bytes in UTF-8; longer text is left whole."""
+    return F.concat(text, F.repeat(F.lit(" "), F.greatest(F.lit(width) - F.octet_length(text), F.lit(0))))

@@ -10,14 +10,17 @@ from pyspark.sql import functions as F
 from veilgraph.functions.crypto import Keys, evaluated_once, fixed_width, keyed_order, keyed_token, seal, unseal
 from veilgraph.operators.padding import dummy_entries, pad_table
 from veilgraph.operators.skew import filter_by_keys, join_small, with_positions
-from veilgraph.runtime import save
+from veilgraph.runtime import keep, save, scratch
+
+# So many asked tokens are also named in the scan, which then opens only their directories.
+NAMED_TOKENS = 1000
 
 ENTRY = "kind string, id bigint, u bigint, v bigint, pad string"
 
 
 @dataclass(frozen=True)
 class LabelIndex:
-    """entries (token, slot, ct) and sizes (token, p_r)."""
+    """entries (token, slot, ct), a directory per token where it was built, and sizes (token, p_r)."""
 
     entries: DataFrame
     sizes: DataFrame
@@ -42,24 +45,38 @@ def label_pads(histogram: DataFrame) -> DataFrame:
 
 
 def build_label_index(histogram: DataFrame, keys: Keys) -> LabelIndex:
-    """Pad every label, give each entry a slot that says nothing about its kind, encrypt, write."""
-    pads = save(label_pads(histogram), "label-pads")
+    """Pad every label, encrypt each entry, give it a slot that says nothing about its kind, write.
+
+    Entries are blank-padded to the longest of this build, so all blobs have one
+    length.  They are sealed before anything is written: what is written holds
+    tokens, keyed hashes, slots and ciphertexts only.
+    """
+    with scratch(histogram.sparkSession):
+        return _build(histogram, keys)
+
+
+def _build(histogram: DataFrame, keys: Keys) -> LabelIndex:
+    token = keyed_token(F.col("label"), keys.token)
+    pads = label_pads(histogram).withColumn("token", token)
+    sizes = save(pads.select("token", "r", "p_r", "dummies"), "label-index-sizes")
+    pads = histogram.select("label").distinct().withColumn("token", token).join(sizes, "token")
     null = F.lit(None).cast("bigint")
     real = histogram.withColumn("pad", F.lit(None).cast("string"))
     dummies = dummy_entries(pads).select(
         "label", F.lit("d").alias("kind"), null.alias("id"), null.alias("u"), null.alias("v"),
         F.col("text").alias("pad"),
     )
+    rows = real.unionByName(dummies)
     order = keyed_order(keys.index, *[F.col(c) for c in ("label", "kind", "id", "u", "v", "pad")])
-    slotted = with_positions(
-        real.unionByName(dummies).withColumn("_order", order), ["_order"], within=["label"], name="slot"
+    text = F.to_json(F.struct("kind", "id", "u", "v", "pad"))
+    width = rows.agg(F.max(F.octet_length(text))).first()[0] or 0
+    sealed = save(
+        rows.select(token.alias("token"), order.alias("_order"), seal(fixed_width(text, width), keys.index).alias("ct")),
+        "sealed-entries",
     )
-    text = fixed_width(F.to_json(F.struct("kind", "id", "u", "v", "pad")))
-    entries = slotted.select(
-        keyed_token(F.col("label"), keys.token).alias("token"), "slot", seal(text, keys.index).alias("ct")
-    )
-    sizes = pads.select(keyed_token(F.col("label"), keys.token).alias("token"), "p_r")
-    return LabelIndex(save(entries, "label-index"), save(sizes, "label-index-sizes"))
+    slotted = with_positions(sealed, ["_order"], within=["token"], name="slot")
+    entries = keep(save(slotted.select("token", "slot", "ct"), "label-index", ("token",)))
+    return LabelIndex(entries.select("token", "slot", "ct"), keep(sizes).select("token", "p_r"))
 
 
 def open_entries(entries: DataFrame, keys: Keys) -> DataFrame:
@@ -71,24 +88,37 @@ def open_entries(entries: DataFrame, keys: Keys) -> DataFrame:
 
 
 def fetch_entries(index: LabelIndex, labels: DataFrame, keys: Keys) -> DataFrame:
-    """All index rows (label, slot, ct) of the asked labels, real and dummy.
+    """All index rows (token, slot, ct) of the asked labels, real and dummy.
 
     A label may fill a third of the index: the short list of asked tokens is
-    broadcast, the index is not shuffled.
+    broadcast, the index is not shuffled.  A list of up to NAMED_TOKENS also
+    prunes the directories that are opened.
     """
-    asked = labels.select("label").distinct().withColumn("token", keyed_token(F.col("label"), keys.token))
-    return join_small(index.entries, save(asked, "asked-labels"), ["token"]).select("label", "slot", "ct")
+    tokens = save(asked_tokens(labels, keys).select("token"), "asked-tokens")
+    named = [r["token"] for r in tokens.limit(NAMED_TOKENS + 1).collect()]
+    entries = index.entries.filter(F.col("token").isin(named)) if len(named) <= NAMED_TOKENS else index.entries
+    return join_small(entries, tokens, ["token"]).select("token", "slot", "ct")
+
+
+def asked_tokens(labels: DataFrame, keys: Keys) -> DataFrame:
+    """(label, token) of the distinct asked labels."""
+    return labels.select("label").distinct().withColumn("token", keyed_token(F.col("label"), keys.token))
+
+
+def with_label(rows: DataFrame, labels: DataFrame, keys: Keys) -> DataFrame:
+    """Put the asked ``label`` in the place of ``token``."""
+    return join_small(rows, asked_tokens(labels, keys), ["token"]).drop("token")
 
 
 def index_lookup(index: LabelIndex, labels: DataFrame, keys: Keys) -> DataFrame:
     """The real entries (label, slot, kind, id, u, v) of the asked labels; unknown labels give none."""
-    return open_entries(fetch_entries(index, labels, keys), keys)
+    opened = open_entries(fetch_entries(index, labels, keys), keys)
+    return with_label(opened, labels, keys).select("label", "slot", "kind", "id", "u", "v")
 
 
 def lookup_sizes(index: LabelIndex, labels: DataFrame, keys: Keys) -> DataFrame:
     """(label, p_r) of the asked labels, 0 for unknown ones."""
-    asked = labels.select("label").distinct().withColumn("token", keyed_token(F.col("label"), keys.token))
-    return asked.join(index.sizes, "token", "left").select(
+    return asked_tokens(labels, keys).join(index.sizes, "token", "left").select(
         "label", F.coalesce("p_r", F.lit(0).cast("bigint")).alias("p_r")
     )
 

@@ -54,7 +54,9 @@ def fetch_lists(blocks: DataFrame, key: str, store: Store) -> DataFrame:
 
     The join key (node_id, piece) splits hubs over many join groups.
     """
-    wanted = repeat_rows(blocks.select(key, "node_id", "pieces"), F.col("pieces"), [key, "node_id"], index="piece")
+    wanted = repeat_rows(
+        blocks.select(key, "node_id", "pieces"), F.col("pieces"), [key, "node_id"], index="piece", written=True
+    )
     return save(
         wanted.join(store.adjacency, ["node_id", "piece"]).select(key, "node_id", "piece", "adj_ct"), "fetched-lists"
     )

@@ -6,10 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilgraph.functions.arithmetic import doubled_size, padded_size
-from veilgraph.operators.skew import repeat_rows, with_positions
-
-# Rows of the store per block when a window of positions is looked up.
-WINDOW_BLOCK = 65_536
+from veilgraph.operators.skew import Dimension, attach, repeat_rows, with_positions
+from veilgraph.runtime import save
 
 
 def pad_table(counts: DataFrame, key: str, size=padded_size) -> DataFrame:
@@ -22,7 +20,8 @@ def pad_table(counts: DataFrame, key: str, size=padded_size) -> DataFrame:
 def dummy_entries(pads: DataFrame, key: str = "label") -> DataFrame:
     """(key, i, text): the dummy entries of every key."""
     text = F.concat(F.lit("__dummy_"), F.col("i").cast("string"), F.lit("__"), F.col(key).cast("string"))
-    return repeat_rows(pads.select(key, "dummies"), F.col("dummies"), [key]).select(key, "i", text.alias("text"))
+    rows = repeat_rows(pads.select(key, "dummies"), F.col("dummies"), [key], written=True)
+    return rows.select(key, "i", text.alias("text"))
 
 
 def window_start(p_r: Column, total: Column, dummies: Column) -> Column:
@@ -33,24 +32,28 @@ def window_start(p_r: Column, total: Column, dummies: Column) -> Column:
 def decoy_window(pads: DataFrame, key: str, store: DataFrame, total: int) -> DataFrame:
     """The store rows (dense ``pos``) that pad the read of each key: ``dummies`` rows from its start.
 
-    Windows are joined to the store by position block, an equality.  The outer
-    bounds of all windows are two scalars, so the scan skips what lies outside.
+    Windows are written out as positions and joined on the position, so the join
+    makes as many rows as there are decoys.  A position that very many windows
+    share is looked up by broadcast.  The outer bounds of all windows are two
+    scalars, so the scan skips what lies outside.
     """
-    windows = (
-        pads.filter(F.col("dummies") > 0)
-        .select(key, "dummies", window_start(F.col("p_r"), F.lit(total).cast("bigint"), F.col("dummies")).alias("_from"))
-        .withColumn("_to", F.col("_from") + F.col("dummies"))
+    windows = save(
+        pads.filter(F.col("dummies") > 0).select(
+            key, "dummies", window_start(F.col("p_r"), F.lit(total).cast("bigint"), F.col("dummies")).alias("_from")
+        ),
+        "windows",
     )
-    low, high = windows.agg(F.min("_from"), F.max("_to")).first()
+    low, high = windows.agg(F.min("_from"), F.max(F.col("_from") + F.col("dummies"))).first()
+    places = repeat_rows(windows, F.col("dummies"), [key], index="_i", written=True)
+    places = save(places.select(key, (F.col("_from") + F.col("_i")).alias("pos")), "decoy-places")
+    asked = places.groupBy("pos").agg(F.count(F.lit(1)).alias("_asked"))
     in_reach = store.filter((F.col("pos") >= (low or 0)) & (F.col("pos") < (high or 0)))
-    blocks = windows.select(
-        key, "_from", "_to",
-        F.explode(F.expr(f"sequence(_from div {WINDOW_BLOCK}, (_to - 1) div {WINDOW_BLOCK})")).alias("_block"),
-    )
-    found = in_reach.withColumn("_block", F.expr(f"pos div {WINDOW_BLOCK}")).join(blocks, "_block")
-    return found.filter((F.col("pos") >= F.col("_from")) & (F.col("pos") < F.col("_to"))).drop(
-        "_block", "_from", "_to"
-    )
+    found = save(in_reach.join(asked, "pos"), "decoy-rows")
+    dim = Dimension.of(found, "pos", "_asked")
+    scatter = -1 - F.pmod(F.xxhash64(key, "pos"), F.lit(1 << 62))
+    columns = {c: c for c in store.columns if c != "pos"}
+    # A store shorter than a window has no row for its last places.
+    return attach(places, "pos", dim, columns, scatter).filter(F.col(next(iter(columns))).isNotNull())
 
 
 def decoy_copies(batch: DataFrame, key: str, order: list[str], size=doubled_size) -> DataFrame:

@@ -12,7 +12,10 @@ from veilgraph.functions.crypto import Keys, evaluated_once, seal, unseal, unsea
 from veilgraph.operators.adjacency import LIST_ROWS, build_adjacency
 from veilgraph.operators.graph import Graph
 from veilgraph.operators.skew import with_positions
-from veilgraph.runtime import save
+from veilgraph.runtime import keep, save, save_bucketed, scratch
+
+# Rows per bucket of the stored neighbour lists.
+BUCKET_LISTS = 200_000
 
 NODE_RECORD = "id bigint, label string, attrs map<string,string>"
 EDGE_RECORD = "src bigint, dst bigint, label string, attrs map<string,string>"
@@ -100,13 +103,22 @@ class Store:
 
 
 def build_store(graph: Graph, keys: Keys, list_rows: int = LIST_ROWS) -> Store:
-    """Encrypt a graph and write the three tables, sorted by ``pos`` so range reads skip files."""
-    nodes = with_positions(
-        graph.nodes.select("id", "label", piece_count(F.col("degree"), list_rows).alias("pieces")), ["id"]
-    )
-    edges = with_positions(graph.edges.select("u", "v", "label"), ["u", "v"])
-    nodes = save(protect_nodes(nodes, keys), "protected-nodes")
-    edges = save(protect_edges(edges, keys), "protected-edges")
-    lists = build_adjacency(graph.edges, list_rows)
-    adjacency = save(protect_adjacency(lists, keys), "protected-adjacency")
-    return Store(nodes, edges, adjacency, nodes.count(), edges.count())
+    """Encrypt a graph and write the three tables.
+
+    Nodes and edges are sorted by ``pos``, so range reads skip files; lists are
+    bucketed by (node_id, piece), so reading some of them moves none.  Records
+    are sealed before anything is written.
+    """
+    with scratch(graph.nodes.sparkSession):
+        records = graph.nodes.select("id", "label", piece_count(F.col("degree"), list_rows).alias("pieces"))
+        nodes = save(protect_nodes(records, keys), "sealed-nodes")
+        edges = save(protect_edges(graph.edges.select("u", "v", "label"), keys), "sealed-edges")
+        nodes = keep(save(with_positions(nodes, ["node_id"]), "protected-nodes"))
+        edges = keep(save(with_positions(edges, ["src", "dst"]), "protected-edges"))
+        lists = protect_adjacency(build_adjacency(graph.edges, list_rows), keys)
+        n_nodes, n_edges = nodes.count(), edges.count()
+        default = int(graph.nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        # Every node has at least one piece, and a piece for each ``list_rows`` further entries.
+        buckets = max(default, -(-(n_nodes + 2 * n_edges // list_rows) // BUCKET_LISTS))
+        adjacency = save_bucketed(lists, "protected_adjacency", buckets, "node_id", "piece")
+    return Store(nodes, edges, adjacency, n_nodes, n_edges)

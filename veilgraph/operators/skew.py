@@ -119,18 +119,27 @@ def with_positions(
     )
 
 
-def repeat_rows(df: DataFrame, times: Column, keys: list[str], index: str = "i") -> DataFrame:
+def repeat_rows(
+    df: DataFrame, times: Column, keys: list[str], index: str = "i", written: bool = False
+) -> DataFrame:
     """Emit each row ``times`` times, numbered from 0.
 
     A row is first cut into blocks of copies and the blocks are redistributed,
-    so one row with an enormous count is not expanded by a single task.
+    so one row with an enormous count is not expanded by a single task.  Of a
+    ``written`` table, which is cheap to read twice, only rows of several
+    blocks are moved.
     """
-    blocks = (
-        df.withColumn("_times", times.cast("bigint"))
-        .filter(F.col("_times") > 0)
-        .withColumn("_block", F.explode(F.expr(f"sequence(0L, (_times - 1) div {REPEAT_BLOCK})")))
-        .repartition(*keys, "_block")
-    )
+    counted = df.withColumn("_times", times.cast("bigint")).filter(F.col("_times") > 0)
+
+    def cut(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("_block", F.explode(F.expr(f"sequence(0L, (_times - 1) div {REPEAT_BLOCK})")))
+
+    if written:
+        long = cut(counted.filter(F.col("_times") > REPEAT_BLOCK)).repartition(*keys, "_block")
+        blocks = counted.filter(F.col("_times") <= REPEAT_BLOCK).withColumn("_block", F.lit(0).cast("bigint"))
+        blocks = blocks.unionByName(long)
+    else:
+        blocks = cut(counted).repartition(*keys, "_block")
     first = F.col("_block") * REPEAT_BLOCK
     last = F.least(F.col("_times"), first + REPEAT_BLOCK) - 1
     return blocks.withColumn(index, F.explode(F.sequence(first, last))).drop("_times", "_block")

@@ -132,8 +132,10 @@ def _answers(asked: DataFrame, graph: Graph, table: NeighbourTable) -> DataFrame
 
     bfs = of("bfs").select("key", F.col("node").alias("seed"), "depth")
     pairs = of("pair").select("key", F.col("node").alias("src"), F.col("other").alias("dst"))
-    # One traversal serves both kinds of question.
-    starts = bfs.select("seed").unionByName(pairs.select(F.col("src").alias("seed")))
+    # One traversal serves both kinds of question; each start goes as far as its own kind asks.
+    starts = bfs.select("seed", F.lit(GREATEST_DEPTH).alias("limit")).unionByName(
+        pairs.select(F.col("src").alias("seed"), F.lit(PAIR_HOPS).alias("limit"))
+    )
     found = reach(starts, nodes, table, max(GREATEST_DEPTH, PAIR_HOPS))
     reached = reachable_counts(bfs, found, GREATEST_DEPTH)
     joined = pairs_reached(pairs, nodes, found, PAIR_HOPS)

@@ -10,10 +10,9 @@ from pyspark.sql import functions as F
 from veilgraph.functions.arithmetic import piece_count, spread
 from veilgraph.functions.crypto import Keys
 from veilgraph.operators.adjacency import LIST_ROWS
-from veilgraph.operators.graph import attach_endpoint_labels, degrees
 from veilgraph.operators.index import LabelIndex, label_histogram, rebuild_label_index
 from veilgraph.operators.protect import protect_adjacency
-from veilgraph.operators.skew import filter_by_keys
+from veilgraph.operators.skew import Dimension, attach, filter_by_keys
 from veilgraph.runtime import new_path, save
 from veilgraph.sources.store import with_endpoints
 
@@ -85,8 +84,12 @@ def summary_of(node_changes: DataFrame, edge_changes: DataFrame) -> DataFrame:
 
 
 def sync_summary(old_nodes: DataFrame, old_edges: DataFrame, new_nodes: DataFrame, new_edges: DataFrame) -> DataFrame:
-    """One row of counters; one full outer join per table."""
-    return summary_of(changes(old_nodes, new_nodes, ["id"]), changes(old_edges, new_edges, EDGE_KEY))
+    """One row of counters; one full outer join per table.
+
+    As in ``sync_apply``, an edge with an endpoint outside the snapshot's nodes is not there.
+    """
+    alive = with_endpoints(new_edges.select("u", "v", "label"), new_nodes, "u", "v")
+    return summary_of(changes(old_nodes, new_nodes, ["id"]), changes(old_edges, alive, EDGE_KEY))
 
 
 def touched_nodes(edge_changes: DataFrame) -> DataFrame:
@@ -101,39 +104,36 @@ def touched_labels(node_changes: DataFrame, edge_changes: DataFrame) -> DataFram
 
 
 def rebuild_adjacency(
-    adjacency: DataFrame, nodes: DataFrame, edges: DataFrame, touched: DataFrame, gone: DataFrame, keys: Keys,
-    list_rows: int = LIST_ROWS,
+    adjacency: DataFrame, edges: DataFrame, touched: DataFrame, gone: DataFrame, keys: Keys, list_rows: int = LIST_ROWS
 ) -> DataFrame:
     """Neighbour lists after a change: new blobs for ``touched`` nodes (id), none for those ``gone`` (id), the rest as is.
 
     The lists come from the reconciled edges, never from an older list.
     """
-    counted = nodes.select("id", "label").join(degrees(edges), "id", "left").withColumn(
-        "degree", F.coalesce("degree", F.lit(0).cast("bigint"))
-    )
-    sized = attach_endpoint_labels(edges.select("u", "v", "label"), save(counted, "counted-nodes"))
     ends = save(touched.select("id").distinct(), "touched")
     stale = save(ends.unionByName(gone.select("id")).distinct().withColumnRenamed("id", "node_id"), "stale")
-    lists = build_adjacency_of(sized, ends, list_rows)
+    lists = build_adjacency_of(edges, ends, list_rows)
     kept = filter_by_keys(adjacency, "node_id", stale, keep=False)
     return kept.unionByName(protect_adjacency(lists, keys).select(*adjacency.columns))
 
 
 def build_adjacency_of(edges: DataFrame, ids: DataFrame, list_rows: int = LIST_ROWS) -> DataFrame:
-    """``build_adjacency`` for the owners in the written table ``ids`` (id) only."""
+    """``build_adjacency`` for the owners in the written table ``ids`` (id) only.
+
+    Edges are cut down to those owners first; an owner's degree is the number of its rows then.
+    """
     near = filter_by_keys(edges, "u", ids.withColumnRenamed("id", "u"))
     far = filter_by_keys(edges, "v", ids.withColumnRenamed("id", "v"))
 
     def side(rows, own, other):
-        pieces = piece_count(F.col(f"{own}_degree"), list_rows)
-        return rows.select(
-            F.col(own).alias("id"),
-            F.pmod(spread(F.col(other)), pieces).alias("piece"),
-            F.struct(F.col(other).alias("nbr"), F.col("label").alias("lbl")).alias("entry"),
-        )
+        return rows.select(F.col(own).alias("id"), F.col(other).alias("nbr"), "label")
 
-    rows = side(near, "u", "v").unionByName(side(far, "v", "u"))
-    return rows.groupBy("id", "piece").agg(F.array_sort(F.collect_list("entry")).alias("nbrs"))
+    rows = save(side(near, "u", "v").unionByName(side(far, "v", "u")), "touched-neighbours")
+    counts = save(rows.groupBy("id").agg(F.count(F.lit(1)).alias("degree")), "touched-degrees")
+    sized = attach(rows, "id", Dimension.of(counts, "id", "degree"), {"degree": "_degree"}, F.xxhash64("nbr"))
+    piece = F.pmod(spread(F.col("nbr")), piece_count(F.col("_degree"), list_rows))
+    entries = sized.select("id", piece.alias("piece"), F.struct("nbr", F.col("label").alias("lbl")).alias("entry"))
+    return entries.groupBy("id", "piece").agg(F.array_sort(F.collect_list("entry")).alias("nbrs"))
 
 
 def write_state(state: State, path: str) -> None:
@@ -173,7 +173,7 @@ def sync_apply(
     if not summary.first()["changed"]:
         return old, summary
     gone = node_changes.filter("change = 'removed'")
-    adjacency = rebuild_adjacency(old.adjacency, nodes, edges, touched_nodes(edge_changes), gone, keys)
+    adjacency = rebuild_adjacency(old.adjacency, edges, touched_nodes(edge_changes), gone, keys)
     labels = touched_labels(node_changes, edge_changes)
     index = rebuild_label_index(old.index, label_histogram(nodes, edges), labels, keys)
     path = path or new_path(spark, "state")

@@ -28,7 +28,7 @@ from veilgraph.operators.lookup import (
 )
 from veilgraph.operators.padding import decoy_copies, pad_table
 from veilgraph.operators.protect import Store, open_lists
-from veilgraph.operators.skew import MAX_HUBS, with_positions
+from veilgraph.operators.skew import with_positions
 from veilgraph.runtime import save, save_bucketed
 
 BITS = 62
@@ -63,15 +63,17 @@ class Reached:
 
 
 def reach(seeds: DataFrame, nodes: DataFrame, table: NeighbourTable, max_depth: int) -> Reached:
-    """Distances up to ``max_depth`` from every ``seed``; starts that are no nodes reach nothing."""
-    starts = save(seeds.select("seed").distinct(), "starts")
-    if starts.count() <= MAX_HUBS:
-        numbered = starts.withColumn("_at", F.row_number().over(Window.orderBy("seed")) - 1)  # a counted, short list
-    else:
-        numbered = with_positions(starts, ["seed"], name="_at")
+    """Distances up to ``max_depth`` from every ``seed``; starts that are no nodes reach nothing.
+
+    ``seeds`` may name a ``limit`` of its own for a start; beyond it the start's bit is dropped.
+    """
+    limit = F.max("limit") if "limit" in seeds.columns else F.lit(max_depth)
+    starts = save(seeds.groupBy("seed").agg(limit.alias("limit")), "starts")
+    numbered = with_positions(starts, ["seed"], name="_at")
     placed = save(
         numbered.select(
             "seed",
+            "limit",
             F.expr(f"_at div {BITS}").alias("block"),
             F.expr(f"cast(_at % {BITS} as int)").alias("bit"),
         ),
@@ -89,7 +91,14 @@ def reach(seeds: DataFrame, nodes: DataFrame, table: NeighbourTable, max_depth:
     )
     levels = [save(start, "level")]
     for depth in range(1, max_depth + 1):
-        frontier = levels[-1].select(
+        last = levels[-1]
+        if "limit" in seeds.columns:
+            going = placed.filter(F.col("limit") >= depth).groupBy("block").agg(
+                F.bit_or(F.expr("shiftleft(1L, bit)")).alias("_going")
+            )
+            last = last.join(going, "block").withColumn("mask", F.col("mask").bitwiseAND(F.col("_going")))
+            last = last.filter(F.col("mask") != 0)
+        frontier = last.select(
             "block", "mask", F.col("node").alias("id"),
             F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("pieces") - 1)).alias("piece"),
         )
@@ -112,7 +121,7 @@ def reach(seeds: DataFrame, nodes: DataFrame, table: NeighbourTable, max_depth:
             break
         levels.append(saved)
     count = placed.count()
-    return Reached(placed, reduce(DataFrame.unionByName, levels).drop("pieces"), min(BITS, max(count, 1)))
+    return Reached(placed.drop("limit"), reduce(DataFrame.unionByName, levels).drop("pieces"), min(BITS, max(count, 1)))
 
 
 def level_sizes(reached: Reached, max_depth: int) -> DataFrame:
@@ -261,10 +270,9 @@ def bfs_levels(
 
 
 def bfs_by_start_class(
-    starts: DataFrame, nodes: DataFrame, table: NeighbourTable, ks: tuple[int, ...] = (1, 2, 4, 8), max_depth: int = DEPTH_CAP
+    starts: DataFrame, nodes: DataFrame, table: NeighbourTable, max_depth: int = DEPTH_CAP
 ) -> DataFrame:
-    """(class, seed, depth, k, visited) for starts (class, id): one traversal serves all depths and k."""
+    """(class, seed, depth, visited) for starts (class, id): one traversal serves all depths."""
     seeds = starts.select("class", F.col("id").alias("seed"))
     sizes = bfs_plain(seeds, nodes, table, max_depth).select("seed", "depth", "visited")
-    grid = F.array(*[F.lit(k).cast("bigint") for k in ks])
-    return seeds.join(sizes, "seed").select("class", "seed", "depth", F.explode(grid).alias("k"), "visited")
+    return seeds.join(sizes, "seed").select("class", "seed", "depth", "visited")

@@ -9,12 +9,14 @@ size lets the planner choose a broadcast join only when the side is small.
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL_ROOTS: dict[str, str] = {}
+# Paths written in each open scratch scope, innermost last.
+_SCOPES: list[list[str]] = []
 
 
 def local_session(cpus: int | str = 8, **conf: str) -> SparkSession:
@@ -38,18 +40,40 @@ def local_session(cpus: int | str = 8, **conf: str) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """Folder for written tables: ``spark.checkpoint.dir``, seen by all executors.
 
-    Only a local master may go without that setting; it then gets a temporary
-    folder, because driver and executors are the same machine.
+    Where that is unset it is the SQL warehouse, which executors share as well.
     """
-    app = spark.sparkContext.applicationId
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        if app not in _LOCAL_ROOTS:
-            _LOCAL_ROOTS[app] = tempfile.mkdtemp(prefix="veilgraph-")
-        root = _LOCAL_ROOTS[app]
-    return os.path.join(root, "veilgraph", app)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return os.path.join(root, "veilgraph", spark.sparkContext.applicationId)
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a written table, on whatever file system it lies."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside are deleted at the end, but for those handed to ``keep``.
+
+    For work that ends in written tables: what it returns must not read the others.
+    """
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            remove_path(spark, path)
+
+
+def keep(table: DataFrame) -> DataFrame:
+    """Take a table written in the innermost scratch scope out of it."""
+    path = table._written_path
+    if _SCOPES and path in _SCOPES[-1]:
+        _SCOPES[-1].remove(path)
+        if len(_SCOPES) > 1:
+            _SCOPES[-2].append(path)
+    return table
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -69,8 +93,12 @@ def save(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFr
     then reads only their directories.
     """
     path = new_path(df.sparkSession, name)
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     df.write.partitionBy(*partition_by).parquet(path)
-    return read_table(df.sparkSession, path, df)
+    table = read_table(df.sparkSession, path, df)
+    table._written_path = path
+    return table
 
 
 def save_bucketed(df: DataFrame, name: str, buckets: int, *keys: str) -> DataFrame:

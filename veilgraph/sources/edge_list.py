@@ -57,5 +57,10 @@ def parse_edge_lines(lines: DataFrame, mode: str = "strict") -> EdgeList:
 
 
 def scan_edge_list(spark: SparkSession, path: str, mode: str = "strict") -> EdgeList:
-    """Read text files under ``path``; ``.gz`` files are unpacked by the codec, one task per file."""
-    return parse_edge_lines(spark.read.text(path), mode)
+    """Read text files under ``path``; ``.gz`` files are unpacked by the codec, one task per file.
+
+    The lines of a packed file are spread before they are parsed.
+    """
+    lines = spark.read.text(path)
+    packed = any(name.endswith(".gz") for name in lines.inputFiles())
+    return parse_edge_lines(lines.repartition(spark.sparkContext.defaultParallelism) if packed else lines, mode)

@@ -13,11 +13,10 @@ from pyspark.sql import functions as F
 from veilgraph.operators.skew import Dimension, attach
 from veilgraph.runtime import save
 
-# First id of each entity kind, and the quantity of a bulk line.
+# First id of each entity kind.
 CUSTOMER, SUPPLIER, PART, NATION, ORDER, REGION = (
     1_000_000_000, 2_000_000_000, 3_000_000_000, 4_000_000_000, 5_000_000_000, 6_000_000_000,
 )
-BULK_QUANTITY = 49
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,24 +36,23 @@ def trade_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     supplier = table(spark, sf_dir, "supplier")
     nation = table(spark, sf_dir, "nation")
 
-    # One row per order with bulk lines; it serves two kinds of edges.  An order
+    # One row per order with lines; it serves two kinds of edges.  An order
     # with very many lines is looked up by broadcast and never becomes one join group.
-    bulk = lineitem.filter(F.col("l_quantity") >= BULK_QUANTITY)
-    per_order = bulk.groupBy("l_orderkey").agg(
+    per_order = lineitem.groupBy("l_orderkey").agg(
         F.count(F.lit(1)).alias("lines"), F.min("l_suppkey").alias("first"), F.max("l_suppkey").alias("last")
     )
-    bulk_orders = save(
-        per_order.join(orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey"), "bulk-orders"
+    shipped = save(
+        per_order.join(orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey"), "shipped-orders"
     )
     bought = attach(
-        bulk.select("l_orderkey", "l_suppkey", "l_partkey"),
+        lineitem.select("l_orderkey", "l_suppkey", "l_partkey"),
         "l_orderkey",
-        Dimension.of(bulk_orders, "l_orderkey", "lines"),
+        Dimension.of(shipped, "l_orderkey", "lines"),
         {"o_custkey": "o_custkey"},
         F.xxhash64("l_suppkey", "l_partkey"),
     ).filter(F.col("o_custkey").isNotNull())
     bought = bought.select(entity(CUSTOMER, "o_custkey").alias("u"), entity(SUPPLIER, "l_suppkey").alias("v"))
-    co_shipped = bulk_orders.select(entity(SUPPLIER, "first").alias("u"), entity(SUPPLIER, "last").alias("v"))
+    co_shipped = shipped.select(entity(SUPPLIER, "first").alias("u"), entity(SUPPLIER, "last").alias("v"))
     supplied = lineitem.select(entity(SUPPLIER, "l_suppkey").alias("u"), entity(PART, "l_partkey").alias("v"))
     placed = orders.select(entity(CUSTOMER, "o_custkey").alias("u"), entity(ORDER, "o_orderkey").alias("v"))
     resident = customer.select(entity(NATION, "c_nationkey").alias("u"), entity(CUSTOMER, "c_custkey").alias("v"))

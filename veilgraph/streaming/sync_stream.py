@@ -1,7 +1,8 @@
 """Snapshot reconciliation as a Structured Streaming job over snapshot manifests.
 
-A manifest is one small JSON file {"snapshot_id", "path"}; the snapshot's
-tables lie under ``path``/nodes and ``path``/edges.  (Streaming the snapshot rows
+A manifest is one small JSON file {"snapshot_id", "path", "sequence"}; the snapshot's
+tables lie under ``path``/nodes and ``path``/edges, and ``sequence`` orders the
+manifests of one file.  (Streaming the snapshot rows
 themselves could split a snapshot over two batches.)  Every batch writes its
 state under its own batch id and reads the newest state of an earlier batch,
 so a replayed batch writes the same again.
@@ -11,6 +12,7 @@ from __future__ import annotations
 
 import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -19,7 +21,7 @@ from veilgraph.functions.crypto import Keys
 from veilgraph.plans.sync import State, read_state, sync_apply, write_state
 from veilgraph.sources.snapshot import scan_edge_snapshot, scan_node_snapshot
 
-MANIFEST = "snapshot_id string, path string"
+MANIFEST = "snapshot_id string, path string, sequence bigint"
 COUNTERS = ("nodes_added", "nodes_removed", "nodes_updated", "edges_added", "edges_removed", "edges_relabelled")
 HISTORY = (
     "step int, snapshot_id string, state_path string, "
@@ -56,26 +58,27 @@ def current_state_path(spark: SparkSession, root: str, before: int) -> str:
 
 
 def apply_manifests(spark: SparkSession, manifests: list, root: str, batch_id: int, keys: Keys) -> None:
-    """Reconcile with each manifest's snapshot in turn; a bad snapshot is recorded and skipped."""
+    """Reconcile with each manifest's snapshot in turn.
+
+    A snapshot that cannot be read (no such path, other columns) is recorded and
+    skipped.  Any other failure fails the batch, which the stream then replays.
+    """
     path = current_state_path(spark, root, batch_id)
     rows = []
     for step, manifest in enumerate(manifests):
         counters, changed, error = (0,) * len(COUNTERS), False, None
         try:
+            nodes = scan_node_snapshot(spark, f"{manifest['path']}/nodes")
+            edges = scan_edge_snapshot(spark, f"{manifest['path']}/edges")
+        except AnalysisException as problem:  # the stream goes on; the reason is in the history
+            error = f"{type(problem).__name__}: {problem}"
+        else:
             target = os.path.join(root, "state", f"batch={batch_id}", f"step={step}")
-            _, summary = sync_apply(
-                read_state(spark, path),
-                scan_node_snapshot(spark, f"{manifest['path']}/nodes"),
-                scan_edge_snapshot(spark, f"{manifest['path']}/edges"),
-                keys,
-                target,
-            )
+            _, summary = sync_apply(read_state(spark, path), nodes, edges, keys, target)
             found = summary.first()
             if found["changed"]:
                 path = target
             counters, changed = tuple(found[c] for c in COUNTERS), found["changed"]
-        except Exception as problem:  # the stream goes on; the failure is in the history
-            error = f"{type(problem).__name__}: {problem}"[:500]
         rows.append((step, manifest["snapshot_id"], path, *counters, changed, error))
     _record(spark, root, batch_id, rows)
 
@@ -88,7 +91,7 @@ def start_sync(
 
     def batch(rows: DataFrame, batch_id: int) -> None:
         # One manifest file per batch: a row or a few.
-        found = rows.orderBy("snapshot_id").collect()
+        found = rows.orderBy(F.col("sequence").asc_nulls_first(), "snapshot_id").collect()
         apply_manifests(rows.sparkSession, found, root, batch_id, keys)
 
     writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", f"{root}/checkpoint")

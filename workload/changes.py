@@ -65,12 +65,12 @@ def mean_over_runs_query(w):
 
 @query("overall_mean_by_scheme", f"""{RUNS_SQL}, means AS (
   SELECT scheme, avg(t_total_ms) m FROM runs WHERE label IN ('click', 'view') GROUP BY scheme
-  UNION ALL SELECT scheme, avg(t_total_ms) FROM runs WHERE label IN ('signup', 'purchase') GROUP BY scheme)
+  UNION ALL SELECT scheme, avg(t_total_ms) FROM runs WHERE label IN ('signup', 'purchase', 'error') GROUP BY scheme)
 SELECT scheme, round(avg(m), 2) AS value FROM means GROUP BY scheme""")
 def overall_mean_by_scheme_query(w):
     runs = run_log(w)
     first = filter_runs(runs, label=["click", "view"])
-    second = filter_runs(runs, label=["signup", "purchase"])
+    second = filter_runs(runs, label=["signup", "purchase", "error"])
     return overall_mean_by_scheme(first, second, "t_total_ms")
 
 
@@ -208,7 +208,7 @@ def _rebuilt(w, came: bool):
     changed = added(old, new, ["u", "v"]) if came else removed(old, new, ["u", "v"])
     ends = save(changed.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "ends")
     gone = removed(w.nodes, nodes, ["id"])
-    lists = save(rebuild_adjacency(w.store.adjacency, nodes, new, ends, gone, w.keys), "rebuilt")
+    lists = save(rebuild_adjacency(w.store.adjacency, new, ends, gone, w.keys), "rebuilt")
     touched = filter_by_keys(lists, "node_id", ends.withColumnRenamed("id", "node_id"))
     opened = open_lists(touched, w.keys)
     return opened.groupBy(F.col("node_id").alias("id")).agg(F.sum(F.size("nbrs")).alias("neighbours"))

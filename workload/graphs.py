@@ -185,7 +185,7 @@ SELECT id, degree, sample, CASE WHEN degree = 0 THEN 0 ELSE 2 * degree END AS p_
   CASE WHEN degree = 0 THEN 0 ELSE 2 * degree - 1 END AS overhead, CASE WHEN degree = 0 THEN 0 ELSE 2 * degree END AS scanned
 FROM sampled""", _ASKED, _SAMPLED.strip()))
 def node_degree_padded_query(w):
-    return node_degree_padded(_asked(w), w.nodes, w.edges, w.store, w.keys)
+    return node_degree_padded(_asked(w), w.store, w.keys)
 
 
 @query("first_n_neighbours", graph_sql("""
@@ -366,8 +366,7 @@ def match_pattern_batch_query(w):
 
 
 @query("bfs_by_start_class", graph_sql(f"""
-SELECT class, seed, depth, k::BIGINT AS k, visited FROM ({level_rows(_STARTS, 3)}) JOIN starts ON id = seed,
-  (SELECT unnest([1, 2, 4, 8]) k)""", *level_ctes(_STARTS, 3)))
+SELECT class, seed, depth, visited FROM ({level_rows(_STARTS, 3)}) JOIN starts ON id = seed""", *level_ctes(_STARTS, 3)))
 def bfs_by_start_class_query(w):
     return bfs_by_start_class(w.starts, w.nodes, w.neighbour_table)
 

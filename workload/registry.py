@@ -39,18 +39,22 @@ def pieces(degree: str, rows: int) -> str:
 
 
 def piece(nbr: str, degree: str, rows: int) -> str:
-    return f"((({nbr} % 2147483647) * 48271) % 2147483647) % {pieces(degree, rows)}"
+    return f"({spread(nbr)}) % {pieces(degree, rows)}"
+
+
+def spread(nbr: str) -> str:
+    return f"(({nbr} % 2147483647) * 48271 + (({nbr} // 2147483647) * 16807) % 2147483647) % 2147483647"
 
 
 _GRAPH = """
 raw AS (
   SELECT 1000000000 + o_custkey u, 2000000000 + l_suppkey v
-    FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity >= 49
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey
   UNION ALL SELECT 2000000000 + l_suppkey, 3000000000 + l_partkey FROM lineitem
   UNION ALL SELECT 4000000000 + c_nationkey::BIGINT, 1000000000 + c_custkey FROM customer
   UNION ALL SELECT 4000000000 + s_nationkey::BIGINT, 2000000000 + s_suppkey FROM supplier
   UNION ALL SELECT 2000000000 + min(l_suppkey), 2000000000 + max(l_suppkey)
-    FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity >= 49 GROUP BY l_orderkey
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY l_orderkey
   UNION ALL SELECT a, b FROM (SELECT 4000000000 + n_nationkey::BIGINT a,
       4000000000 + lead(n_nationkey) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey)::BIGINT b FROM nation)
     WHERE b IS NOT NULL

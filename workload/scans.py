@@ -22,7 +22,7 @@ from veilgraph.sources.edge_list import scan_edge_list
 from veilgraph.sources.snapshot import scan_edge_snapshot, scan_node_snapshot
 from veilgraph.sources.store import append_nodes, replace_dataset, with_endpoints, write_labelled_snapshot
 from veilgraph.sources.trade import trade_pairs
-from workload.registry import graph_sql, query
+from workload.registry import graph_sql, query, spread
 from workload.runs import RUNS_SQL, run_log
 
 
@@ -209,9 +209,11 @@ def derive_nodes_query(w):
     return derive_nodes(w.edges)
 
 
-@query("filter_index_kind", graph_sql("SELECT label, id FROM hist WHERE kind = 'v'"))
+@query("filter_index_kind", graph_sql("SELECT label, id, u, v FROM hist"))
 def filter_index_kind(w):
-    return filter_kind(label_histogram(w.nodes, w.edges), "v").select("label", "id")
+    histogram = label_histogram(w.nodes, w.edges)
+    kinds = filter_kind(histogram, "v").unionByName(filter_kind(histogram, "e"))
+    return kinds.select("label", "id", "u", "v")
 
 
 @query("filter_runs", f"{RUNS_SQL} SELECT event_id, label, scheme, k, depth, t_total_ms FROM runs "
@@ -222,7 +224,7 @@ def filter_runs_query(w):
 
 @query("adjacency_or_empty", graph_sql(f"""
 SELECT id AS node_id, piece, max(has)::BOOLEAN AS has_list FROM (
-  SELECT id, {'((nbr % 2147483647) * 48271) % 2147483647'} % greatest(1, CAST(ceil(degree / {LIST_ROWS}.0::DOUBLE) AS BIGINT)) AS piece, 1 AS has FROM sym
+  SELECT id, ({spread('nbr')}) % greatest(1, CAST(ceil(degree / {LIST_ROWS}.0::DOUBLE) AS BIGINT)) AS piece, 1 AS has FROM sym
   UNION ALL SELECT id, unnest(range(0, greatest(1, CAST(ceil(degree / {LIST_ROWS}.0::DOUBLE) AS BIGINT)))), 0 FROM nodes
   UNION ALL SELECT 9000000000 + c_custkey, 0, 0 FROM customer) GROUP BY ALL"""))
 def adjacency_or_empty_query(w):
