@@ -10,10 +10,13 @@ from conftest import LOW_CUTOFFS, pairs_of, rows
 from veilgraph.functions.crypto import Keys
 from veilgraph.operators.adjacency import build_adjacency
 from veilgraph.operators.graph import build_graph
-from veilgraph.operators.index import build_label_index, fetch_entries, label_histogram, open_entries
+from veilgraph.operators.index import (
+    build_label_index, fetch_entries, index_lookup, label_histogram, open_entries, rebuild_label_index,
+)
 from veilgraph.operators.lookup import fetch_lists
 from veilgraph.operators.padding import decoy_window
-from veilgraph.operators.protect import build_store
+from veilgraph.operators.protect import NODE_RECORD, append_to_store, build_store, open_rows
+from veilgraph.sources.store import append_nodes
 from veilgraph.plans.labels import label_query, node_degree_padded
 from veilgraph.plans.pattern import match_pattern_batch, match_pattern_protected, pattern_table
 
@@ -118,3 +121,19 @@ def test_degree_comes_from_the_lists(spark, keys, graph, store):
     with pytest.raises(Exception):
         node_degree_padded(ids, store, other).collect()
     assert rows(build_adjacency(graph.edges, 4).select("id").distinct()) == rows(ids)
+
+
+def test_append_writes_store_and_index(spark, keys, graph):
+    store = build_store(graph, keys, list_rows=4)
+    index = build_label_index(label_histogram(graph.nodes, graph.edges), keys)
+    new = spark.createDataFrame([(0,), (900,), (901,), (901,)], "id bigint")
+    once = append_to_store(store, new, keys)
+    again = append_to_store(once, new, keys)
+    assert again.n_nodes == once.n_nodes == store.n_nodes + 2
+    assert sorted(r.pos for r in again.nodes.collect()) == list(range(again.n_nodes))
+    found = open_rows(again.nodes.filter("node_id >= 900"), keys, "ct", NODE_RECORD)
+    assert rows(found.select("record.id", "record.label")) == [(900, "Inactive"), (901, "Inactive")]
+    after = append_nodes(graph.nodes, new)
+    lowest = spark.createDataFrame([("Inactive",)], "label string")
+    fresh = rebuild_label_index(index, label_histogram(after, graph.edges), lowest, keys)
+    assert {900, 901} <= {r.id for r in index_lookup(fresh, lowest, keys).collect()}

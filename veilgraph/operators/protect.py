@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilgraph.functions.arithmetic import piece_count
 from veilgraph.functions.crypto import Keys, evaluated_once, seal, unseal, unseal_or_fail
+from veilgraph.functions.roles import LOWEST_ROLE
 from veilgraph.operators.adjacency import LIST_ROWS, build_adjacency
 from veilgraph.operators.graph import Graph
 from veilgraph.operators.skew import with_positions
-from veilgraph.runtime import keep, save, save_bucketed, scratch
+from veilgraph.runtime import keep, read_table, save, save_bucketed, scratch
 
 # Rows per bucket of the stored neighbour lists.
 BUCKET_LISTS = 200_000
@@ -122,3 +123,23 @@ def build_store(graph: Graph, keys: Keys, list_rows: int = LIST_ROWS) -> Store:
         buckets = max(default, -(-(n_nodes + 2 * n_edges // list_rows) // BUCKET_LISTS))
         adjacency = save_bucketed(lists, "protected_adjacency", buckets, "node_id", "piece")
     return Store(nodes, edges, adjacency, n_nodes, n_edges)
+
+
+def append_to_store(store: Store, new_ids: DataFrame, keys: Keys) -> Store:
+    """Append the nodes of ``new_ids`` (id) that the store lacks, with the lowest role and no edges.
+
+    New files join those of the node table; positions go on after the last, so
+    they stay dense.  Appending the same ids again appends nothing.  The index
+    takes the new entries by ``rebuild_label_index`` for the lowest role.
+    """
+    with scratch(store.nodes.sparkSession):
+        known = store.nodes.select(F.col("node_id").alias("id"))
+        missing = new_ids.select("id").distinct().join(known, "id", "left_anti")
+        records = missing.select("id", F.lit(LOWEST_ROLE).alias("label"), F.lit(1).cast("bigint").alias("pieces"))
+        placed = with_positions(save(protect_nodes(records, keys), "sealed-nodes"), ["node_id"])
+        after = placed.withColumn("pos", F.col("pos") + store.n_nodes).select(*store.nodes.columns)
+        path = store.nodes._written_path
+        after.write.mode("append").parquet(path)
+    nodes = read_table(store.nodes.sparkSession, path, store.nodes)
+    nodes._written_path = path
+    return replace(store, nodes=nodes, n_nodes=nodes.count())
