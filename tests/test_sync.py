@@ -7,7 +7,7 @@ from conftest import LOW_CUTOFFS, pairs_of, rows
 from veilgraph.operators.graph import build_graph
 from veilgraph.operators.index import build_label_index, label_histogram, open_entries
 from veilgraph.operators.protect import build_store, open_lists
-from veilgraph.plans.sync import State, added, adjacency_changed, relabelled, removed, sync_apply
+from veilgraph.plans.sync import State, added, adjacency_changed, read_state, relabelled, removed, sync_apply, sync_summary
 from veilgraph.sources.snapshot import clean_edge_snapshot, clean_node_snapshot
 from veilgraph.sources.store import append_nodes, replace_dataset, with_endpoints, write_labelled_snapshot
 from veilgraph.streaming.sync_stream import apply_manifests, current_state_path, initialise, start_sync, sync_history
@@ -57,6 +57,8 @@ def test_state_becomes_the_snapshot(spark, keys, state):
     found = summary.first().asDict()
     assert (found["nodes_added"], found["nodes_removed"]) == (1, 1)
     assert (found["edges_added"], found["edges_removed"]) == (2, 2)
+    # The summary alone leaves edges without an endpoint out as well.
+    assert sync_summary(state.nodes, state.edges, nodes, edges).first().asDict() == found
     again, second = sync_apply(new, nodes, edges, keys)
     assert again is new and not second.first()["changed"]
 
@@ -141,3 +143,30 @@ def test_stream_and_replay(spark, keys, state, tmp_path):
     apply_manifests(spark, [{"snapshot_id": "s2", "path": f"{root}/b"}], f"{root}/state", batch, keys)
     assert sorted(history()) == want
     assert current_state_path(spark, f"{root}/state", 99) == before
+
+
+def test_manifests_of_one_file_go_by_number_and_failures_are_replayed(spark, keys, state, tmp_path, monkeypatch):
+    root = str(tmp_path)
+    given = _snapshot(spark)
+    given[0].write.parquet(f"{root}/b/nodes")
+    given[1].write.parquet(f"{root}/b/edges")
+    write_labelled_snapshot(f"{root}/a", state.nodes, state.edges, state.adjacency.limit(3).withColumn("adj_ct", F.lit(b"x")))
+    initialise(state, f"{root}/state")
+    manifests = [("s10", f"{root}/a", 10), ("s2", f"{root}/b", 2)]
+    spark.createDataFrame(manifests, "snapshot_id string, path string, sequence bigint").coalesce(1).write.json(f"{root}/m")
+
+    def run():
+        start_sync(spark, f"{root}/m", f"{root}/state", keys, interval=None).awaitTermination()
+
+    def broken(*_):
+        raise RuntimeError("an executor was lost")
+
+    with monkeypatch.context() as failing:
+        failing.setattr("veilgraph.streaming.sync_stream.sync_apply", broken)
+        with pytest.raises(Exception):
+            run()
+    assert sync_history(spark, f"{root}/state").filter("batch_id >= 0").count() == 0
+    run()
+    found = sync_history(spark, f"{root}/state").filter("batch_id >= 0").orderBy("step").collect()
+    assert [(r.snapshot_id, r.changed, r.lists_changed) for r in found] == [("s2", True, None), ("s10", True, 3)]
+    assert rows(read_state(spark, found[-1].state_path).edges) == rows(state.edges)

@@ -25,7 +25,7 @@ class Ingested:
 
 def ingest(spark: SparkSession, path: str, keys: Keys, mode: str = "strict", cutoffs=NODE_CUTOFFS) -> Ingested:
     """Scan, label, protect and index; an input without edges is an error, unusable lines are in ``rejects``."""
-    found = scan_edge_list(spark, path, mode)
+    found = scan_edge_list(spark, path, mode, written=True)
     graph = build_graph(found.edges, cutoffs)
     index = build_label_index(label_histogram(graph.nodes, graph.edges), keys)
     return Ingested(graph, build_store(graph, keys), index, found.rejects)

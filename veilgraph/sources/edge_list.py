@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilgraph.runtime import save
+
 _INTEGER = r"^[+-]?[0-9]+$"
 
 
@@ -22,12 +24,13 @@ def _integer(token: Column) -> Column:
     return F.when(token.rlike(_INTEGER), token.try_cast("bigint"))
 
 
-def parse_edge_lines(lines: DataFrame, mode: str = "strict") -> EdgeList:
+def parse_edge_lines(lines: DataFrame, mode: str = "strict", written: bool = False) -> EdgeList:
     """Parse a DataFrame with a ``value`` column.
 
     ``strict`` wants exactly two integers per line.  ``lenient`` ignores extra
     tokens and skips lines with fewer than two.  Lines that are neither usable
-    nor skipped by the mode's rule are returned as rejects, never lost.
+    nor skipped by the mode's rule are returned as rejects, never lost.  With
+    ``written`` the parsed lines are written once, so that both read no line again.
     """
     if mode not in ("strict", "lenient"):
         raise ValueError(f"unknown mode {mode!r}")
@@ -49,18 +52,21 @@ def parse_edge_lines(lines: DataFrame, mode: str = "strict") -> EdgeList:
     else:
         wrong_size = F.col("_n") != 2
     usable = ~wrong_size & F.col("u").isNotNull() & F.col("v").isNotNull()
-    reason = F.when(wrong_size, F.lit("token count")).otherwise(F.lit("not an integer"))
+    reason = F.when(wrong_size, F.lit("token count")).when(~usable, F.lit("not an integer"))
+    judged = parsed.select(F.when(reason.isNotNull(), F.col("line")).alias("line"), "u", "v", reason.alias("reason"))
+    if written:
+        judged = save(judged, "parsed-lines")
     return EdgeList(
-        edges=parsed.filter(usable).select("u", "v"),
-        rejects=parsed.filter(~usable).select("line", reason.alias("reason")),
+        edges=judged.filter("reason IS NULL").select("u", "v"),
+        rejects=judged.filter("reason IS NOT NULL").select("line", "reason"),
     )
 
 
-def scan_edge_list(spark: SparkSession, path: str, mode: str = "strict") -> EdgeList:
+def scan_edge_list(spark: SparkSession, path: str, mode: str = "strict", written: bool = False) -> EdgeList:
     """Read text files under ``path``; ``.gz`` files are unpacked by the codec, one task per file.
 
     The lines of a packed file are spread before they are parsed.
     """
     lines = spark.read.text(path)
     packed = any(name.endswith(".gz") for name in lines.inputFiles())
-    return parse_edge_lines(lines.repartition(spark.sparkContext.defaultParallelism) if packed else lines, mode)
+    return parse_edge_lines(lines.repartition(spark.sparkContext.defaultParallelism) if packed else lines, mode, written)

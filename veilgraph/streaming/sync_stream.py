@@ -18,15 +18,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from veilgraph.functions.crypto import Keys
-from veilgraph.plans.sync import State, read_state, sync_apply, write_state
-from veilgraph.sources.snapshot import scan_edge_snapshot, scan_node_snapshot
+from veilgraph.plans.sync import State, adjacency_changed, read_state, sync_apply, write_state
+from veilgraph.sources.snapshot import scan_edge_snapshot, scan_list_snapshot, scan_node_snapshot
 
 MANIFEST = "snapshot_id string, path string, sequence bigint"
 COUNTERS = ("nodes_added", "nodes_removed", "nodes_updated", "edges_added", "edges_removed", "edges_relabelled")
 HISTORY = (
     "step int, snapshot_id string, state_path string, "
     + ", ".join(f"{c} bigint" for c in COUNTERS)
-    + ", changed boolean, error string"
+    + ", changed boolean, error string, lists_changed bigint"
 )
 INITIAL_BATCH = -1
 
@@ -47,7 +47,7 @@ def initialise(state: State, root: str) -> None:
     spark = state.nodes.sparkSession
     path = os.path.join(root, "state", f"batch={INITIAL_BATCH}", "step=0")
     write_state(state, path)
-    _record(spark, root, INITIAL_BATCH, [(0, "initial", path, 0, 0, 0, 0, 0, 0, False, None)])
+    _record(spark, root, INITIAL_BATCH, [(0, "initial", path, 0, 0, 0, 0, 0, 0, False, None, None)])
 
 
 def current_state_path(spark: SparkSession, root: str, before: int) -> str:
@@ -62,11 +62,13 @@ def apply_manifests(spark: SparkSession, manifests: list, root: str, batch_id: i
 
     A snapshot that cannot be read (no such path, other columns) is recorded and
     skipped.  Any other failure fails the batch, which the stream then replays.
+    Lists are derived from the snapshot's edges; where it brings lists of its own,
+    the history counts those that differ from the stored ones.
     """
     path = current_state_path(spark, root, batch_id)
     rows = []
     for step, manifest in enumerate(manifests):
-        counters, changed, error = (0,) * len(COUNTERS), False, None
+        counters, changed, error, lists_changed = (0,) * len(COUNTERS), False, None, None
         try:
             nodes = scan_node_snapshot(spark, f"{manifest['path']}/nodes")
             edges = scan_edge_snapshot(spark, f"{manifest['path']}/edges")
@@ -74,15 +76,29 @@ def apply_manifests(spark: SparkSession, manifests: list, root: str, batch_id: i
             error = f"{type(problem).__name__}: {problem}"
         else:
             target = os.path.join(root, "state", f"batch={batch_id}", f"step={step}")
-            _, summary = sync_apply(read_state(spark, path), nodes, edges, keys, target)
+            old = read_state(spark, path)
+            lists = _given_lists(spark, f"{manifest['path']}/adjacency")
+            if lists is not None:
+                lists_changed = adjacency_changed(old.adjacency, lists, ["node_id", "piece"]).count()
+            _, summary = sync_apply(old, nodes, edges, keys, target)
             found = summary.first()
             if found["changed"]:
                 path = target
             counters, changed = tuple(found[c] for c in COUNTERS), found["changed"]
-        rows.append((step, manifest["snapshot_id"], path, *counters, changed, error))
+        rows.append((step, manifest["snapshot_id"], path, *counters, changed, error, lists_changed))
     _record(spark, root, batch_id, rows)
 
 
+def _given_lists(spark: SparkSession, path: str) -> DataFrame | None:
+    """The snapshot's neighbour lists, None if it has none."""
+    try:
+        return scan_list_snapshot(spark, path)
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def start_sync(
     spark: SparkSession, manifests: str, root: str, keys: Keys, interval: str | None = "10 seconds"
 ) -> StreamingQuery:
