@@ -1,4 +1,4 @@
-"""Connected components of large edge tables, by least labels and pointer jumping."""
+"""Connected components of large edge tables, by hooking, pointer jumping and contraction."""
 
 from __future__ import annotations
 
@@ -11,26 +11,39 @@ from veilgraph.runtime import save
 def connected_components(edges: DataFrame) -> DataFrame:
     """(id, label): the least id that edges (a, b) reach from each id, itself included.
 
-    In a round every id takes the least label among its neighbours', and then
-    the label of its label; both tables are written, so the joins shuffle both
-    sides and a hub's rows can be split.  Rounds grow with the logarithm of the
-    longest path, not with its length.
+    In a round every id points to its least neighbour, the pointers are followed
+    to their ends in jumps of doubling length, and the edges are contracted to
+    those ends: what is left are the edges between different trees, so rounds
+    shrink quickly and stars are done in one.  All tables are written, so joins
+    shuffle both sides and the rows of a hub can be split.
     """
-    both = edges.select(F.col("a").alias("a"), F.col("b").alias("b"))
-    both = save(both.union(both.select("b", "a")).filter("a <> b").distinct(), "links")
-    labels = save(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("label")), "labels")
+    links = save(edges.select("a", "b").filter("a <> b").distinct(), "links")
+    labels = links.select(F.col("a").alias("id"), F.col("b").alias("label")).limit(0)
+    first = True
+    while not links.isEmpty():
+        both = links.union(links.select("b", "a"))
+        least = both.groupBy("a").agg(F.min("b").alias("_least"))
+        ends = _ends(save(least.select(F.col("a").alias("id"), F.least("a", "_least").alias("label")), "hooked"))
+        if first:
+            labels, first = ends, False
+        else:
+            above = ends.select(F.col("id").alias("_id"), F.col("label").alias("_label"))
+            moved = labels.join(above, F.col("label") == F.col("_id"), "left")
+            labels = save(moved.select("id", F.coalesce("_label", "label").alias("label")), "labels")
+        near = links.join(ends.select(F.col("id").alias("a"), F.col("label").alias("_a")), "a")
+        far = near.join(ends.select(F.col("id").alias("b"), F.col("label").alias("_b")), "b")
+        links = save(far.select(F.col("_a").alias("a"), F.col("_b").alias("b")).filter("a <> b").distinct(), "links")
+    return labels
+
+
+def _ends(pointers: DataFrame) -> DataFrame:
+    """(id, label) with every label followed to the id that points to itself."""
     while True:
-        heard = both.join(labels, F.col("a") == F.col("id")).select(F.col("b").alias("id"), "label")
-        least = save(labels.union(heard).groupBy("id").agg(F.min("label").alias("label")), "labels")
-        up = least.select(F.col("id").alias("_id"), F.col("label").alias("_label"))
-        jumped = least.join(up, F.col("label") == F.col("_id")).select("id", F.least("label", "_label").alias("label"))
-        jumped = save(jumped, "labels")
-        changed = (
-            jumped.join(labels.select(F.col("id").alias("_id"), F.col("label").alias("_label")), F.col("id") == F.col("_id"))
-            .filter("label <> _label")
-            .limit(1)
-            .count()
+        above = pointers.select(F.col("id").alias("_id"), F.col("label").alias("_label"))
+        jumped = pointers.join(above, F.col("label") == F.col("_id")).select(
+            "id", F.col("_label").alias("label"), (F.col("_label") != F.col("label")).alias("_moved")
         )
-        labels = jumped
-        if not changed:
-            return labels
+        jumped = save(jumped, "jumped")
+        pointers = jumped.select("id", "label")
+        if jumped.filter("_moved").isEmpty():
+            return pointers
