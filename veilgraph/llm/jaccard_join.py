@@ -30,17 +30,18 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilgraph.llm.base import small_batches, text_of
 from veilgraph.llm.components import connected_components
-from veilgraph.llm.signature_tree import UnionFind, least_overlap, link
+from veilgraph.llm.signature_tree import UnionFind, least_overlap, link, overlap
 from veilgraph.operators.skew import Dimension, attach
 from veilgraph.runtime import save
 
@@ -146,10 +147,12 @@ def jaccard_join(docs: DataFrame, words: int = 3, percent: int = 90, column: str
     # A class is described by its least id's row.
     least = contents.select(F.col("content").alias("_content"), F.col("class_id").alias("_id"))
     classes = full.join(least, (F.col("content") == F.col("_content")) & (F.col("doc_id") == F.col("_id")))
-    classes = classes.dropDuplicates(["doc_id", "content"])
+    # Written, so that the arrays are shuffled once for the three uses below.
+    classes = classes.dropDuplicates(["doc_id", "content"]).select("doc_id", "n", "n_pool", "pool", "more")
+    classes = save(classes, "classes")
     keys = blocking_keys(classes, percent)
     blocks = connected_components(star_edges(keys))
-    links = block_links(taken, save(blocks, "blocks"), sets, words, percent)
+    links = block_links(taken, blocks, sets, words, percent)
     components = connected_components(links)
 
     dim = Dimension.of(contents, "content", "copies")
@@ -200,7 +203,9 @@ def block_links(docs: DataFrame, blocks: DataFrame, sets: DataFrame, words: int,
     cell = F.coalesce(F.pmod(F.xxhash64("id"), F.col("cells")).cast("int"), F.lit(0))
     parted = parted.select("id", "block", cell.alias("cell"), F.coalesce("cells", F.lit(1)).alias("cells"))
     parted = save(parted, "block-cells")
-    texts = docs.join(parted, F.col("doc_id") == F.col("id")).select("block", "cell", "cells", "id", "text")
+    # The comparison lets Spark make a Bloom filter of the ids, see ``_filtered_scan``.
+    texts = docs.join(parted.filter("cells > 0"), F.col("doc_id") == F.col("id"))
+    texts = texts.select("block", "cell", "cells", "id", "text")
     units = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1))).select(
         "block",
         F.least("cell", "other").alias("low"),
@@ -225,7 +230,24 @@ def block_links(docs: DataFrame, blocks: DataFrame, sets: DataFrame, words: int,
 
     # Units are spread by hash and lie one after the other within a partition.
     spread = units.repartition("block", "low", "high").sortWithinPartitions("block", "low", "high", "id")
-    return save(spread.mapInPandas(linked, "a bigint, b bigint"), "block-links")
+    with _filtered_scan(docs.sparkSession):
+        return save(spread.mapInPandas(linked, "a bigint, b bigint"), "block-links")
+
+
+@contextmanager
+def _filtered_scan(spark: SparkSession) -> Iterator[None]:
+    """Joins planned inside may drop rows of a scan of any size by a Bloom filter before they are shuffled.
+
+    Spark does so by itself only for scans of many gigabytes.  Most texts are in
+    no block; without the filter all of them would be shuffled.
+    """
+    name = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "0b")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def unit_links(unit: tuple | None, rows: list[tuple[int, int, np.ndarray]], percent: int) -> list[tuple[int, int]]:
@@ -236,7 +258,7 @@ def unit_links(unit: tuple | None, rows: list[tuple[int, int, np.ndarray]], perc
     ids, sets = [r[0] for r in rows], [r[2] for r in rows]
     found = UnionFind(len(rows))
     if len(rows) == 2 and unit[1] == unit[2]:
-        both = np.isin(sets[0], sets[1], assume_unique=True).sum()
+        both = overlap(sets[0], sets[1])
         return [(ids[0], ids[1])] if both >= least_overlap(len(sets[0]), len(sets[1]), percent) else []
     place = np.array([r[1] for r in rows])
     if unit[1] == unit[2]:

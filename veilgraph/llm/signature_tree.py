@@ -45,6 +45,15 @@ def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return words, sizes - np.bitwise_count(words).sum(axis=1).astype(np.int64)
 
 
+def overlap(a: np.ndarray, b: np.ndarray) -> int:
+    """Members in common of two sorted sets."""
+    if len(a) > len(b):
+        a, b = b, a
+    place = np.searchsorted(b, a)
+    place[place == len(b)] = 0
+    return int((b[place] == a).sum())
+
+
 def least_overlap(a: np.ndarray | int, b: np.ndarray | int, percent: int) -> np.ndarray | int:
     """Members in common that sizes a and b need: 100 * i >= percent * (a + b - i)."""
     return -(-(percent * (a + b)) // (100 + percent))
@@ -133,8 +142,10 @@ def _link_records(
     may = most >= need
     if same:
         may = np.triu(may, 1)
+    if may.any():  # what is connected already needs no comparison
+        roots = [np.array([found.find(int(x)) for x in side]) for side in (a, b)]
+        may &= roots[0][:, None] != roots[1][None, :]
     for i, j in zip(*np.nonzero(may)):
         x, y = int(a[i]), int(b[j])
-        if found.find(x) != found.find(y):
-            if np.isin(sets[x], sets[y], assume_unique=True).sum() >= need[i, j]:
-                found.join(x, y)
+        if found.find(x) != found.find(y) and overlap(sets[x], sets[y]) >= need[i, j]:
+            found.join(x, y)
