@@ -48,8 +48,8 @@ def test_misspelt_words_share_grams():
     rows += [("the elm wretched oun", 1), ("stil wretched tig", 1)] * 12
     model = toxicity.train(rows, 0.4)
     table = toxicity.WordTable(model)
-    assert table.score("oun stil wretchedd elm") > 0.5 > table.score("oun stil breth elm")
-    assert table.score("varo elm oun stil " * 3000 + "wretched") > 0.5  # a long text does not dilute a word
+    assert table.scores(["oun stil wretchedd elm"])[0] > 0.5 > table.scores(["oun stil breth elm"])[0]
+    assert table.scores(["varo elm oun stil " * 3000 + "wretched"])[0] > 0.5  # a long text does not dilute a word
 
 
 def test_spans_cover_every_word():

@@ -22,7 +22,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -40,11 +39,13 @@ SPAN = 3
 STEP = 2
 BUCKETS = 1 << 17
 DIMENSIONS = 8
-GRAMS = (3, 4, 5)
+GRAMS = (2, 3, 4, 5)
 EPOCHS = 60
 MIN_TEXTS = 5
 RIDGE = 1e-7
-MAX_TABLE_WORDS = 400_000
+MAX_TABLE_WORDS = 1_000_000
+WORDS_AT_ONCE = 20_000
+_PRIME = np.uint64(0x100000001B3)
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _EDGES = "\"'.,;:!?()[]{}«»“”‘’…-–—"
 
@@ -61,12 +62,35 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def gram_ids(word: str) -> list[int]:
-    """Buckets of the word itself and of its character n-grams between word marks."""
-    raw = f"<{word.strip(_EDGES) or word}>".encode("utf-32-le", "replace")  # four bytes a character
-    grams = {raw[i : i + 4 * n] for n in GRAMS for i in range(0, len(raw) - 4 * n + 1, 4)}
-    grams.add(raw)
-    return sorted(crc32(g) % BUCKETS for g in grams)
+def gram_table(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the word, bucket) of every n-gram of the words between word marks, and of each whole word.
+
+    In order of words.  Hashes are polynomials of code points, worked out for
+    all positions of all words at once.
+    """
+    if not words:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    marked = [f"<{w.strip(_EDGES) or w}>" for w in words]
+    codes = np.frombuffer("".join(marked).encode("utf-32-le", "replace"), np.uint32).astype(np.uint64) + np.uint64(1)
+    lengths = np.array([len(m) for m in marked])
+    ends = np.cumsum(lengths)
+    owner = np.repeat(np.arange(len(words)), lengths)
+    left = ends[owner] - np.arange(len(codes))  # characters from here to the word's end
+    power = np.cumprod(np.full(int(lengths.max()), _PRIME), dtype=np.uint64)
+    whole = np.add.reduceat(codes * power[(lengths[owner] - left)], ends - lengths)
+    owners, hashes = [np.arange(len(words))], [whole]
+    for n in GRAMS:
+        at = np.flatnonzero(left >= n)
+        h = np.full(len(at), n, np.uint64)
+        for k in range(n):
+            h = h * _PRIME + codes[at + k]
+        owners.append(owner[at])
+        hashes.append(h)
+    places, mixed = np.concatenate(owners), np.concatenate(hashes)
+    mixed = (mixed ^ (mixed >> np.uint64(31))) * _PRIME
+    buckets = ((mixed ^ (mixed >> np.uint64(29))) % np.uint64(BUCKETS)).astype(np.int64)
+    order = np.argsort(places, kind="stable")
+    return places[order], buckets[order]
 
 
 def span_starts(n_words: int) -> range:
@@ -79,8 +103,15 @@ class SubwordModel:
     grams: np.ndarray  # (BUCKETS,): what an n-gram adds to the margin between the classes
     bias: float
 
-    def word(self, word: str) -> float:
-        return float(self.grams[gram_ids(word)].mean())
+    def margins(self, words: list[str]) -> list[float]:
+        """What each word adds to the margin of a span, times the span's length."""
+        out: list[float] = []
+        for i in range(0, len(words), WORDS_AT_ONCE):
+            some = words[i : i + WORDS_AT_ONCE]
+            places, buckets = gram_table(some)
+            total = np.bincount(places, self.grams[buckets], len(some))
+            out += (total / np.bincount(places, minlength=len(some))).tolist()
+        return out
 
 
 def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -110,16 +141,19 @@ def train(rows: list[tuple[str, int]], prior: float, seed: int = 7, epochs: int
     """
     vocabulary: dict[str, int] = {}
     texts = [[vocabulary.setdefault(w, len(vocabulary)) for w in words_of(text)] for text, _ in rows]
-    grams = [gram_ids(w) for w in vocabulary]
+    word_of, buckets = gram_table(list(vocabulary))
+    # Unknown n-grams keep their place in the mean with a vector of zero.
+    per_word = np.bincount(word_of, minlength=len(vocabulary)).astype(float)
+    bounds = np.concatenate([[0], np.cumsum(per_word)]).astype(np.int64)
     texts_with = np.zeros(BUCKETS, np.int64)
     for ids in texts:
-        texts_with[list({g for i in set(ids) for g in grams[i]})] += 1
+        own = [buckets[bounds[i] : bounds[i + 1]] for i in set(ids)]
+        if own:
+            texts_with[np.unique(np.concatenate(own))] += 1
     known = texts_with >= MIN_TEXTS
-    # Unknown n-grams keep their place in the mean with a vector of zero.
-    per_word = np.array([len(g) for g in grams], float)
-    kept = [[g for g in gs if known[g]] for gs in grams]
-    gram = np.array([g for gs in kept for g in gs], np.int64)
-    gram_bounds = np.cumsum([0, *map(len, kept)])
+    learnt = known[buckets]
+    gram, gram_sizes = buckets[learnt], np.bincount(word_of[learnt], minlength=len(vocabulary))
+    gram_bounds = np.concatenate([[0], np.cumsum(gram_sizes)])
 
     spans = [ids[i : i + SPAN] for ids in texts for i in span_starts(len(ids))]
     text_bounds = np.cumsum([0, *(len(span_starts(len(ids))) for ids in texts)])
@@ -153,7 +187,7 @@ def train(rows: list[tuple[str, int]], prior: float, seed: int = 7, epochs: int
             share = np.where(of_span == 1, worst, 0.5 * worst + 0.5 / per_text[owner]) * weight_of[owner]
         error = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - of_span) * share
         by_word = np.bincount(tokens, np.repeat(error / lengths, sizes), len(per_word)) / per_word
-        by_gram = np.bincount(gram, np.repeat(by_word, np.diff(gram_bounds)), BUCKETS)
+        by_gram = np.bincount(gram, np.repeat(by_word, gram_sizes), BUCKETS)
         by_softmax = np.outer([-1.0, 1.0], by_gram @ vectors)
         vectors = vectors - adam[0].step(np.outer(by_gram, axis) + RIDGE * vectors)
         softmax = softmax - adam[1].step(by_softmax)
@@ -179,23 +213,39 @@ class WordTable(dict):
         super().__init__()
         self.model = model
 
-    def __missing__(self, word: str) -> float:
-        if len(self) >= MAX_TABLE_WORDS:
+    def _learn(self, texts: list[list[str]]) -> None:
+        new = {w for words in texts for w in words if w not in self}
+        if len(self) + len(new) > MAX_TABLE_WORDS:
             self.clear()
-        value = self.model.word(word)
-        if len(word) <= 64:
-            self[word] = value
-        return value
-
-    def score(self, text: str) -> float:
-        values = np.array([self[w] for w in words_of(text)])
-        if not len(values):
-            return float(1 / (1 + np.exp(-self.model.bias)))
-        starts = np.array(span_starts(len(values)))
-        ends = np.minimum(starts + SPAN, len(values))
-        total = np.concatenate([[0.0], np.cumsum(values)])
-        margin = ((total[ends] - total[starts]) / (ends - starts)).max() + self.model.bias
-        return float(1 / (1 + np.exp(-np.clip(margin, -700, 700))))
+            new = {w for words in texts for w in words}
+        unknown = list(new)
+        self.update(zip(unknown, self.model.margins(unknown)))
+
+    def scores(self, texts: list[str]) -> list[float]:
+        out: list[float] = []
+        group: list[list[str]] = []
+        size = 0
+        for text in texts:  # a bounded number of words at once
+            group.append(words_of(text))
+            size += len(group[-1])
+            if size > 100_000:
+                out += self._scores(group)
+                group, size = [], 0
+        return out + self._scores(group)
+
+    def _scores(self, texts: list[list[str]]) -> list[float]:
+        self._learn(texts)
+        return [self._score([self[w] for w in words]) for words in texts]
+
+    def _score(self, values: list[float]) -> float:
+        """The worst span's score; of no words, that of the bias alone."""
+        worst = 0.0
+        if values:
+            starts = np.array(span_starts(len(values)))
+            ends = np.minimum(starts + SPAN, len(values))
+            total = np.concatenate([[0.0], np.cumsum(values)])
+            worst = ((total[ends] - total[starts]) / (ends - starts)).max()
+        return float(1 / (1 + np.exp(-np.clip(worst + self.model.bias, -700, 700))))
 
 
 _TABLES: dict[tuple[int, float], WordTable] = {}
@@ -219,7 +269,7 @@ def score_toxicity(docs: DataFrame, model: SubwordModel, threshold: float = THRE
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         words = _word_table(shared.value)
         for texts in batches:
-            yield pd.Series([words.score(t) for t in texts], dtype=float)
+            yield pd.Series(words.scores(list(texts)), dtype=float)
 
     return docs.withColumns({"held_out": is_held_out(FOLDS, FOLD), "score": scored(text_of())}).withColumn(
         "predicted", (F.col("score") >= threshold).cast("int")
