@@ -7,13 +7,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilgraph.llm.base import ORACLE, QUERIES, query, table, text_of, words_of  # noqa: F401  (the entry reads the registry here)
+from veilgraph.llm.dataset_manifest import LEAF_COLUMNS, TAMPER_MODULUS, dataset_manifest
 from veilgraph.llm.html_text import main_text
 from veilgraph.llm.jaccard_join import near_duplicates
 from veilgraph.llm.merkle import LEAF, fingerprints_with_edits
+from veilgraph.llm.oracle_parts import CRC_TABLE, crc32_sql
 from veilgraph.llm.packing import pack
 from veilgraph.llm.quality_model import fit_quality, score_quality
 from veilgraph.llm.quality_rules import STOP_WORDS, quality_rules
 from veilgraph.llm.sentencepiece_ids import encode_decode
+from veilgraph.llm.spelling import DELETE_MODULUS, MIN_COUNT, MIN_LENGTH, RATIO, spelling_variants
+from veilgraph.llm.substring_dedup import WIDTH, remove_repeats
 from veilgraph.llm.token_counts import token_counts
 from veilgraph.llm.toxicity import fit_toxicity, score_toxicity
 from veilgraph.llm.warc import archive_round_trip
@@ -174,3 +178,85 @@ FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN least ON least.x = w.doc_id"
 )
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+_HASHED = " || ".join(
+    f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR) || ':' || {c}::VARCHAR END" for c in LEAF_COLUMNS
+)
+# The next node: of two, of a last one alone, and of a step of a path.
+_PARENTS = "list_transform(range((len(nodes) + 1) // 2), lambda i: sha256(nodes[2 * i + 1] || coalesce(nodes[2 * i + 2], '')))"
+_STEP = "sha256(CASE WHEN p[1] = 'L' THEN p[2:] || h WHEN p[1] = 'R' THEN h || p[2:] ELSE h END)"
+_SIBLING = "CASE WHEN xor(spot, 1) >= len(nodes) THEN '' ELSE CASE WHEN (spot & 1) = 1 THEN 'L' ELSE 'R' END || nodes[xor(spot, 1) + 1] END"
+
+
+@query(
+    "op11_dataset_manifest",
+    f"""
+WITH RECURSIVE {CRC_TABLE},
+d AS (SELECT doc_id, source, lang, text, n_chars, CASE WHEN lang IS NULL THEN '0' ELSE '1' || lang END AS g,
+  doc_id IS NOT NULL AND {crc32_sql("doc_id::VARCHAR")} % {TAMPER_MODULUS} = 0 AS hit FROM documents, crc),
+h AS (SELECT doc_id, g, sha256({_HASHED}) AS leaf,
+  CASE WHEN hit THEN sha256({_HASHED.replace("n_chars", "(n_chars + 1)")}) ELSE sha256({_HASHED}) END AS changed FROM d),
+l AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+  row_number() OVER (ORDER BY g, doc_id NULLS FIRST, leaf) AS rid FROM h),
+tree(g, k, nodes) AS (SELECT g, 0, list(leaf ORDER BY pos) FROM l GROUP BY g
+  UNION ALL SELECT g, k + 1, {_PARENTS} FROM tree WHERE len(nodes) > 1),
+subs AS (SELECT g, nodes[1] AS subroot, row_number() OVER (ORDER BY g) - 1 AS rank FROM tree WHERE len(nodes) = 1),
+over_(k, nodes) AS (SELECT 0, list(subroot ORDER BY rank) FROM subs
+  UNION ALL SELECT k + 1, {_PARENTS} FROM over_ WHERE len(nodes) > 1),
+steps AS (SELECT rid, k, {_SIBLING} AS p FROM (
+    SELECT rid, k, nodes, pos >> k AS spot FROM l JOIN tree USING (g) WHERE len(nodes) > 1
+    UNION ALL SELECT rid, 1000 + k, nodes, rank >> k FROM l JOIN subs USING (g), over_ WHERE len(nodes) > 1)),
+paths AS (SELECT rid, list(p ORDER BY k) AS path FROM steps GROUP BY rid),
+f AS (SELECT doc_id, leaf, changed, subroot, (SELECT nodes[1] FROM over_ WHERE len(nodes) = 1) AS root,
+  coalesce(path, []::VARCHAR[]) AS path FROM l JOIN subs USING (g) LEFT JOIN paths USING (rid))
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(array_to_string(list_transform(path, lambda p: p[2:]), ''), '')) AS proof_sha256,
+  list_reduce(path, lambda h, p: {_STEP}, changed) AS folded_root,
+  list_reduce(path, lambda h, p: {_STEP}, changed) = root AS verified
+FROM f""",
+)
+def op11_dataset_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dataset_manifest(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op12_spelling_variants",
+    f"""
+WITH RECURSIVE {CRC_TABLE},
+r AS (SELECT coalesce(doc_id::VARCHAR, '') AS id, translate(unnest(regexp_extract_all(coalesce(text, ''),
+    '[A-Za-z\\x{{00C0}}-\\x{{00FF}}]{{{MIN_LENGTH},}}')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+k AS (SELECT id || ':' || run AS s, run, count(*) AS c FROM r GROUP BY id, run),
+h AS (SELECT run, c, {crc32_sql("s")} AS lot FROM k, crc),
+w AS (SELECT CASE WHEN lot % {DELETE_MODULUS} = 0 THEN run[: lot % length(run)] || run[lot % length(run) + 2 :] ELSE run END AS word, c FROM h),
+v AS MATERIALIZED (SELECT word, sum(c)::BIGINT AS n FROM w WHERE length(word) >= {MIN_LENGTH} GROUP BY word HAVING sum(c) >= {MIN_COUNT}),
+cut AS MATERIALIZED (SELECT word, n, i, word[: i - 1] AS a, word[i + 1 :] AS b
+  FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+less AS (SELECT DISTINCT cut.word, cut.n, v.word AS other, v.n AS m FROM cut JOIN v ON v.word = a || b),
+near AS (SELECT x.word, x.n, y.word AS other, y.n AS m FROM cut x JOIN cut y ON x.i = y.i AND x.a = y.a AND x.b = y.b AND x.word <> y.word
+  UNION ALL SELECT * FROM less UNION ALL SELECT other, m, word, n FROM less),
+best AS (SELECT word, count(*) AS n_near, first(other ORDER BY m DESC, other) AS top, max(m) AS top_n FROM near GROUP BY word),
+f AS MATERIALIZED (SELECT word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN top_n >= {RATIO} * n THEN top END AS form,
+  CASE WHEN top_n >= {RATIO} * n THEN top_n END AS form_n FROM v LEFT JOIN best USING (word)),
+chain(word, tip, form) AS (SELECT word, word, form FROM f
+  UNION ALL SELECT chain.word, f.word, f.form FROM chain JOIN f ON f.word = chain.form)
+SELECT f.word, f.form, chain.tip AS root, n, n_near, form_n FROM f JOIN chain ON chain.word = f.word WHERE chain.form IS NULL""",
+)
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op13_substring_dedup",
+    f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS rid, {_WORDS} AS ws FROM documents),
+win AS (SELECT rid, i, md5(array_to_string(ws[i : i + {WIDTH - 1}], ' ')) AS g
+  FROM (SELECT rid, ws, unnest(range(1, len(ws) - {WIDTH - 2})) AS i FROM d WHERE len(ws) >= {WIDTH})),
+dup AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY g) AS c FROM win) WHERE c > 1),
+gone AS (SELECT DISTINCT rid, i + k AS i FROM dup, (SELECT unnest(range({WIDTH})) AS k)),
+each AS (SELECT rid, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM d),
+kept AS (SELECT rid, count(*) AS n, string_agg(w, ' ' ORDER BY i) AS s FROM each ANTI JOIN gone USING (rid, i) GROUP BY rid)
+SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(s, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (rid)""",
+)
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
