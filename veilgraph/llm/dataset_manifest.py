@@ -134,63 +134,64 @@ def _by_block(rows: DataFrame) -> DataFrame:
     return rows.repartition("grp", "block").sortWithinPartitions("grp", "block", "pos")
 
 
-def _with_block(nodes: DataFrame) -> DataFrame:
-    return nodes.withColumn("block", F.shiftright("pos", BLOCK_LEVELS))
+def _with_block(nodes: DataFrame, height: int) -> DataFrame:
+    return nodes.withColumn("block", F.shiftright("pos", height))
 
 
-def _levels(size: float) -> int:
-    return min(BLOCK_LEVELS, levels_over(int(size)))
+def _levels(size: float, height: int) -> int:
+    return min(height, levels_over(int(size)))
 
 
-def block_tops(nodes: DataFrame) -> DataFrame:
+def block_tops(nodes: DataFrame, height: int) -> DataFrame:
     """(grp, pos, size, digest) of the blocks' tops, as nodes of the layer above."""
 
     def tops(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         for run in runs_of(batches, ["grp", "block"]):
             size = run["size"][0]
-            tree = BlockTree(run["digest"], _levels(size))
-            yield run["grp"][0], run["block"][0], -(-size >> BLOCK_LEVELS), tree.top
+            tree = BlockTree(run["digest"], _levels(size, height))
+            yield run["grp"][0], run["block"][0], -(-size >> height), tree.top
 
     def built(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return in_frames(tops(batches), ["grp", "pos", "size", "digest"])
 
-    rows = _by_block(_with_block(nodes.select("grp", "pos", "size", "digest")))
+    rows = _by_block(_with_block(nodes.select("grp", "pos", "size", "digest"), height))
     return rows.mapInPandas(built, "grp string, pos bigint, size bigint, digest string")
 
 
-def shared_paths(nodes: DataFrame) -> DataFrame:
+def shared_paths(nodes: DataFrame, height: int) -> DataFrame:
     """(grp, pos, path, root) of every node (grp, pos, size, digest): its steps up to its group's root."""
     if nodes.filter("size > 1").isEmpty():
         return nodes.select("grp", "pos", F.array().cast("array<string>").alias("path"), F.col("digest").alias("root"))
 
     def steps(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         for run in runs_of(batches, ["grp", "block"]):
-            tree = BlockTree(run["digest"], _levels(run["size"][0]))
+            tree = BlockTree(run["digest"], _levels(run["size"][0], height))
             for place, pos in enumerate(run["pos"]):
                 yield run["grp"][0], pos, run["block"][0], tree.path(place)
 
     def stepped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return in_frames(steps(batches), ["grp", "pos", "block", "path"])
 
-    above = shared_paths(save(block_tops(nodes), "block-tops"))
+    above = shared_paths(save(block_tops(nodes, height), "block-tops"), height)
     above = above.select(
         F.col("grp").alias("_grp"), F.col("pos").alias("_block"), F.col("path").alias("_path"), "root"
     )
-    layer = _by_block(_with_block(nodes)).mapInPandas(
+    layer = _by_block(_with_block(nodes, height)).mapInPandas(
         stepped, "grp string, pos bigint, block bigint, path array<string>"
     )
     joined = layer.join(above, (F.col("grp") == F.col("_grp")) & (F.col("block") == F.col("_block")))
     return save(joined.select("grp", "pos", F.concat("path", "_path").alias("path"), "root"), "shared-paths")
 
 
-def block_paths(leaves: DataFrame) -> DataFrame:
+def block_paths(leaves: DataFrame, height: int) -> DataFrame:
     """(grp, block, path, subroot, root): how each block of ``leaves`` goes on to the root of all groups."""
-    within = save(shared_paths(save(block_tops(leaves.withColumnRenamed("leaf", "digest")), "block-tops")), "in-group")
+    tops = save(block_tops(leaves.withColumnRenamed("leaf", "digest"), height), "block-tops")
+    within = save(shared_paths(tops, height), "in-group")
     subroots = within.filter("pos = 0").select(F.col("grp").alias("of"), F.col("root").alias("digest"))
     ranked = save(with_positions(subroots, ["of"]), "subroots")
     size = ranked.count()
     tops = ranked.select(F.lit("").alias("grp"), "pos", F.lit(size).cast("bigint").alias("size"), "digest", "of")
-    over = shared_paths(tops).select("pos", F.col("path").alias("_path"), F.col("root").alias("top"))
+    over = shared_paths(tops, height).select("pos", F.col("path").alias("_path"), F.col("root").alias("top"))
     over = ranked.join(over, "pos").select(F.col("of").alias("grp"), "_path", "top")
     return within.join(over, "grp").select(
         "grp",
@@ -201,7 +202,7 @@ def block_paths(leaves: DataFrame) -> DataFrame:
     )
 
 
-def dataset_manifest(docs: DataFrame, nodes: bool = False) -> DataFrame:
+def dataset_manifest(docs: DataFrame, nodes: bool = False, block_levels: int = BLOCK_LEVELS) -> DataFrame:
     """(doc_id, leaf, subroot, root, proof_sha256, folded_root, verified) of every row.
 
     ``folded_root`` is the root of the version that the row's tampered leaf makes, or the untampered leaf folded
@@ -212,7 +213,7 @@ def dataset_manifest(docs: DataFrame, nodes: bool = False) -> DataFrame:
 
     def rows_of(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         for run in runs_of(batches, ["grp", "block"]):
-            for row in _verified(run):
+            for row in _verified(run, block_levels):
                 yield row[: len(types)]
 
     def verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -222,7 +223,8 @@ def dataset_manifest(docs: DataFrame, nodes: bool = False) -> DataFrame:
         leaves = save(manifest_leaves(docs), "leaves")
         order = [F.col("doc_id").asc_nulls_first(), "leaf"]
         placed = save(with_positions(leaves, order, within=["grp"], size="size"), "placed-leaves")
-        rows = _by_block(_heads(block_paths(placed)).unionByName(_with_block(placed), allowMissingColumns=True))
+        heads = _heads(block_paths(placed, block_levels))
+        rows = _by_block(heads.unionByName(_with_block(placed, block_levels), allowMissingColumns=True))
         found = rows.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(
             verified, ", ".join(types)
         )
@@ -234,11 +236,11 @@ def _heads(paths: DataFrame) -> DataFrame:
     return paths.select("grp", "block", F.lit(-1).cast("bigint").alias("pos"), "path", "subroot", "root")
 
 
-def _verified(run: dict[str, list]) -> Iterator[tuple]:
+def _verified(run: dict[str, list], height: int) -> Iterator[tuple]:
     """Proof and version of each leaf of a block; its first row has the path above it."""
     above, subroot, root = list(run["path"][0]), run["subroot"][0], run["root"][0]
     leaves = run["leaf"][1:]
-    tree = BlockTree(leaves, _levels(run["size"][1]))
+    tree = BlockTree(leaves, _levels(run["size"][1], height))
     for place, (doc_id, leaf, tampered) in enumerate(zip(run["doc_id"][1:], leaves, run["tampered"][1:])):
         path = tree.path(place) + above
         version = None
