@@ -258,6 +258,19 @@ def test_signature_and_anchor_depend_on_the_window_alone(monkeypatch):
         assert len({s for s, _, _ in seen.values()}) == len(seen)
 
 
+def test_word_hashes_name_words(monkeypatch):
+    r = random.Random(2)
+    monkeypatch.setattr(substring_dedup, "PIECE_BYTES", 50)
+    seen = {}
+    for _ in range(300):
+        text = "".join(r.choices("abcé日\x00 \t\n\x0b\x1c\xa0", k=r.randint(0, 200)))
+        words, hashes = WORD.findall(text), substring_dedup.word_hashes(text)
+        assert len(words) == len(hashes) and words == [w.decode() for w in text.encode().split()]
+        for w, h in zip(words, hashes.tolist()):
+            assert seen.setdefault(w, h) == h
+    assert len(set(seen.values())) == len(seen) > 1000
+
+
 def test_rounds_name_runs_and_pairs():
     words = np.array([5, 5, 5, 7, 5, 5], np.uint64)
     runs = recompression.name_runs(recompression.Symbols.of(words, np.zeros(6, bool)))

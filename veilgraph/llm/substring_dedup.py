@@ -29,6 +29,8 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import compress
 
 import numpy as np
 import pandas as pd
@@ -36,36 +38,53 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilgraph.llm.base import text_of, words_of
-from veilgraph.llm.jaccard_join import WordHashes
 from veilgraph.llm.recompression import mix, windows
 from veilgraph.operators.skew import Dimension, attach
 from veilgraph.runtime import keep, save, scratch
 
 WIDTH = 35
-PIECE_WORDS = 100_000
-PIECE_CHARS = 1 << 20
+PIECE_WORDS = 32_000
+PIECE_BYTES = 1 << 20
 HUB_ROWS = 2_000
 # A row's place: the first word of its windows, and how many they are (never more than WIDTH).
 PLACE_BASE = 1024
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_GAP = re.compile(r"[\x20\x09-\x0D]")
-_KNOWN = WordHashes()
-_POWER = np.uint64(0x9E3779B97F4A7C15)
-
-
-def text_words(text: str) -> Iterator[list[str]]:
-    """The words, as lists of bounded size."""
-    at = 0
-    while at < len(text):
-        gap = _GAP.search(text, at + PIECE_CHARS)
-        end = gap.start() if gap else len(text)
-        yield _WORD.findall(text, at, end)
-        at = end
+# White space in UTF-8, as ``bytes.split`` takes it too: space, and tab to carriage return.
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_OCTETS = np.random.default_rng(13).integers(0, 1 << 64, 256, np.uint64)
+# The base of the words' polynomials, and its inverse modulo 2 ** 64.
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_POWER = np.uint64(_BASE)
+
+
+@lru_cache(4)
+def _powers(base: int, size: int) -> np.ndarray:
+    found = np.full(size, np.uint64(base))
+    found[0] = 1
+    return np.cumprod(found, dtype=np.uint64)
+
+
+def _hashes(octets: np.ndarray) -> np.ndarray:
+    """Hashes of the words of a piece, all at once: polynomials of their octets, mixed with their lengths."""
+    size = 1 << max(16, len(octets).bit_length())
+    inside = np.concatenate([[False], ~_SPACE[octets], [False]])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    first, end = edges[::2], edges[1::2]
+    total = np.zeros(len(octets) + 1, np.uint64)
+    np.cumsum(_OCTETS[octets] * _powers(_BASE, size)[: len(octets)], out=total[1:])
+    polynomial = (total[end] - total[first]) * _powers(_INVERSE, size)[first]
+    return mix(polynomial + (end - first).astype(np.uint64) * _POWER)
 
 
 def word_hashes(text: str) -> np.ndarray:
-    known = _KNOWN
-    parts = [np.array([known[w] for w in words], np.uint64) for words in text_words(text)]
+    """A hash of 64 bits for each word; long texts are read in pieces that end at white space."""
+    octets, at, parts = text.encode(), 0, []
+    while at < len(octets):
+        gap = _GAP.search(octets, at + PIECE_BYTES)
+        end = gap.start() if gap else len(octets)
+        parts.append(_hashes(np.frombuffer(octets, np.uint8, end - at, at)))
+        at = end
     return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
 
 
@@ -197,44 +216,45 @@ def verified(docs: DataFrame, kinds: DataFrame, width: int) -> DataFrame:
     texts = _keyed_texts(docs).join(asked, "doc").select("doc", "text", "asked")
 
     def signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for doc, text, asked_here in zip(batch["doc"], batch["text"], batch["asked"]):
-                yield from window_signatures(doc, text, asked_here, width)
+        texts = (row for batch in batches for row in zip(batch["doc"], batch["text"], batch["asked"]))
+        return window_signatures(texts, width)
 
     signed_as = "anchor bigint, context bigint, i int, signature bigint, doc bigint, place bigint"
-    # Rows that are equal in everything share a text and would give each window twice.
-    each = save(texts.mapInPandas(signed, signed_as).dropDuplicates(["anchor", "context", "i"]), "signed-windows")
-    twice = each.groupBy("anchor", "signature").agg(F.count("*").alias("n")).filter("n > 1")
-    twice = save(twice, "shared-signatures")
+    each = save(texts.mapInPandas(signed, signed_as), "signed-windows")
+    # A signature belongs to one window of a row, so it is in another kind where it has two contexts; rows that
+    # are equal in everything share a text and give the same window twice.
+    twice = each.groupBy("anchor", "signature").agg(
+        F.count("*").alias("n"), F.min("context").alias("low"), F.max("context").alias("high")
+    )
+    twice = save(twice.filter("low < high").drop("low", "high"), "shared-signatures")
     again = _spread(each, twice, "n", ["anchor", "signature"], ["n"]).filter("n > 1")
     return again.groupBy("anchor", "context").agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("mask"))
 
 
-def window_signatures(doc: int, text: str, asked, width: int) -> Iterator[pd.DataFrame]:
-    """(anchor, context, i, signature, doc, place) of every window of the asked rows of a text."""
-    hashes = word_hashes(text)
+def window_signatures(texts: Iterator[tuple], width: int) -> Iterator[pd.DataFrame]:
+    """(anchor, context, i, signature, doc, place) of every window of the rows asked of each (doc, text, asked)."""
     pieces = Pieces(width)
+    rows: list[tuple[int, int, int, int]] = []
 
     def signed() -> pd.DataFrame:
-        row, first, _, found = pieces.windows()
-        places = np.array([r["place"] for r in asked])[row]
+        owner, first, _, found = pieces.windows()
+        anchor, context, place, doc = (np.array(values)[owner] for values in zip(*rows))
+        i = (first - place // PLACE_BASE).astype(np.int32)
+        signature = found.signature.view(np.int64)
         return pd.DataFrame(
-            {
-                "anchor": np.array([r["anchor"] for r in asked])[row],
-                "context": np.array([r["context"] for r in asked])[row],
-                "i": (first - places // PLACE_BASE).astype(np.int32),
-                "signature": found.signature.view(np.int64),
-                "doc": doc,
-                "place": places,
-            }
+            {"anchor": anchor, "context": context, "i": i, "signature": signature, "doc": doc, "place": place}
         )
 
-    for number, row in enumerate(asked):
-        pieces.add(number, hashes, row["place"] // PLACE_BASE, row["place"] % PLACE_BASE)
-        if pieces.size >= PIECE_WORDS:
-            yield signed()
-            pieces.clear()
-    if pieces.size:
+    for doc, text, asked in texts:
+        hashes = word_hashes(text)
+        for row in asked:
+            pieces.add(len(rows), hashes, row["place"] // PLACE_BASE, row["place"] % PLACE_BASE)
+            rows.append((row["anchor"], row["context"], row["place"], doc))
+            if pieces.size >= PIECE_WORDS:
+                yield signed()
+                pieces.clear()
+                rows = []
+    if rows:
         yield signed()
 
 
@@ -276,10 +296,10 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             for batch in batches:
                 rows = []
                 for doc_id, text, marks in zip(batch["doc_id"], batch["text"], batch["marks"]):
-                    words = _WORD.findall(text)
+                    words = text.encode().split()
                     gone = removed_words(len(words), marks, width)
-                    kept = " ".join([w for w, g in zip(words, gone.tolist()) if not g])
-                    rows.append((doc_id, len(words), int(gone.sum()), hashlib.sha256(kept.encode()).hexdigest()))
+                    kept = b" ".join(compress(words, (~gone).tolist()))
+                    rows.append((doc_id, len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest()))
                 yield pd.DataFrame(rows, columns=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
         touched = _keyed_texts(docs).join(marks, "doc")
