@@ -1,18 +1,17 @@
 """Packing by optimal length buckets and token-budget batches.
 
 The histogram of lengths over the whole table is the only thing gathered: one
-row per length class, with ``CLASSES_PER_OCTAVE`` classes per doubling beyond
-``EXACT`` tokens, so at most a few tens of thousands of rows for any table.
+row per length that occurs, so never more rows than the longest text has tokens.
 Dynamic programming over it chooses the bucket boundaries that minimise the
 padding; within a bucket, batches are filled in id order up to the token budget.
 
 No text is dropped, cut or split: the last boundary is the greatest length, and
 a text longer than the budget is a batch of its own.
 
-Defined results: a null text counts as empty and has length zero; ties are
-broken by the other columns, then rows that are equal in all of them are interchangeable;
-an empty table gives an empty table; input columns that share a name with an
-output column are replaced.
+Defined results: a null length counts as zero; ties are broken by the other
+columns, then rows that are equal in all of them are interchangeable; an empty
+table gives an empty table; input columns that share a name with an output
+column are replaced.
 """
 
 from __future__ import annotations
@@ -29,8 +28,6 @@ from veilgraph.runtime import save
 
 BUCKETS = 16
 TOKEN_BUDGET = 16_384
-EXACT = 16_384
-CLASSES_PER_OCTAVE = 1024
 ADDED = ("n_tokens", "bucket", "bucket_length", "batch", "place", "padding")
 
 
@@ -42,14 +39,6 @@ class Buckets:
     padding: int
 
 
-def length_class(length: Column) -> Column:
-    """The greatest length of a length's class: itself up to EXACT, then a step of its octave."""
-    octave = F.floor(F.log2(F.greatest(length, F.lit(1)) / EXACT))
-    step = F.greatest(F.lit(1), (F.pow(F.lit(2.0), octave) * EXACT / CLASSES_PER_OCTAVE).cast("bigint"))
-    rounded = ((length + step - 1) / step).cast("bigint") * step
-    return F.when(length <= EXACT, length).otherwise(rounded).cast("bigint")
-
-
 def optimal_buckets(lengths: Sequence[int], counts: Sequence[int], buckets: int) -> Buckets:
     """Boundaries out of ``lengths`` (ascending) that minimise the padding of ``counts`` texts each.
 
@@ -132,12 +121,11 @@ def pack(
     batch stay within ``budget`` unless it has a single row; ``padding`` is bucket_length - n_tokens.
     """
     others = [c for c in docs.columns if c not in ADDED]
-    sized = save(docs.select(*[F.col(f"`{c}`") for c in others], length.cast("bigint").alias("n_tokens")), "sized")
-    classes = sized.groupBy(length_class(F.col("n_tokens")).alias("l")).agg(
-        F.count("*").alias("n"), F.max("n_tokens").alias("top")
-    )
-    # One row per length class.
-    histogram = sorted((r["top"], r["n"]) for r in classes.collect())
+    tokens = F.coalesce(length.cast("bigint"), F.lit(0).cast("bigint")).alias("n_tokens")
+    sized = save(docs.select(*[F.col(f"`{c}`") for c in others], tokens), "sized")
+    counted = sized.groupBy("n_tokens").agg(F.count("*").alias("n"))
+    # One row per length: the most that can come is the number of tokens of the longest text.
+    histogram = sorted((r["n_tokens"], r["n"]) for r in counted.collect())
     found = optimal_buckets([t for t, _ in histogram], [n for _, n in histogram], buckets)
     lengths = found.lengths or (0,)
     index = bucket_index(F.col("n_tokens"), found)
@@ -146,12 +134,14 @@ def pack(
     placed = with_positions(placed, order, within=["bucket"], name="_pos")
     reach = F.array(*[F.lit(n).cast("bigint") for n in lengths])[F.col("bucket")]
     room = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(reach, F.lit(1)))).cast("bigint")
-    first, firsts, below = 0, [], -1
+    first, firsts, at = 0, [], 0
     for boundary in lengths:
         firsts.append(first)
-        rows = sum(n for top, n in histogram if below < top <= boundary)
+        rows = 0
+        while at < len(histogram) and histogram[at][0] <= boundary:
+            rows += histogram[at][1]
+            at += 1
         first += -(-rows // max(1, budget // max(1, boundary)))
-        below = boundary
     start = F.array(*[F.lit(n).cast("bigint") for n in firsts])[F.col("bucket")]
     return placed.select(
         *[F.col(f"`{c}`") for c in others],

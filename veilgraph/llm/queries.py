@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilgraph.llm.base import ORACLE, QUERIES, query, table, text_of, words_of  # noqa: F401  (the entry reads the registry here)
+from veilgraph.llm.base import ORACLE, QUERIES, query, table  # noqa: F401  (the entry reads the registry here)
 from veilgraph.llm.dataset_manifest import LEAF_COLUMNS, TAMPER_MODULUS, dataset_manifest
 from veilgraph.llm.html_text import main_text
 from veilgraph.llm.jaccard_join import near_duplicates
@@ -143,8 +143,9 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op3_packing")
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sized = table(spark, sf_dir, "documents").select("doc_id", F.size(words_of(text_of())).alias("words"))
-    return pack(sized, F.col("words")).drop("words")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    sized = token_counts(docs, public_tokenizers.path("piece_bpe_32k.model")).select("doc_id", "n_pieces")
+    return pack(sized, F.col("n_pieces")).drop("n_pieces")
 
 
 @query("op7_token_counts")
