@@ -8,10 +8,11 @@ from dataclasses import dataclass, field
 
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("button script style noscript template iframe object svg math textarea title xmp noembed select".split())
+RAW = frozenset("button script style noscript template iframe svg textarea title xmp noembed select".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span "
-    "strike strong sub sup time tt u var".split()
+    "strike strong sub sup time tt u var object math semantics annotation mstyle mrow mi mn mo ms mtext mspace mfrac msqrt "
+    "mroot msub msup msubsup munder mover munderover mmultiscripts mpadded mphantom menclose merror mtable mtr mtd".split()
 )
 CLOSES_P = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -39,13 +40,17 @@ _TOKEN = re.compile(
 _ATTR = re.compile(r"""(?:^|[\s/])(class|id|role|itemprop|aria-label|rel)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
 
+# Shared by the elements without any: pages have hundreds of thousands.
+NO_TOKENS: list[str] = []
+
+
 def attribute_tokens(attrs: str) -> list[str]:
     """Lower-case words of the attributes that name what an element is for."""
     found = []
     for _, a, b, c in _ATTR.findall(attrs):
         parts = re.sub(r"([a-z])([A-Z])", r"\1 \2", html.unescape(a or b or c)).lower()
         found += [w for w in re.split(r"[^a-z]+", parts) if w]
-    return found
+    return found or NO_TOKENS
 
 
 @dataclass
@@ -72,9 +77,10 @@ class Page:
 def read_page(source: str) -> Page:
     """Elements and text of any string; markup that never ends, or ends twice, is put right."""
     page = Page()
-    root = page.add("html", -1, [], False)
+    root = page.add("html", -1, NO_TOKENS, False)
     open_tags: list[tuple[str, int]] = [("html", root)]
     links = at = 0
+    never_ends: set[str] = set()  # names of which no end follows
 
     def text(upto: int) -> None:
         if upto > at:
@@ -136,7 +142,11 @@ def read_page(source: str) -> Page:
                 mark()
             continue
         if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(source, at)
+            end = None
+            if name not in never_ends:
+                end = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(source, at)
+            if not end:
+                never_ends.add(name)
             if end or name in ("script", "style"):  # others may be left open by mistake
                 at = end.end() if end else len(source)
             continue

@@ -45,6 +45,7 @@ TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre tabl
 SIDE_TAGS = frozenset("nav header footer aside form label address head".split())
 MAX_TOKENS = 90
 DOUBT = -2.0
+SLICE = 8192
 _TAG_CODE = {t: i for i, t in enumerate(TAGS)}
 
 
@@ -54,8 +55,33 @@ class ExtractionModel:
     tokens: dict[str, int]  # attribute words that the trees may ask for
 
 
-def features(page: Page, tokens: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """A row per element, and the number of characters below each."""
+@dataclass(frozen=True)
+class Features:
+    """What the trees may ask of each element; words and flags as bits, which only ``rows`` spreads out."""
+
+    general: np.ndarray
+    tag: np.ndarray
+    flags: np.ndarray  # of the elements above
+    words: np.ndarray  # two numbers of 64 bits each
+    words_above: np.ndarray
+    n_tokens: int
+    below: np.ndarray  # characters below each element
+
+    def rows(self, first: int, end: int) -> np.ndarray:
+        def spread(bits: np.ndarray, size: int) -> np.ndarray:
+            some = bits[first:end]
+            return (some[:, np.arange(size) // 64] >> np.arange(size, dtype=np.uint64) % np.uint64(64)) & np.uint64(1)
+
+        names = np.arange(len(TAGS) + 1) == self.tag[first:end, None]
+        parts = [spread(self.flags, len(FLAGS)), spread(self.words, self.n_tokens), spread(self.words_above, self.n_tokens)]
+        return np.concatenate([self.general[first:end], names, *parts], axis=1)
+
+    def __len__(self) -> int:
+        return len(self.tag)
+
+
+def features(page: Page, tokens: dict[str, int]) -> Features:
+    """What is asked of the elements of a page; at most 128 ``tokens``."""
     n = len(page.tag)
     own, links, marks = np.zeros(n), np.zeros(n), np.zeros(n)
     before = np.zeros(n)
@@ -118,23 +144,43 @@ def features(page: Page, tokens: dict[str, int]) -> tuple[np.ndarray, np.ndarray
         ],
         axis=1,
     )
-    names = np.zeros((n, len(TAGS) + 1))
-    above = np.zeros((n, len(FLAGS)))
-    words = np.zeros((n, len(tokens)))
-    words_above = np.zeros((n, len(tokens)))
-    for i in range(n):
-        tag = page.tag[i]
-        names[i, _TAG_CODE.get(tag, len(TAGS))] = 1
+    tag = np.array([_TAG_CODE.get(t, len(TAGS)) for t in page.tag])
+    own_flag = [1 << FLAGS.index(t) if t in FLAGS else 0 for t in page.tag]
+    own_words = [_word_bits(words, tokens) for words in page.tokens]
+    flags, above = [0] * n, [0] * n
+    for i in range(1, n):
         p = parent[i]
-        if p >= 0:
-            above[i] = above[p]
-            if page.tag[p] in FLAGS:
-                above[i, FLAGS.index(page.tag[p])] = 1
-            words_above[i] = np.maximum(words_above[p], words[p])
-        for word in page.tokens[i]:
-            if word in tokens:
-                words[i, tokens[word]] = 1
-    return np.concatenate([general, names, above, words, words_above], axis=1), below
+        flags[i] = flags[p] | own_flag[p]
+        above[i] = above[p] | own_words[p]
+    return Features(general, tag, _halves(flags), _halves(own_words), _halves(above), len(tokens), below)
+
+
+def _word_bits(words: list[str], tokens: dict[str, int]) -> int:
+    bits = 0
+    for word in words:
+        if word in tokens:
+            bits |= 1 << tokens[word]
+    return bits
+
+
+def _halves(bits: list[int]) -> np.ndarray:
+    low = (1 << 64) - 1
+    return np.array([[b & low, b >> 64] for b in bits], np.uint64)
+
+
+def margins(pages: list[Features], trees: Boosted) -> np.ndarray:
+    """Log odds of the elements of the pages, worked out for a bounded number at once."""
+    out, held, size = [], [], 0
+    for found in pages:
+        for first in range(0, len(found), SLICE):
+            held.append(found.rows(first, min(len(found), first + SLICE)))
+            size += len(held[-1])
+            if size >= SLICE:
+                out.append(trees.margin(np.concatenate(held)))
+                held, size = [], 0
+    if held:
+        out.append(trees.margin(np.concatenate(held)))
+    return np.concatenate(out)
 
 
 @cache
@@ -147,9 +193,9 @@ def trained_model() -> ExtractionModel:
     counts = Counter(w for page, _ in pages for words in page.tokens for w in set(words))
     tokens = {w: i for i, (w, _) in enumerate(sorted(counts.items(), key=lambda c: (-c[1], c[0]))[:MAX_TOKENS])}
     made = [features(page, tokens) for page, _ in pages]
-    x = np.concatenate([f for f, _ in made])
+    x = np.concatenate([f.rows(0, len(f)) for f in made])
     y = np.array([label for _, labels in pages for label in labels], float)
-    weight = np.concatenate([1 + np.log1p(below) / 4 for _, below in made])
+    weight = np.concatenate([1 + np.log1p(f.below) / 4 for f in made])
     asked = np.array([i == 0 or labels[p.parent[i]] for p, labels in pages for i in range(len(labels))])
     return ExtractionModel(fit(x[asked], y[asked], weight[asked]), tokens)
 
@@ -180,11 +226,11 @@ def extract(sources: list[str], model: ExtractionModel) -> list[str]:
     pages = [read_page(s) for s in sources]
     if not pages:
         return []
-    margins = model.trees.margin(np.concatenate([features(p, model.tokens)[0] for p in pages]))
+    margin = margins([features(p, model.tokens) for p in pages], model.trees)
     out, at = [], 0
     for page in pages:
         n = len(page.tag)
-        out.append("\n".join(blocks(page, keep(page, margins[at : at + n]))))
+        out.append("\n".join(blocks(page, keep(page, margin[at : at + n]))))
         at += n
     return out
 
