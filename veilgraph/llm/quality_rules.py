@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 from veilgraph.llm.base import WORD, bind, text_of, words_of
 
 SYMBOLS = "#*$%&|<>"
-INDEX_BITS = 24
 
 # Frequent function words of English, French, German and Spanish.
 STOP_WORDS = (
@@ -56,47 +55,29 @@ RULES = (
 def _repeat_words(words: Column) -> Column:
     """Words inside three-word windows that occur twice or more in the text.
 
-    A window is a long: 40 bits of its hash over 24 bits of its place.  Sorted,
-    equal windows are neighbours; the words themselves decide, the hash only
-    brings them together.  Texts of more words than 24 bits count are sorted as
-    (hash, place) pairs instead.
+    Windows are sorted by hash, and equal hashes by the words themselves, so equal windows are always
+    neighbours; the words decide.  Texts of which all hashes differ are done without sorting.
     """
-    mask = (1 << INDEX_BITS) - 1
 
     def window(at: Column, k: int) -> Column:
         return F.get(words, at + F.lit(k))
 
-    def same(a: Column, b: Column) -> Column:
-        return reduce(lambda x, y: x & y, (window(a, k) == window(b, k) for k in range(3)))
-
     def hashed(i: Column) -> Column:
         return F.xxhash64(window(i, 0), window(i, 1), window(i, 2))
 
-    def packed_places(hashes: Column) -> Column:
-        packs = F.transform(hashes, lambda h, i: F.shiftleft(h, INDEX_BITS).bitwiseOR(i.cast("long")))
+    def repeated_places(hashes: Column) -> Column:
+        def placed(h: Column, i: Column) -> Column:
+            return F.struct(h.alias("h"), *[window(i, k).alias(f"w{k}") for k in range(3)], i.alias("i"))
 
-        def alike(x: Column, y: Column) -> Column:
-            close = F.shiftright(x, INDEX_BITS) == F.shiftright(y, INDEX_BITS)
-            return close & same(x.bitwiseAND(mask).cast("int"), y.bitwiseAND(mask).cast("int"))
+        def same(a: Column, b: Column) -> Column:
+            return reduce(lambda x, y: x & y, (a[name] == b[name] for name in ("h", "w0", "w1", "w2")))
 
         def twins(ordered: Column) -> Column:
             # A null neighbour makes the comparison null, which a filter drops.
-            kept = F.filter(ordered, lambda x, k: alike(x, F.get(ordered, k + 1)) | alike(x, F.get(ordered, k - 1)))
-            return F.transform(kept, lambda x: x.bitwiseAND(mask).cast("int"))
-
-        return bind(F.sort_array(packs), twins)
-
-    def paired_places(hashes: Column) -> Column:
-        pairs = F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i")))
-
-        def twins(ordered: Column) -> Column:
-            kept = F.filter(
-                ordered,
-                lambda x, k: same(x["i"], F.get(ordered, k + 1)["i"]) | same(x["i"], F.get(ordered, k - 1)["i"]),
-            )
+            kept = F.filter(ordered, lambda x, k: same(x, F.get(ordered, k + 1)) | same(x, F.get(ordered, k - 1)))
             return F.transform(kept, lambda x: x["i"])
 
-        return bind(F.sort_array(pairs), twins)
+        return bind(F.sort_array(F.transform(hashes, placed)), twins)
 
     def covered(places: Column) -> Column:
         """Windows start at ``places``; each adds the words up to the next start, three at most."""
@@ -106,9 +87,9 @@ def _repeat_words(words: Column) -> Column:
         return F.aggregate(reach, F.lit(0).cast("long"), lambda total, x: total + x)
 
     def counted(hashes: Column) -> Column:
-        found = F.when(F.size(words) <= mask, packed_places(hashes)).otherwise(paired_places(hashes))
         unique = F.size(F.array_distinct(hashes)) == F.size(hashes)
-        return F.when(unique, F.lit(0).cast("long")).otherwise(bind(F.sort_array(found), covered))
+        found = bind(F.sort_array(repeated_places(hashes)), covered)
+        return F.when(unique, F.lit(0).cast("long")).otherwise(found)
 
     hashes = F.transform(F.slice(words, 1, F.greatest(F.size(words) - 2, F.lit(0))), lambda _, i: hashed(i))
     return bind(hashes, counted)
