@@ -10,6 +10,8 @@ in numpy, each text standing for its currently most toxic span.
 As averaging and the softmax's margin are linear, a word enters a score through
 one number.  Scoring keeps those numbers in a bounded table of distinct words
 in each Python worker and never shuffles; every span of the whole text counts.
+Training takes one span in TRAINING_STEP, so that two spans of an insult do not
+teach its neighbours: scores of held-out texts are better for it.
 
 Defined results: a null or empty text has the score of no words (the bias
 alone); repeated rows score alike; without labels of both classes every score
@@ -36,7 +38,7 @@ from veilgraph.llm.labelled import is_held_out, labelled_sample
 FOLDS, FOLD = 4, 2
 THRESHOLD = 0.3
 SPAN = 3
-STEP = 2
+TRAINING_STEP = 2
 BUCKETS = 1 << 17
 DIMENSIONS = 8
 GRAMS = (2, 3, 4, 5)
@@ -93,9 +95,9 @@ def gram_table(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return places[order], buckets[order]
 
 
-def span_starts(n_words: int) -> range:
-    """Spans overlap, so any run of STEP words lies whole in one; the last reaches the end."""
-    return range(0, max(1, n_words - SPAN + STEP), STEP)
+def span_starts(n_words: int, step: int = 1) -> range:
+    """Every run of SPAN words, or one of ``step`` in such a way that the last reaches the end."""
+    return range(0, max(1, n_words - SPAN + step), step)
 
 
 @dataclass(frozen=True)
@@ -155,8 +157,8 @@ def train(rows: list[tuple[str, int]], prior: float, seed: int = 7, epochs: int
     gram, gram_sizes = buckets[learnt], np.bincount(word_of[learnt], minlength=len(vocabulary))
     gram_bounds = np.concatenate([[0], np.cumsum(gram_sizes)])
 
-    spans = [ids[i : i + SPAN] for ids in texts for i in span_starts(len(ids))]
-    text_bounds = np.cumsum([0, *(len(span_starts(len(ids))) for ids in texts)])
+    spans = [ids[i : i + SPAN] for ids in texts for i in span_starts(len(ids), TRAINING_STEP)]
+    text_bounds = np.cumsum([0, *(len(span_starts(len(ids), TRAINING_STEP)) for ids in texts)])
     tokens = np.array([i for span in spans for i in span], np.int64)
     span_bounds = np.cumsum([0, *map(len, spans)])
     sizes = np.diff(span_bounds)
