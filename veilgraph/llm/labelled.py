@@ -36,7 +36,8 @@ def labelled_sample(
 
     The rows are those with the least hash of their id, so that the sample is
     the same in every run.  The driver gets at most ``2 * per_class`` texts, cut
-    to ``max_chars`` characters.  An id with several labels counts with the least.
+    to ``max_chars`` characters.  An id with several labels counts with the least, one with several texts with
+    the least of them.
     """
     usable = (
         labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~is_held_out(folds, fold))
@@ -50,5 +51,6 @@ def labelled_sample(
         chosen = some if chosen is None else chosen.unionByName(some)
     texts = docs.select("doc_id", F.substring(text_of(), 1, max_chars).alias("_text"))
     # At most 2 * per_class ids are broadcast.
-    rows = texts.join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "_text").collect()
+    single = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "_label").agg(F.min("_text").alias("_text"))
+    rows = single.orderBy(F.xxhash64("doc_id"), "doc_id").collect()
     return [(r["_text"], r["_label"]) for r in rows], counts
