@@ -1,5 +1,9 @@
 """Trained operators: held-out accuracy, repeatability and odd rows."""
 
+import time
+import tracemalloc
+from html.parser import HTMLParser
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -43,6 +47,36 @@ def test_held_out_labels_are_not_learnt(spark, tables):
     assert labelled_sample(docs, labels, "quality", 5, 0, 50, 500) == labelled_sample(docs, flipped, "quality", 5, 0, 50, 500)
 
 
+def test_one_text_of_each_labelled_id(spark):
+    docs = spark.createDataFrame([(1, f"text {k}") for k in range(500)] + [(k, "other") for k in range(2, 9)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(1, 9)] * 3, "doc_id bigint, toxic int")
+    rows, _ = labelled_sample(docs, labels, "toxic", 4, 9, 10, 50)
+    assert len(rows) == 8 and ("text 0", 1) in rows
+
+
+def plain_margins(model, text):
+    """Margin of each span, from the n-grams one by one."""
+    words = toxicity.words_of(text)
+    values = []
+    for word in words:
+        _, buckets = toxicity.gram_table([word])
+        values.append(sum(float(model.grams[b]) for b in buckets) / len(buckets))
+    spans = [values[i : i + 3] for i in range(max(1, len(values) - 2))]
+    return [sum(s) / len(s) + model.bias if s else model.bias for s in spans]
+
+
+def test_every_span_is_scored():
+    r = np.random.default_rng(1)
+    model = toxicity.SubwordModel(r.normal(size=toxicity.BUCKETS).astype(np.float32), -0.5)
+    table = toxicity.WordTable(model)
+    texts = ["", "a", "a b", "vile elm Oun", "x " * 7 + "vile tig elm", *(" ".join(map(str, r.integers(0, 50, n))) for n in range(3, 40))]
+    for text in texts:
+        assert table.scores([text])[0] == pytest.approx(1 / (1 + np.exp(-max(plain_margins(model, text)))), abs=1e-6)
+        # A word in front changes no score but by its own spans.
+        longer = max(plain_margins(model, "zz " + text))
+        assert table.scores(["zz " + text])[0] == pytest.approx(1 / (1 + np.exp(-longer)), abs=1e-6)
+
+
 def test_misspelt_words_share_grams():
     rows = [("the elm oun varo", 0), ("stil breth the tig", 0), ("varo stil oun elm", 0)] * 12
     rows += [("the elm wretched oun", 1), ("stil wretched tig", 1)] * 12
@@ -95,16 +129,74 @@ def test_made_up_pages_held_out():
     assert right >= 68 and np.mean(found) > 0.93
 
 
+class Articles(HTMLParser):
+    """Blocks of the article elements, by the standard library's parser."""
+
+    INLINE = "a abbr b cite code em i mark q small span strong sub sup time u br".split()
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.blocks, self.now = 0, [], ""
+
+    def cut(self):
+        if self.now.split():
+            self.blocks.append(" ".join(self.now.split()))
+        self.now = ""
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "br":
+            self.now += " "
+        elif tag not in self.INLINE:
+            self.cut()
+        self.inside += tag == "article"
+
+    def handle_endtag(self, tag):
+        if tag not in self.INLINE:
+            self.cut()
+        self.inside -= tag == "article"
+
+    def handle_data(self, data):
+        if self.inside:
+            self.now += data
+
+
 def test_given_pages(spark):
     """The pages' main text is known from their markup: it lies in the article element."""
     pages = spark.read.parquet(f"{SF_DIR}/pages.parquet")
     texts = {r["page_id"]: r["text"] for r in html_text.main_text(pages).collect()}
-    for r in pages.collect():
-        page = dom.read_page(r["html"])
-        inside = [False] * len(page.tag)
-        for i, tag in enumerate(page.tag):
-            inside[i] = tag == "article" or (i > 0 and inside[page.parent[i]])
-        assert texts[r["page_id"]] == "\n".join(dom.blocks(page, inside))
+    rows = pages.collect()
+    same = 0
+    for r in rows:
+        reader = Articles()
+        reader.feed(r["html"])
+        reader.close()
+        same += texts[r["page_id"]] == "\n".join(reader.blocks)
+    assert same == len(rows)
+
+
+def test_formulas_and_fallback_text_stay():
+    page = "<html><body><nav><ul><li><a href=x>Home</a></li></ul></nav><article><h1>Areas</h1>"
+    page += "<p>The area is <math><mi>x</mi> <mo>=</mo> <mn>2</mn></math> in the unit, as every reader of this page knows.</p>"
+    page += "<p>See <object data=f.pdf>the table of figures</object> below, which has all that was measured.</p></article></body></html>"
+    wanted = "Areas\nThe area is x = 2 in the unit, as every reader of this page knows.\n"
+    wanted += "See the table of figures below, which has all that was measured."
+    assert html_text.extract([page], html_text.trained_model()) == [wanted]
+
+
+def test_elements_left_open_take_linear_time():
+    began = time.process_time()
+    html_text.extract(["<svg>" * 200_000 + "<p>a text</p>"], html_text.trained_model())
+    assert time.process_time() - began < 5
+
+
+def test_large_pages_take_bounded_memory():
+    page = "<article>" + "<p>one paragraph</p>" * 500_000 + "</article>"
+    model = html_text.trained_model()
+    tracemalloc.start()
+    text = html_text.extract([page], model)[0]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert text.count("\n") == 499_999 and peak < 900_000_000, peak
 
 
 PAGES = [

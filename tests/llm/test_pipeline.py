@@ -46,9 +46,21 @@ def test_odd_rows(spark, odd_docs, odd_rows):
         assert found.columns == odd_docs.columns and found.schema == odd_docs.schema
         assert found.count() <= len(odd_rows)
     left = corpus_pipeline.near_duplicate_filter(spark, odd_docs, SF_DIR)
-    assert left.filter("doc_id IS NULL").count() == 2
-    assert sorted(r[0] for r in left.filter("doc_id IS NOT NULL").select("doc_id").collect()) == [1, 3, 4, 5, 6, 7, 8, 10, 11, 12, 13, 14]
+    kept = sorted(((r["doc_id"], r["text"]) for r in left.select("doc_id", "text").collect()), key=repr)
+    texts = dict(odd_rows)
+    wanted = [(i, texts[i]) for i in (1, 3, 4, 5, 6, 7, 8, 10, 11, 12, 13, 14)] + [(None, None)]
+    assert kept == sorted(wanted, key=repr)
     assert corpus_pipeline.packing(spark, odd_docs, SF_DIR).count() == len(odd_rows)
     empty = odd_docs.filter(F.lit(False))
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF_DIR).count() == 0, name
+
+
+def test_unlike_rows_of_one_id_stay(spark):
+    one, other = "alpha beta gamma delta epsilon zeta", "one two three four five six"
+    rows = [(7, one, "b"), (7, other, "x"), (7, one, "a"), (9, one, "x"), (None, one, "x"), (None, "lone words of no id here", "x")]
+    rows += [(3, "", "x"), (3, "", "x"), (3, None, "x"), (1, "one two three four five six", "x")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, _node string")
+    found = sorted(map(tuple, corpus_pipeline.near_duplicate_filter(spark, docs, SF_DIR).collect()), key=repr)
+    wanted = [(7, one, "a"), (1, other, "x"), (None, "lone words of no id here", "x"), (3, "", "x"), (3, "", "x"), (3, None, "x")]
+    assert found == sorted(wanted, key=repr)
