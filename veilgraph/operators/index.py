@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilgraph.functions.crypto import Keys, evaluated_once, fixed_width, keyed_order, keyed_token, seal, unseal
 from veilgraph.operators.padding import dummy_entries, pad_table
 from veilgraph.operators.skew import filter_by_keys, join_small, with_positions
-from veilgraph.runtime import keep, save, scratch
+from veilgraph.runtime import keep, remove_path, save, scratch
 
 # So many asked tokens are also named in the scan, which then opens only their directories.
 NAMED_TOKENS = 1000
@@ -20,10 +20,33 @@ ENTRY = "kind string, id bigint, u bigint, v bigint, pad string"
 
 @dataclass(frozen=True)
 class LabelIndex:
-    """entries (token, slot, ct), a directory per token where it was built, and sizes (token, p_r)."""
+    """entries (token, slot, ct) and sizes (token, p_r), each with a directory per token where they are written."""
 
     entries: DataFrame
     sizes: DataFrame
+    entries_path: str | None = None
+    sizes_path: str | None = None
+
+
+ENTRIES_TABLE = "slot bigint, ct binary, token string"
+SIZES_TABLE = "p_r bigint, token string"
+
+
+def open_index(spark: SparkSession, entries_path: str, sizes_path: str) -> LabelIndex:
+    """An index as written, by this session or another: an asked label opens its own directory.
+
+    A token has one size for each of its segments.
+    """
+    entries = spark.read.schema(ENTRIES_TABLE).parquet(entries_path).select("token", "slot", "ct")
+    sizes = spark.read.schema(SIZES_TABLE).parquet(sizes_path).groupBy("token").agg(F.sum("p_r").alias("p_r"))
+    return LabelIndex(entries, sizes, entries_path, sizes_path)
+
+
+def write_index(index: LabelIndex, path: str) -> LabelIndex:
+    """Write an index as a whole below ``path`` and open it there."""
+    for name, rows in (("index", index.entries), ("sizes", index.sizes)):
+        rows.write.mode("overwrite").partitionBy("token").parquet(f"{path}/{name}")
+    return open_index(index.entries.sparkSession, f"{path}/index", f"{path}/sizes")
 
 
 def label_histogram(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -57,9 +80,8 @@ def build_label_index(histogram: DataFrame, keys: Keys) -> LabelIndex:
 
 def _build(histogram: DataFrame, keys: Keys) -> LabelIndex:
     token = keyed_token(F.col("label"), keys.token)
-    pads = label_pads(histogram).withColumn("token", token)
-    sizes = save(pads.select("token", "r", "p_r", "dummies"), "label-index-sizes")
-    pads = histogram.select("label").distinct().withColumn("token", token).join(sizes, "token")
+    pads = save(label_pads(histogram), "label-pads")
+    sizes = keep(save(pads.select(token.alias("token"), "p_r"), "label-index-sizes", ("token",)))
     null = F.lit(None).cast("bigint")
     real = histogram.withColumn("pad", F.lit(None).cast("string"))
     dummies = dummy_entries(pads).select(
@@ -68,15 +90,72 @@ def _build(histogram: DataFrame, keys: Keys) -> LabelIndex:
     )
     rows = real.unionByName(dummies)
     order = keyed_order(keys.index, *[F.col(c) for c in ("label", "kind", "id", "u", "v", "pad")])
-    text = F.to_json(F.struct("kind", "id", "u", "v", "pad"))
-    width = rows.agg(F.max(F.octet_length(text))).first()[0] or 0
     sealed = save(
-        rows.select(token.alias("token"), order.alias("_order"), seal(fixed_width(text, width), keys.index).alias("ct")),
+        rows.select(
+            token.alias("token"), order.alias("_order"), seal(fixed_width(_text(), _width(histogram, pads)), keys.index).alias("ct")
+        ),
         "sealed-entries",
     )
     slotted = with_positions(sealed, ["_order"], within=["token"], name="slot")
     entries = keep(save(slotted.select("token", "slot", "ct"), "label-index", ("token",)))
-    return LabelIndex(entries.select("token", "slot", "ct"), keep(sizes).select("token", "p_r"))
+    return open_index(histogram.sparkSession, entries._written_path, sizes._written_path)
+
+
+def _text() -> Column:
+    return F.to_json(F.struct("kind", "id", "u", "v", "pad"))
+
+
+def _width(histogram: DataFrame, pads: DataFrame) -> int:
+    """A length that no entry passes, from the greatest numbers and labels; no entry is built for it."""
+    numbers = [f(c) for c in ("id", "u", "v") for f in (F.min, F.max)]
+    digits = max((len(str(n)) for n in histogram.agg(*numbers).first() if n is not None), default=0)
+    most, label = pads.agg(
+        F.max("dummies"), F.max(F.octet_length(F.to_json(F.struct("label"))))
+    ).first()
+    edge = len('{"kind":"e","u":,"v":}') + 2 * digits
+    dummy = len('{"kind":"d","pad":"__dummy___"}') + len(str(most or 0)) + (label or 0)
+    return max(edge, dummy)
+
+
+def append_to_index(index: LabelIndex, rows: DataFrame, keys: Keys) -> LabelIndex:
+    """Add the entries ``rows`` (label, kind, id, u, v): a segment for each of their labels, padded by itself.
+
+    The segment's files join those of its token, its size joins the sizes; no written file changes.  Slots go on
+    after the last one, so they stay dense.
+    """
+    spark = rows.sparkSession
+    fresh = build_label_index(rows, keys)
+    before = index.sizes.select("token", F.col("p_r").alias("_before"))
+    placed = fresh.entries.join(before, "token", "left").withColumn("slot", F.col("slot") + F.coalesce("_before", F.lit(0)))
+    placed.select("slot", "ct", "token").write.mode("append").partitionBy("token").parquet(index.entries_path)
+    fresh.sizes.write.mode("append").partitionBy("token").parquet(index.sizes_path)
+    _remove(fresh)
+    return open_index(spark, index.entries_path, index.sizes_path)
+
+
+def merge_segments(index: LabelIndex, labels: DataFrame, keys: Keys) -> LabelIndex:
+    """Rewrite the segments of ``labels`` (label) as one, padded as a whole; other directories stay as they are.
+
+    Worth it for a label whose segments are padded for more than their sum needs, see ``ready_to_merge``.
+    """
+    found = index_lookup(index, labels, keys).drop("slot")
+    fresh = build_label_index(found, keys)
+    for rows, path in ((fresh.entries, index.entries_path), (fresh.sizes, index.sizes_path)):
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("token").parquet(path)
+    _remove(fresh)
+    return open_index(labels.sparkSession, index.entries_path, index.sizes_path)
+
+
+def ready_to_merge(index: LabelIndex, labels: DataFrame, keys: Keys) -> DataFrame:
+    """(label): the asked labels that are padded for more rows than one segment of theirs would be."""
+    counts = index_lookup(index, labels, keys).groupBy("label").agg(F.count(F.lit(1)).alias("r"))
+    needed = pad_table(counts, "label").select("label", F.col("p_r").alias("_needed"))
+    return lookup_sizes(index, labels, keys).join(needed, "label").filter(F.col("p_r") > F.col("_needed")).select("label")
+
+
+def _remove(index: LabelIndex) -> None:
+    for path in (index.entries_path, index.sizes_path):
+        remove_path(index.entries.sparkSession, path)
 
 
 def open_entries(entries: DataFrame, keys: Keys) -> DataFrame:

@@ -7,13 +7,16 @@ would exist on paper only.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilgraph.operators.padding import decoy_window
 from veilgraph.operators.protect import Store
-from veilgraph.operators.skew import Dimension, attach, repeat_rows
-from veilgraph.runtime import save
+from veilgraph.operators.skew import HUB_ROWS, Dimension, attach, repeat_rows
+from veilgraph.runtime import keep, save, scratch
+
+# So many ids are also named in the scan, which then opens only their buckets.
+NAMED_IDS = 1000
 
 
 def lookup_plain(ids: DataFrame, table: DataFrame, key: str = "node_id") -> DataFrame:
@@ -34,31 +37,64 @@ def lookup_padded(
     ``requests`` (key, node_id) has no repeats; ``pads`` (key, r, p_r, dummies).
     The set (key, node_id, columns) does not tell decoys from requested rows.
     """
-    table = store.nodes.select("node_id", "pos", *columns)
-    real = requests.select(key, "node_id").join(table, "node_id")
-    decoys = decoy_window(pads, key, table, store.n_nodes)
-    out = [key, "node_id", *columns]
-    return save(real.select(*out).unionByName(decoys.select(*out)), "fetched")
+    places = store.node_places if store.node_places is not None else store.nodes.select("pos", "node_id")
+    table = store.nodes.select("node_id", *columns)
+    return _read_padded(requests, pads, key, table, places, store.n_nodes, ["node_id"], "fetched")
 
 
 def lookup_padded_edges(requests: DataFrame, pads: DataFrame, key: str, store: Store) -> DataFrame:
     """As ``lookup_padded`` for edges: requests (key, src, dst) -> (key, src, dst, ct)."""
-    real = requests.select(key, "src", "dst").join(store.edges, ["src", "dst"])
-    decoys = decoy_window(pads, key, store.edges, store.n_edges)
-    out = [key, "src", "dst", "ct"]
-    return save(real.select(*out).unionByName(decoys.select(*out)), "fetched-edges")
+    places = store.edge_places if store.edge_places is not None else store.edges.select("pos", "src", "dst")
+    table = store.edges.select("src", "dst", "ct")
+    return _read_padded(requests, pads, key, table, places, store.n_edges, ["src", "dst"], "fetched-edges")
+
+
+def _read_padded(
+    requests: DataFrame, pads: DataFrame, key: str, table: DataFrame, places: DataFrame, total: int, ids: list[str], name: str
+) -> DataFrame:
+    """Requested rows and decoys of ``table`` by their ids, written; what tells them apart is deleted.
+
+    Decoys are chosen from the narrow ``places``, so the table is read by its ids alone: bucketed on them it is not
+    moved, and a short list of ids names the buckets that are opened.
+    """
+    with scratch(table.sparkSession):
+        decoys = decoy_window(pads, key, places, total)
+        wanted = requests.select(key, *ids).unionByName(decoys.select(key, *ids))
+        n_keys, reads = pads.agg(F.count(F.lit(1)), F.sum("p_r")).first()
+        if (reads or 0) <= NAMED_IDS:
+            wanted = save(wanted, "wanted")
+            table = table.filter(_named(ids[0], wanted))
+        if 2 * n_keys <= HUB_ROWS:  # a key asks for a row twice at most, so no row is asked for more often
+            return keep(save(wanted.join(table, ids), name))
+        wanted = save(wanted, "wanted")
+        asked = wanted.groupBy(*ids).agg(F.count(F.lit(1)).alias("_asked"))
+        found = save(asked.join(table, ids).withColumn("_id", F.struct(*ids)), "asked-rows")
+        lost = -1 - F.pmod(F.xxhash64(key, *ids), F.lit(1 << 62))
+        scatter = F.struct(lost.alias(ids[0]), *[F.lit(-1).cast("bigint").alias(c) for c in ids[1:]])
+        columns = {c: c for c in table.columns if c not in ids}
+        rows = attach(wanted.withColumn("_own", F.struct(*ids)), "_own", Dimension.of(found, "_id", "_asked"), columns, scatter)
+        return keep(save(rows.filter(F.col(next(iter(columns))).isNotNull()).select(key, *ids, *columns), name))
+
+
+def _named(column: str, wanted: DataFrame) -> Column:
+    """Filter for the ids of a short written list, which prunes buckets and row groups."""
+    return F.col(column).isin([r[0] for r in wanted.select(column).distinct().collect()])
 
 
 def fetch_lists(blocks: DataFrame, key: str, store: Store) -> DataFrame:
     """The neighbour-list pieces of fetched nodes (key, node_id, pieces), written.
 
-    The join key (node_id, piece) splits hubs over many join groups.
+    The join key (node_id, piece) splits hubs over many join groups.  For a short list of nodes the scan skips the
+    row groups of others.
     """
     wanted = repeat_rows(
         blocks.select(key, "node_id", "pieces"), F.col("pieces"), [key, "node_id"], index="piece", written=True
     )
+    lists = store.adjacency
+    if blocks.limit(NAMED_IDS + 1).count() <= NAMED_IDS:
+        lists = lists.filter(_named("node_id", blocks))
     return save(
-        wanted.join(store.adjacency, ["node_id", "piece"]).select(key, "node_id", "piece", "adj_ct"), "fetched-lists"
+        wanted.join(lists, ["node_id", "piece"]).select(key, "node_id", "piece", "adj_ct"), "fetched-lists"
     )
 
 

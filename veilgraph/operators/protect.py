@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilgraph.functions.arithmetic import piece_count
@@ -13,10 +13,11 @@ from veilgraph.functions.roles import LOWEST_ROLE
 from veilgraph.operators.adjacency import LIST_ROWS, build_adjacency
 from veilgraph.operators.graph import Graph
 from veilgraph.operators.skew import with_positions
-from veilgraph.runtime import keep, read_table, save, save_bucketed, scratch
+from veilgraph.runtime import append_bucketed, new_path, read_bucketed, read_table, save, scratch, write_bucketed
 
-# Rows per bucket of the stored neighbour lists.
+# Rows per bucket of the stored tables.
 BUCKET_LISTS = 200_000
+BUCKET_ROWS = 2_000_000
 
 NODE_RECORD = "id bigint, label string, attrs map<string,string>"
 EDGE_RECORD = "src bigint, dst bigint, label string, attrs map<string,string>"
@@ -88,12 +89,20 @@ def open_lists(blobs: DataFrame, keys: Keys) -> DataFrame:
     return opened.select(*kept, F.col("list.id").alias("node_id"), "list.piece", "list.nbrs")
 
 
+NODE_TABLE = "node_id bigint, pos bigint, pieces bigint, ct binary"
+EDGE_TABLE = "src bigint, dst bigint, pos bigint, ct binary"
+LIST_TABLE = "node_id bigint, piece bigint, adj_ct binary"
+NODE_PLACES = "pos bigint, node_id bigint"
+EDGE_PLACES = "pos bigint, src bigint, dst bigint"
+
+
 @dataclass(frozen=True)
 class Store:
     """The protected tables of a graph.
 
-    nodes (node_id, pos, pieces, ct), edges (src, dst, pos, ct) with a dense
-    ``pos`` in key order, adjacency (node_id, piece, adj_ct), and their sizes.
+    nodes (node_id, pos, pieces, ct) bucketed on node_id, edges (src, dst, pos, ct) bucketed on (src, dst), with a
+    dense ``pos`` in key order, adjacency (node_id, piece, adj_ct) bucketed on both, and their sizes.  The places
+    (pos and key, in order of pos) say which rows a decoy window takes.
     """
 
     nodes: DataFrame
@@ -101,45 +110,117 @@ class Store:
     adjacency: DataFrame
     n_nodes: int
     n_edges: int
+    node_places: DataFrame | None = None
+    edge_places: DataFrame | None = None
+    path: str | None = None
 
 
-def build_store(graph: Graph, keys: Keys, list_rows: int = LIST_ROWS) -> Store:
-    """Encrypt a graph and write the three tables.
+@dataclass(frozen=True)
+class Layout:
+    """What a reader must know of a written store: buckets of each table, and their sizes."""
 
-    Nodes and edges are sorted by ``pos``, so range reads skip files; lists are
-    bucketed by (node_id, piece), so reading some of them moves none.  Records
+    node_buckets: int
+    edge_buckets: int
+    list_buckets: int
+    n_nodes: int
+    n_edges: int
+
+
+def build_store(graph: Graph, keys: Keys, list_rows: int = LIST_ROWS, path: str | None = None) -> Store:
+    """Encrypt a graph and write its tables below ``path``, with the layout that ``open_store`` needs.
+
+    Tables are bucketed on the keys they are read by, so a read moves what is asked for and not the store.  Records
     are sealed before anything is written.
     """
-    with scratch(graph.nodes.sparkSession):
+    spark = graph.nodes.sparkSession
+    path = path or new_path(spark, "protected-store")
+    with scratch(spark):
         records = graph.nodes.select("id", "label", piece_count(F.col("degree"), list_rows).alias("pieces"))
         nodes = save(protect_nodes(records, keys), "sealed-nodes")
         edges = save(protect_edges(graph.edges.select("u", "v", "label"), keys), "sealed-edges")
-        nodes = keep(save(with_positions(nodes, ["node_id"]), "protected-nodes"))
-        edges = keep(save(with_positions(edges, ["src", "dst"]), "protected-edges"))
+        nodes = save(with_positions(nodes, ["node_id"]), "placed-nodes")
+        edges = save(with_positions(edges, ["src", "dst"]), "placed-edges")
         lists = protect_adjacency(build_adjacency(graph.edges, list_rows), keys)
         n_nodes, n_edges = nodes.count(), edges.count()
-        default = int(graph.nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        # Every node has at least one piece, and a piece for each ``list_rows`` further entries.
-        buckets = max(default, -(-(n_nodes + 2 * n_edges // list_rows) // BUCKET_LISTS))
-        adjacency = save_bucketed(lists, "protected_adjacency", buckets, "node_id", "piece")
-    return Store(nodes, edges, adjacency, n_nodes, n_edges)
+        default = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        layout = Layout(
+            max(default, -(-n_nodes // BUCKET_ROWS)),
+            max(default, -(-n_edges // BUCKET_ROWS)),
+            # Every node has at least one piece, and a piece for each ``list_rows`` further entries.
+            max(default, -(-(n_nodes + 2 * n_edges // list_rows) // BUCKET_LISTS)),
+            n_nodes,
+            n_edges,
+        )
+        return write_store(Store(nodes, edges, lists, n_nodes, n_edges), path, layout)
+
+
+def write_store(store: Store, path: str, layout: Layout) -> Store:
+    """Write the tables and their layout below ``path`` and open them; the layout comes last."""
+    nodes, edges = store.nodes.select("node_id", "pos", "pieces", "ct"), store.edges.select("src", "dst", "pos", "ct")
+    write_bucketed(nodes, f"{path}/nodes", layout.node_buckets, "node_id")
+    write_bucketed(edges, f"{path}/edges", layout.edge_buckets, "src", "dst")
+    write_bucketed(
+        store.adjacency.select("node_id", "piece", "adj_ct"), f"{path}/adjacency", layout.list_buckets, "node_id", "piece"
+    )
+    node_places = store.node_places if store.node_places is not None else nodes
+    edge_places = store.edge_places if store.edge_places is not None else edges
+    node_places.select("pos", "node_id").write.mode("overwrite").parquet(f"{path}/node_places")
+    edge_places.select("pos", "src", "dst").write.mode("overwrite").parquet(f"{path}/edge_places")
+    _write_layout(nodes.sparkSession, path, layout)
+    return open_store(nodes.sparkSession, path)
+
+
+def _write_layout(spark: SparkSession, path: str, layout: Layout) -> None:
+    row = spark.createDataFrame([tuple(vars(layout).values())], ", ".join(f"{c} bigint" for c in vars(layout)))
+    row.coalesce(1).write.mode("overwrite").json(f"{path}/layout")
+
+
+def store_layout(spark: SparkSession, path: str) -> Layout:
+    schema = ", ".join(f"{c} bigint" for c in Layout.__dataclass_fields__)
+    return Layout(**spark.read.schema(schema).json(f"{path}/layout").first().asDict())
+
+
+def open_store(spark: SparkSession, path: str) -> Store:
+    """The store written below ``path``, by this session or another, with its buckets."""
+    layout = store_layout(spark, path)
+
+    def like(schema: str) -> DataFrame:
+        return spark.createDataFrame([], schema)
+
+    places = [read_table(spark, f"{path}/{n}", like(s)) for n, s in (("node_places", NODE_PLACES), ("edge_places", EDGE_PLACES))]
+    return Store(
+        read_bucketed(spark, f"{path}/nodes", like(NODE_TABLE), layout.node_buckets, "node_id"),
+        read_bucketed(spark, f"{path}/edges", like(EDGE_TABLE), layout.edge_buckets, "src", "dst"),
+        read_bucketed(spark, f"{path}/adjacency", like(LIST_TABLE), layout.list_buckets, "node_id", "piece"),
+        layout.n_nodes,
+        layout.n_edges,
+        *places,
+        path,
+    )
 
 
 def append_to_store(store: Store, new_ids: DataFrame, keys: Keys) -> Store:
     """Append the nodes of ``new_ids`` (id) that the store lacks, with the lowest role and no edges.
 
-    New files join those of the node table; positions go on after the last, so
-    they stay dense.  Appending the same ids again appends nothing.  The index
-    takes the new entries by ``rebuild_label_index`` for the lowest role.
+    A file per touched bucket joins those of the node table, and one joins its places; no written file changes.
+    Positions go on after the last, so they stay dense.  Appending the same ids again appends nothing.  The store
+    may have been opened from its path; its index takes the entries by ``append_to_index``.
     """
-    with scratch(store.nodes.sparkSession):
-        known = store.nodes.select(F.col("node_id").alias("id"))
-        missing = new_ids.select("id").distinct().join(known, "id", "left_anti")
+    if store.path is None:
+        raise ValueError("only a store with a path can be appended to")
+    spark, path = store.nodes.sparkSession, store.path
+    layout = store_layout(spark, path)
+    with scratch(spark):
+        missing = new_ids.select("id").distinct().join(
+            store.nodes.select(F.col("node_id").alias("id")), "id", "left_anti"
+        )
         records = missing.select("id", F.lit(LOWEST_ROLE).alias("label"), F.lit(1).cast("bigint").alias("pieces"))
         placed = with_positions(save(protect_nodes(records, keys), "sealed-nodes"), ["node_id"])
         after = placed.withColumn("pos", F.col("pos") + store.n_nodes).select(*store.nodes.columns)
-        path = store.nodes._written_path
-        after.write.mode("append").parquet(path)
-    nodes = read_table(store.nodes.sparkSession, path, store.nodes)
-    nodes._written_path = path
-    return replace(store, nodes=nodes, n_nodes=nodes.count())
+        after = save(after, "appended-nodes")
+        added = after.count()
+        if added:
+            append_bucketed(after, f"{path}/nodes", layout.node_buckets, "node_id")
+            after.select("pos", "node_id").write.mode("append").parquet(f"{path}/node_places")
+            _write_layout(spark, path, replace(layout, n_nodes=store.n_nodes + added))
+    return open_store(spark, path)

@@ -15,8 +15,9 @@ HUB_ROWS = 100_000
 # ... and there are never more hubs than this, so the hub table may be broadcast:
 # the bound on rows per key rises with the data instead (see ``hub_bound``).
 MAX_HUBS = 50_000
+# A side within this size, and of at most MAX_HUBS rows, is broadcast.
+BROADCAST_BYTES = 64 << 20
 REPEAT_BLOCK = 65_536
-SALTS = 64
 
 
 def hub_bound(total_rows: int, hub_rows: int | None = None) -> int:
@@ -69,15 +70,27 @@ def attach(rows: DataFrame, key: str, dim: Dimension, columns: dict[str, str], s
 def join_small(rows: DataFrame, side: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """Join ``rows`` to a written table ``side`` with one row per key.
 
-    ``side`` is broadcast only after its rows were counted.  A longer one is
-    joined on (key, salt), so a hot key is split over SALTS join groups, which
-    adaptive execution can split further.
+    ``side`` is broadcast only after its bytes and its rows were counted.  With a longer one, keys that more than
+    ``hub_bound`` of the ``rows`` have are found by a count that is combined before its shuffle; their rows, and
+    theirs alone, meet the broadcast part of the side that names them (at most MAX_HUBS rows).
     """
-    if side.count() <= MAX_HUBS:
+    if written_bytes(side) <= BROADCAST_BYTES and side.count() <= MAX_HUBS:
         return rows.join(F.broadcast(side), on, how)
-    salted = side.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salt = F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")
-    return rows.withColumn("_salt", salt).join(salted, [*on, "_salt"], how).drop("_salt")
+    weights = save(rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")), "key-weights")
+    total, top = weights.agg(F.sum("_n"), F.max("_n")).first()
+    bound = hub_bound(total or 0)
+    if (top or 0) <= bound:
+        return rows.join(side, on, how)
+    hot = weights.filter(F.col("_n") > bound).select(*on)  # at most MAX_HUBS rows
+    hot_rows = rows.join(F.broadcast(hot), on, "left_semi")
+    hot_side = side.join(F.broadcast(hot), on, "left_semi")
+    others = rows.join(F.broadcast(hot), on, "left_anti")
+    return others.join(side, on, how).unionByName(hot_rows.join(F.broadcast(hot_side), on, how))
+
+
+def written_bytes(table: DataFrame) -> int:
+    """The size the planner knows: that of the files, for a written table."""
+    return int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def filter_by_keys(rows: DataFrame, key: str, wanted: DataFrame, keep: bool = True) -> DataFrame:

@@ -12,11 +12,12 @@ import os
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Paths written in each open scratch scope, innermost last.
-_SCOPES: list[list[str]] = []
+# Paths written in each open scratch scope of this thread or task, innermost last.
+_SCOPES: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
 
 
 def local_session(cpus: int | str = 8, **conf: str) -> SparkSession:
@@ -40,9 +41,14 @@ def local_session(cpus: int | str = 8, **conf: str) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """Folder for written tables: ``spark.checkpoint.dir``, seen by all executors.
 
-    Where that is unset it is the SQL warehouse, which executors share as well.
+    Where that is unset it is the SQL warehouse, which executors share as well; on a cluster it must not be a
+    folder of one machine.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = spark.conf.get("spark.sql.warehouse.dir")
+        if root.startswith(("file:", "/")) and not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"spark.checkpoint.dir is unset, and {root} is not shared by the executors")
     return os.path.join(root, "veilgraph", spark.sparkContext.applicationId)
 
 
@@ -58,21 +64,29 @@ def scratch(spark: SparkSession) -> Iterator[None]:
 
     For work that ends in written tables: what it returns must not read the others.
     """
-    _SCOPES.append([])
+    mine: list[str] = []
+    token = _SCOPES.set((*_SCOPES.get(), mine))
     try:
         yield
     finally:
-        for path in _SCOPES.pop():
+        _SCOPES.reset(token)
+        for path in mine:
             remove_path(spark, path)
 
 
+def _in_scope(path: str) -> None:
+    scopes = _SCOPES.get()
+    if scopes:
+        scopes[-1].append(path)
+
+
 def keep(table: DataFrame) -> DataFrame:
     """Take a table written in the innermost scratch scope out of it."""
-    path = table._written_path
-    if _SCOPES and path in _SCOPES[-1]:
-        _SCOPES[-1].remove(path)
-        if len(_SCOPES) > 1:
-            _SCOPES[-2].append(path)
+    path, scopes = table._written_path, _SCOPES.get()
+    if scopes and path in scopes[-1]:
+        scopes[-1].remove(path)
+        if len(scopes) > 1:
+            scopes[-2].append(path)
     return table
 
 
@@ -93,8 +107,7 @@ def save(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFr
     then reads only their directories.
     """
     path = new_path(df.sparkSession, name)
-    if _SCOPES:
-        _SCOPES[-1].append(path)
+    _in_scope(path)
     df.write.partitionBy(*partition_by).parquet(path)
     table = read_table(df.sparkSession, path, df)
     table._written_path = path
@@ -102,17 +115,55 @@ def save(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFr
 
 
 def save_bucketed(df: DataFrame, name: str, buckets: int, *keys: str) -> DataFrame:
-    """Write ``df`` bucketed on ``keys``, so repeated joins on them move only the other side.
-
-    The rows are hash-partitioned to the bucket count first: every task then
-    writes exactly one bucket file.
-    """
+    """Write ``df`` bucketed on ``keys``, so repeated joins on them move only the other side."""
     path = new_path(df.sparkSession, name)
-    table = os.path.basename(path).replace("-", "_")
+    _in_scope(path)
+    return write_bucketed(df, path, buckets, *keys)
+
+
+def write_bucketed(df: DataFrame, path: str, buckets: int, *keys: str) -> DataFrame:
+    """Write ``df`` to ``path``, one sorted file per bucket, and return the table read back."""
+    spark, table = df.sparkSession, f"bucketed_{uuid.uuid4().hex}"
     (
         df.repartition(buckets, *keys)
-        .write.bucketBy(buckets, *keys)
+        .write.mode("overwrite")
+        .bucketBy(buckets, *keys)
+        .sortBy(*keys)
         .option("path", path)
         .saveAsTable(table, format="parquet")
     )
-    return df.sparkSession.table(table)
+    spark.sql(f"DROP TABLE {table}")  # external: the files stay
+    return read_bucketed(spark, path, df, buckets, *keys)
+
+
+def append_bucketed(df: DataFrame, path: str, buckets: int, *keys: str) -> None:
+    """Add files for the rows of ``df`` to the buckets at ``path``; the files there stay as they are."""
+    table = _name_bucketed(df.sparkSession, path, df, buckets, *keys)
+    try:
+        df.repartition(buckets, *keys).write.insertInto(table)
+    finally:
+        df.sparkSession.sql(f"DROP TABLE {table}")
+
+
+def read_bucketed(spark: SparkSession, path: str, like: DataFrame, buckets: int, *keys: str) -> DataFrame:
+    """A table that ``write_bucketed`` wrote, maybe in another session.
+
+    Files carry their bucket in their names; only the catalog tells Spark how many buckets there are, so the files
+    are named there for as long as it takes to resolve the table.
+    """
+    table = _name_bucketed(spark, path, like, buckets, *keys)
+    found = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")
+    found._written_path, found._buckets = path, buckets
+    return found
+
+
+def _name_bucketed(spark: SparkSession, path: str, like: DataFrame, buckets: int, *keys: str) -> str:
+    table = f"bucketed_{uuid.uuid4().hex}"
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in like.schema)
+    place = path.replace("'", "\\'")
+    spark.sql(
+        f"CREATE TABLE {table} ({columns}) USING parquet "
+        f"CLUSTERED BY ({', '.join(keys)}) SORTED BY ({', '.join(keys)}) INTO {buckets} BUCKETS LOCATION '{place}'"
+    )
+    return table

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from veilgraph.operators.adjacency import LIST_ROWS
 from veilgraph.operators.graph import derive_nodes, drop_self_loops, normalise_undirected
-from veilgraph.operators.index import filter_kind, label_histogram
+from veilgraph.operators.index import filter_kind, index_lookup, label_histogram, merge_segments
 from veilgraph.operators.lookup import adjacency_or_empty
 from veilgraph.operators.protect import (
     EDGE_RECORD,
@@ -16,11 +16,12 @@ from veilgraph.operators.protect import (
     open_lists,
     open_rows,
 )
+from veilgraph.plans.ingest import append_protected, read_protected, write_protected
 from veilgraph.plans.report import filter_runs
 from veilgraph.runtime import new_path
 from veilgraph.sources.edge_list import scan_edge_list
 from veilgraph.sources.snapshot import scan_edge_snapshot, scan_node_snapshot
-from veilgraph.sources.store import append_nodes, replace_dataset, with_endpoints, write_labelled_snapshot
+from veilgraph.sources.store import replace_dataset, with_endpoints, write_labelled_snapshot
 from veilgraph.sources.trade import trade_pairs
 from workload.registry import graph_sql, query, spread
 from workload.runs import RUNS_SQL, run_log
@@ -189,9 +190,30 @@ SELECT id, label FROM nodes UNION ALL
 SELECT id, 'Inactive' FROM (SELECT DISTINCT 9000000000 + user_id AS id FROM events
   UNION SELECT 3000000000 + p_partkey FROM part) WHERE id NOT IN (SELECT id FROM nodes)"""))
 def append_node(w):
+    """Into a stored dataset that is read back, and read back again with what was appended."""
+    store, _ = _appended(w)
+    return open_rows(store.nodes.select("ct"), w.keys, "ct", NODE_RECORD).select("record.id", "record.label")
+
+
+def _appended(w):
+    path = new_path(w.spark, "appended")
+    write_protected(w.store, w.index, path, "trade")
     users = w.table("events").select((F.lit(9000000000) + F.col("user_id")).alias("id"))
     parts = w.table("part").select((F.lit(3000000000) + F.col("p_partkey")).alias("id"))
-    return append_nodes(w.nodes, users.unionByName(parts))
+    append_protected(*read_protected(w.spark, path, "trade"), users.unionByName(parts), w.keys)
+    return read_protected(w.spark, path, "trade")
+
+
+@query("append_node_index", graph_sql("""
+SELECT id, count(*) AS n FROM (SELECT id FROM nodes WHERE label = 'Inactive' UNION ALL
+  SELECT id FROM (SELECT DISTINCT 9000000000 + user_id AS id FROM events
+    UNION SELECT 3000000000 + p_partkey FROM part) WHERE id NOT IN (SELECT id FROM nodes)) GROUP BY id"""))
+def append_node_index(w):
+    """The label of appended nodes, looked up in the index that was appended to, its segments merged."""
+    _, index = _appended(w)
+    lowest = w.spark.createDataFrame([("Inactive",)], "label string")
+    found = index_lookup(merge_segments(index, lowest, w.keys), lowest, w.keys)
+    return found.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("drop_self_loops", graph_sql("SELECT u, v, count(*) AS n FROM raw WHERE u <> v GROUP BY u, v"))
