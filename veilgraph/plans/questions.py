@@ -12,7 +12,7 @@ from veilgraph.functions.roles import NODE_LABELS
 from veilgraph.operators.graph import Graph
 from veilgraph.operators.skew import Dimension, attach
 from veilgraph.plans.pattern import TRIPLE, triple_counts
-from veilgraph.plans.traverse import PAIR_HOPS, NeighbourTable, pairs_reached, reach, reachable_counts
+from veilgraph.plans.traverse import PAIR_HOPS, NeighbourTable, bfs_reachable_count, reachable_pairs
 from veilgraph.runtime import save
 
 # The phrases and patterns that decide what a (lower-cased)
@@ -132,13 +132,8 @@ def _answers(asked: DataFrame, graph: Graph, table: NeighbourTable) -> DataFrame
 
     bfs = of("bfs").select("key", F.col("node").alias("seed"), "depth")
     pairs = of("pair").select("key", F.col("node").alias("src"), F.col("other").alias("dst"))
-    # One traversal serves both kinds of question; each start goes as far as its own kind asks.
-    starts = bfs.select("seed", F.lit(GREATEST_DEPTH).alias("limit")).unionByName(
-        pairs.select(F.col("src").alias("seed"), F.lit(PAIR_HOPS).alias("limit"))
-    )
-    found = reach(starts, nodes, table, max(GREATEST_DEPTH, PAIR_HOPS))
-    reached = reachable_counts(bfs, found, GREATEST_DEPTH)
-    joined = pairs_reached(pairs, nodes, found, PAIR_HOPS)
+    reached = bfs_reachable_count(bfs, nodes, table, GREATEST_DEPTH)
+    joined = reachable_pairs(pairs.filter("src IS NOT NULL AND dst IS NOT NULL"), nodes, table, PAIR_HOPS)
     parts = [
         of("node_count").select("key", text(n_nodes)),
         of("edge_count").select("key", text(n_edges)),

@@ -29,7 +29,7 @@ from veilgraph.operators.lookup import (
 from veilgraph.operators.padding import decoy_copies, pad_table
 from veilgraph.operators.protect import Store, open_lists
 from veilgraph.operators.skew import with_positions
-from veilgraph.runtime import save, save_bucketed
+from veilgraph.runtime import keep, save, save_bucketed, scratch
 
 BITS = 62
 DEPTH_CAP = 3
@@ -63,19 +63,11 @@ class Reached:
 
 
 def reach(seeds: DataFrame, nodes: DataFrame, table: NeighbourTable, max_depth: int) -> Reached:
-    """Distances up to ``max_depth`` from every ``seed``; starts that are no nodes reach nothing.
-
-    ``seeds`` may name a ``limit`` of its own for a start; beyond it the start's bit is dropped.
-    """
-    limit = F.max("limit") if "limit" in seeds.columns else F.lit(max_depth)
-    starts = save(seeds.groupBy("seed").agg(limit.alias("limit")), "starts")
-    numbered = with_positions(starts, ["seed"], name="_at")
+    """Distances up to ``max_depth`` from every ``seed``; starts that are no nodes reach nothing."""
+    numbered = with_positions(save(seeds.select("seed").distinct(), "starts"), ["seed"], name="_at")
     placed = save(
         numbered.select(
-            "seed",
-            "limit",
-            F.expr(f"_at div {BITS}").alias("block"),
-            F.expr(f"cast(_at % {BITS} as int)").alias("bit"),
+            "seed", F.expr(f"_at div {BITS}").alias("block"), F.expr(f"cast(_at % {BITS} as int)").alias("bit")
         ),
         "seeds",
     )
@@ -89,15 +81,16 @@ def reach(seeds: DataFrame, nodes: DataFrame, table: NeighbourTable, max_depth:
             piece_count(F.col("degree"), table.piece_rows).alias("pieces"),
         )
     )
+    levels = _levels(start, table, max_depth)
+    count = placed.count()
+    return Reached(placed, reduce(DataFrame.unionByName, levels).drop("pieces"), min(BITS, max(count, 1)))
+
+
+def _levels(start: DataFrame, table: NeighbourTable, max_depth: int) -> list[DataFrame]:
+    """Written levels (depth, node, block, mask, pieces) from ``start``, which is depth 0."""
     levels = [save(start, "level")]
     for depth in range(1, max_depth + 1):
         last = levels[-1]
-        if "limit" in seeds.columns:
-            going = placed.filter(F.col("limit") >= depth).groupBy("block").agg(
-                F.bit_or(F.expr("shiftleft(1L, bit)")).alias("_going")
-            )
-            last = last.join(going, "block").withColumn("mask", F.col("mask").bitwiseAND(F.col("_going")))
-            last = last.filter(F.col("mask") != 0)
         frontier = last.select(
             "block", "mask", F.col("node").alias("id"),
             F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("pieces") - 1)).alias("piece"),
@@ -120,8 +113,7 @@ def reach(seeds: DataFrame, nodes: DataFrame, table: NeighbourTable, max_depth:
         if saved.isEmpty():
             break
         levels.append(saved)
-    count = placed.count()
-    return Reached(placed.drop("limit"), reduce(DataFrame.unionByName, levels).drop("pieces"), min(BITS, max(count, 1)))
+    return levels
 
 
 def level_sizes(reached: Reached, max_depth: int) -> DataFrame:
@@ -173,37 +165,46 @@ def reachable_counts(questions: DataFrame, reached: Reached, cap: int) -> DataFr
 
 
 def reachable_pairs(pairs: DataFrame, nodes: DataFrame, table: NeighbourTable, hops: int = PAIR_HOPS) -> DataFrame:
-    """(src, dst, reachable, min_hops) within ``hops``; a node reaches itself through any neighbour."""
-    reached = reach(pairs.select(F.col("src").alias("seed")), nodes, table, hops)
-    return pairs_reached(pairs, nodes, reached, hops)
-
+    """(src, dst, reachable, min_hops) within ``hops``; a node reaches itself through any neighbour.
 
-def pairs_reached(pairs: DataFrame, nodes: DataFrame, reached: Reached, hops: int) -> DataFrame:
-    """``reachable_pairs`` from a traversal that included all sources."""
+    A pair is one bit, and both its ends expand half the hops; they meet on a node that both have reached.  The
+    least sum of the two depths over those nodes is the distance, as every node of a shortest path is reached at
+    its distance from either end.  No level lies beyond half the hops, which for a hub's neighbourhood is a small
+    part of the graph.
+    """
     asked = pairs.select("src", "dst").distinct()
-    numbered = asked.join(reached.seeds.withColumnRenamed("seed", "src"), "src")
-    # One row per target: the starts that ask for it, as a mask.
-    wanted = numbered.groupBy(F.col("dst").alias("node"), "block").agg(
-        F.bit_or(F.expr("shiftleft(1L, bit)")).alias("wanted")
-    )
-    hits = (
-        reached.levels.filter((F.col("depth") > 0) & (F.col("depth") <= hops))
-        .join(wanted, ["node", "block"])
-        .withColumn("_hit", F.col("mask").bitwiseAND(F.col("wanted")))
-        .filter(F.col("_hit") != 0)
-        .select("node", "block", "depth", "_hit", F.explode(F.sequence(F.lit(0), F.lit(BITS - 1))).alias("bit"))
-        .filter(F.expr("shiftright(_hit, bit) & 1L") == 1)
-        .select(F.col("node").alias("dst"), "block", "bit", F.col("depth").alias("_hops"))
-    )
-    back = nodes.select(F.col("id").alias("dst"), F.col("degree").alias("_degree"))
-    answered = numbered.join(hits, ["dst", "block", "bit"], "left")
-    loops = answered.filter(F.col("src") == F.col("dst")).join(back, "dst", "left").withColumn(
-        "_hops", F.when((F.col("_degree") > 0) & F.lit(hops >= 2), F.lit(2))
-    )
-    rows = answered.filter(F.col("src") != F.col("dst")).unionByName(loops.drop("_degree"))
-    return rows.select(
-        "src", "dst", F.col("_hops").isNotNull().alias("reachable"), F.col("_hops").alias("min_hops")
-    )
+    spark = asked.sparkSession
+    with scratch(spark):
+        numbered = with_positions(save(asked.filter("src <> dst"), "pairs"), ["src", "dst"], name="_at")
+        placed = save(
+            numbered.select(
+                "src", "dst", F.expr(f"_at div {BITS}").alias("block"), F.expr(f"cast(_at % {BITS} as int)").alias("bit")
+            ),
+            "placed-pairs",
+        )
+
+        def side(end: str, depth: int) -> DataFrame:
+            masks = placed.groupBy(F.col(end).alias("node"), "block").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("mask"))
+            known = nodes.select(F.col("id").alias("node"), piece_count(F.col("degree"), table.piece_rows).alias("pieces"))
+            start = masks.join(known, "node").select(F.lit(0).alias("depth"), "node", "block", "mask", "pieces")
+            found = reduce(DataFrame.unionByName, _levels(start, table, depth))
+            return found.select("node", "block", F.col("depth").alias(f"{end}_depth"), F.col("mask").alias(f"{end}_mask"))
+
+        # A node is once in each side's levels for a block and depth, so the join has no hot key.
+        near = side("src", hops - hops // 2).join(side("dst", hops // 2), ["node", "block"])
+        met = F.col("src_mask").bitwiseAND(F.col("dst_mask"))
+        sums = near.groupBy("block", (F.col("src_depth") + F.col("dst_depth")).alias("sum")).agg(F.bit_or(met).alias("met"))
+        each = sums.select("block", "sum", "met", F.explode(F.sequence(F.lit(0), F.lit(BITS - 1))).alias("bit"))
+        least = each.filter(F.expr("shiftright(met, bit) & 1L") == 1).groupBy("block", "bit").agg(F.min("sum").alias("_hops"))
+        apart = placed.join(least, ["block", "bit"], "left").select("src", "dst", "_hops")
+        back = nodes.select(F.col("id").alias("dst"), F.col("degree").alias("_degree"))
+        loops = asked.filter("src = dst").join(back, "dst", "left").select(
+            "src", "dst", F.when((F.col("_degree") > 0) & F.lit(hops >= 2), F.lit(2)).alias("_hops")
+        )
+        rows = apart.unionByName(loops)
+        return keep(save(rows.select(
+            "src", "dst", F.col("_hops").isNotNull().alias("reachable"), F.col("_hops").alias("min_hops")
+        ), "reached-pairs"))
 
 
 def expand_frontier(
