@@ -1,32 +1,80 @@
-"""Reconcile a stored graph with a snapshot: what changed, and the new tables."""
+"""Reconcile a stored graph with a snapshot: what changed, and the new tables.
+
+A stored state is cut into parts: nodes, edges and lists by a hash of their key,
+the index by token.  Each part lies in a directory of its own for each version,
+and a manifest says which version of which part belongs to a state, with the
+number of rows and a digest of the parts of nodes and edges.  A snapshot is
+digested in the same way, by one aggregate; only parts that differ are compared,
+and a new state writes the touched parts and its manifest and nothing else.
+"""
 
 from __future__ import annotations
 
+import os
+import uuid
+from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilgraph.functions.arithmetic import piece_count, spread
-from veilgraph.functions.crypto import Keys
+from veilgraph.functions.crypto import Keys, keyed_token
 from veilgraph.operators.adjacency import LIST_ROWS
-from veilgraph.operators.index import LabelIndex, label_histogram, rebuild_label_index
+from veilgraph.operators.index import LabelIndex, build_label_index, label_histogram
 from veilgraph.operators.protect import protect_adjacency
-from veilgraph.operators.skew import Dimension, attach, filter_by_keys
-from veilgraph.runtime import new_path, save
+from veilgraph.operators.skew import Dimension, attach, filter_by_keys, join_small
+from veilgraph.runtime import keep, new_path, save, scratch
 from veilgraph.sources.store import with_endpoints
 
 EDGE_KEY = ["u", "v"]
+# Parts of a state: at least so many, and more for tables of more rows a part.
+PARTS = 64
+PART_ROWS = 2_000_000
+
+
+@dataclass(frozen=True)
+class Table:
+    """Columns of a stored table, what its parts are cut by (a token is a part by itself), and whether it is digested."""
+
+    schema: str
+    key: tuple[str, ...]
+    by: str = "part"
+    digested: bool = False
+
+
+TABLES = {
+    "nodes": Table("id bigint, label string", ("id",), digested=True),
+    "edges": Table("u bigint, v bigint, label string", ("u", "v"), digested=True),
+    "adjacency": Table("node_id bigint, piece bigint, adj_ct binary", ("node_id",)),
+    "index": Table("slot bigint, ct binary", ("token",), "token"),
+    "sizes": Table("p_r bigint", ("token",), "token"),
+}
+
+
+@dataclass(frozen=True)
+class Part:
+    """One part of a table, in the version that a state has of it."""
+
+    table: str
+    part: str
+    version: str
+    rows: int
+    digest: str
 
 
 @dataclass(frozen=True)
 class State:
-    """nodes (id, label), edges (u, v, label) and what is derived from them."""
+    """nodes (id, label), edges (u, v, label) and what is derived from them; edges end at nodes of the state."""
 
     nodes: DataFrame
     edges: DataFrame
     adjacency: DataFrame  # (node_id, piece, adj_ct)
     index: LabelIndex
+    path: str | None = None
+    n_parts: int = PARTS
+    parts: tuple[Part, ...] = ()
 
 
 def changes(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
@@ -86,10 +134,39 @@ def summary_of(node_changes: DataFrame, edge_changes: DataFrame) -> DataFrame:
 def sync_summary(old_nodes: DataFrame, old_edges: DataFrame, new_nodes: DataFrame, new_edges: DataFrame) -> DataFrame:
     """One row of counters; one full outer join per table.
 
-    As in ``sync_apply``, an edge with an endpoint outside the snapshot's nodes is not there.
+    As in ``sync_apply``, an edge with an endpoint outside the snapshot's nodes is not there, and the old edges end
+    at old nodes.
+    """
+    with scratch(old_nodes.sparkSession):
+        node_changes = save(changes(old_nodes, new_nodes, ["id"]), "node-changes")
+        found = edge_changes(old_edges, new_edges, node_changes, new_nodes)
+        return keep(save(summary_of(node_changes, found), "sync-summary"))
+
+
+def edge_changes(old: DataFrame, new: DataFrame, node_changes: DataFrame, new_nodes: DataFrame) -> DataFrame:
+    """``changes`` of edges where an edge of ``new`` counts only if both its ends are in ``new_nodes``.
+
+    Old edges end at old nodes, so those in both lose an end only with a removed node; for edges that came, which
+    are few, the ends are looked up.
     """
-    alive = with_endpoints(new_edges.select("u", "v", "label"), new_nodes, "u", "v")
-    return summary_of(changes(old_nodes, new_nodes, ["id"]), changes(old_edges, alive, EDGE_KEY))
+    gone = save(node_changes.filter("change = 'removed'").select("id"), "gone-nodes")
+    before = old.select(*EDGE_KEY, F.col("label").alias("old_label"), F.lit(True).alias("_old"))
+    after = new.select(*EDGE_KEY, "label", F.lit(True).alias("_new"))
+    both = before.join(after, EDGE_KEY, "full_outer")
+    if not gone.isEmpty():
+        for end in EDGE_KEY:
+            lost = gone.select(F.col("id").alias(end), F.lit(True).alias(f"_{end}"))
+            both = join_small(both, save(lost, "lost-ends"), [end], "left")
+        dead = F.col("_u").isNotNull() | F.col("_v").isNotNull()
+        both = both.withColumns(
+            {"label": F.when(~dead, F.col("label")), "_new": F.when(~dead, F.col("_new"))}
+        ).drop("_u", "_v")
+    kept = ~F.col("label").eqNullSafe(F.col("old_label")) | F.col("_old").isNull() | F.col("_new").isNull()
+    found = save(both.filter(kept & (F.col("_old").isNotNull() | F.col("_new").isNotNull())), "changed-edges")
+    came = with_endpoints(found.filter("_old IS NULL"), new_nodes, "u", "v")
+    whole = found.filter("_old IS NOT NULL").unionByName(came.select(*found.columns))
+    change = F.when(F.col("_old").isNull(), "added").when(F.col("_new").isNull(), "removed").otherwise("relabelled")
+    return whole.withColumn("change", change).drop("_old", "_new")
 
 
 def touched_nodes(edge_changes: DataFrame) -> DataFrame:
@@ -136,46 +213,192 @@ def build_adjacency_of(edges: DataFrame, ids: DataFrame, list_rows: int = LIST_R
     return entries.groupBy("id", "piece").agg(F.array_sort(F.collect_list("entry")).alias("nbrs"))
 
 
-def write_state(state: State, path: str) -> None:
-    """The tables of a state, each written once under ``path``."""
-    for name, part in _parts(state).items():
-        part.write.mode("overwrite").parquet(f"{path}/{name}")
+def part_of(key: Iterable[str], n_parts: int) -> Column:
+    return F.pmod(F.xxhash64(*key), F.lit(n_parts)).cast("string").alias("part")
+
+
+def _digests(rows: DataFrame, by: Column, digested: bool = True) -> DataFrame:
+    """(part, rows, digest): equal tables have equal digests, whatever the order of their rows."""
+    number = F.xxhash64(*rows.columns).cast("decimal(20,0)")
+    digest = F.sum(number).cast("string") if digested else F.lit("")
+    return rows.groupBy(by.alias("part")).agg(F.count(F.lit(1)).alias("rows"), digest.alias("digest"))
+
+
+def _tables(state: State) -> dict[str, DataFrame]:
+    return dict(zip(TABLES, (state.nodes, state.edges, state.adjacency, state.index.entries, state.index.sizes)))
+
+
+def _write_parts(rows: DataFrame, name: str, path: str, n_parts: int) -> list[Part]:
+    """Write the parts that ``rows`` have as the version of ``path``; the same again replaces just those."""
+    root, version = os.path.split(path)
+    table = TABLES[name]
+    placed = rows.withColumn("version", F.lit(version))
+    if table.by == "part":
+        placed = placed.withColumn("part", part_of(table.key, n_parts)).repartition("part")
+    writer = placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(table.by, "version").parquet(f"{root}/{name}")
+    spark = rows.sparkSession
+    schema = f"{table.schema}, {table.by} string, version string"
+    try:
+        written = spark.read.schema(schema).option("basePath", f"{root}/{name}").parquet(f"{root}/{name}/{table.by}=*/version={version}")
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return []
+    columns = [c.split()[0] for c in table.schema.split(", ")]
+    found = _digests(written.select(*columns, table.by), F.col(table.by), False) if not table.digested else (
+        _digests(written.select(*columns), part_of(table.key, n_parts))
+    )
+    # One row per part, or per label.
+    return [Part(name, r["part"], version, r["rows"], r["digest"]) for r in found.collect()]
+
+
+MANIFEST = "n_parts int, table string, part string, version string, rows bigint, digest string"
+
+
+def _write_manifest(spark: SparkSession, path: str, n_parts: int, parts: list[Part]) -> None:
+    rows = [(n_parts, p.table, p.part, p.version, p.rows, p.digest) for p in sorted(parts, key=lambda p: (p.table, p.part))]
+    rows = rows or [(n_parts, None, None, None, 0, None)]
+    spark.createDataFrame(rows, MANIFEST).coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
+
+
+def write_state(state: State, path: str) -> State:
+    """Write all parts of a state as the version that ``path`` ends with, and its manifest, and open it.
+
+    States of one graph lie beside each other: they share the parts in which they do not differ.
+    """
+    spark = state.nodes.sparkSession
+    n_parts = max(PARTS, -(-state.edges.count() // PART_ROWS))
+    parts = [p for name, rows in _tables(state).items() for p in _write_parts(rows, name, path, n_parts)]
+    _write_manifest(spark, path, n_parts, parts)
+    return read_state(spark, path)
 
 
 def read_state(spark: SparkSession, path: str) -> State:
-    part = {name: spark.read.parquet(f"{path}/{name}") for name in PARTS}
-    return State(part["nodes"], part["edges"], part["adjacency"], LabelIndex(part["index"], part["sizes"]))
+    """The state of a manifest; an asked token or part opens its own directories."""
+    rows = spark.read.schema(MANIFEST).json(f"{path}/manifest").collect()  # a row per part, or per label
+    parts = tuple(Part(*[r[c] for c in ("table", "part", "version", "rows", "digest")]) for r in rows if r["table"])
+    nodes, edges, adjacency, entries, sizes = (_open(spark, path, name, parts) for name in TABLES)
+    index = LabelIndex(entries.select("token", "slot", "ct"), sizes.select("token", "p_r"))
+    return State(nodes, edges, adjacency, index, path, rows[0]["n_parts"], parts)
+
+
+def _open(spark: SparkSession, path: str, name: str, parts: Iterable[Part]) -> DataFrame:
+    root, table = os.path.dirname(path), TABLES[name]
+    columns = [c.split()[0] for c in table.schema.split(", ")] + ([] if table.by == "part" else [table.by])
+    schema = f"{table.schema}, {table.by} string, version string"
+    paths = [f"{root}/{name}/{table.by}={p.part}/version={p.version}" for p in parts if p.table == name]
+    if not paths:
+        return spark.createDataFrame([], schema).select(*columns)
+    return spark.read.schema(schema).option("basePath", f"{root}/{name}").parquet(*paths).select(*columns)
+
+
+def _differing(state: State, name: str, rows: DataFrame) -> list[str]:
+    """Parts in which ``rows`` are not the state's: one aggregate of the rows, and none of a state that was read."""
+
+    def of(table: DataFrame) -> dict[str, tuple]:
+        found = _digests(table.select(*columns), part_of(TABLES[name].key, state.n_parts)).collect()  # a row per part
+        return {r["part"]: (r["rows"], r["digest"]) for r in found}
+
+    columns = [c.split()[0] for c in TABLES[name].schema.split(", ")]
+    if state.path:
+        before = {p.part: (p.rows, p.digest) for p in state.parts if p.table == name}
+    else:
+        before = of(_tables(state)[name])
+    after = of(rows)
+    return sorted(p for p in before.keys() | after.keys() if before.get(p) != after.get(p))
+
+
+def _some(state: State, name: str, parts: list[str]) -> DataFrame:
+    """The rows of a state in some parts; of a state that was read no other part is opened."""
+    if state.path:
+        asked = set(parts)
+        spark = state.nodes.sparkSession
+        return _open(spark, state.path, name, [p for p in state.parts if p.table == name and p.part in asked])
+    return _in_parts(_tables(state)[name], TABLES[name].key, parts, state.n_parts)
 
 
-PARTS = ("nodes", "edges", "adjacency", "index", "sizes")
+def _in_parts(rows: DataFrame, key: Iterable[str], parts: list[str], n_parts: int) -> DataFrame:
+    return rows.filter(part_of(key, n_parts).isin(parts)) if len(parts) < n_parts else rows
 
 
-def _parts(state: State) -> dict[str, DataFrame]:
-    tables = (state.nodes, state.edges, state.adjacency, state.index.entries, state.index.sizes)
-    return dict(zip(PARTS, tables))
+def _parts_of(rows: DataFrame, key: Iterable[str], n_parts: int) -> list[str]:
+    return [r[0] for r in rows.select(part_of(key, n_parts)).distinct().collect()]
 
 
 def sync_apply(
     old: State, snap_nodes: DataFrame, snap_edges: DataFrame, keys: Keys, path: str | None = None
 ) -> tuple[State, DataFrame]:
-    """The state after a snapshot, and the summary row.  Nothing is rewritten when nothing changed.
+    """The state after a snapshot, and the summary row.  Nothing is written when nothing changed.
 
-    Edges with an endpoint outside the snapshot's nodes are gone with it.  Lists
-    and index entries are encrypted again only for touched nodes and labels.
-    The new state lies under ``path``.
+    Edges with an endpoint outside the snapshot's nodes are gone with it.  Lists and index entries are encrypted
+    again only for touched nodes and labels.  The new state has its manifest at ``path``, beside that of ``old``,
+    and shares the parts with it in which nothing changed.  A state that was never written is written first.
     """
-    spark = snap_nodes.sparkSession
-    nodes = save(snap_nodes.select("id", "label"), "sync-nodes")
-    edges = save(with_endpoints(snap_edges.select("u", "v", "label"), nodes, "u", "v"), "sync-edges")
-    node_changes = save(changes(old.nodes, nodes, ["id"]), "node-changes")
-    edge_changes = save(changes(old.edges, edges, EDGE_KEY), "edge-changes")
-    summary = save(summary_of(node_changes, edge_changes), "sync-summary")
-    if not summary.first()["changed"]:
-        return old, summary
-    gone = node_changes.filter("change = 'removed'")
-    adjacency = rebuild_adjacency(old.adjacency, edges, touched_nodes(edge_changes), gone, keys)
-    labels = touched_labels(node_changes, edge_changes)
-    index = rebuild_label_index(old.index, label_histogram(nodes, edges), labels, keys)
-    path = path or new_path(spark, "state")
-    write_state(State(nodes, edges, adjacency, index), path)
-    return read_state(spark, path), summary
+    spark, given = snap_nodes.sparkSession, old
+    if path is None:
+        root = os.path.dirname(old.path) if old.path else new_path(spark, "state")
+        path = os.path.join(root, uuid.uuid4().hex[:12])
+    with scratch(spark):
+        nodes = save(snap_nodes.select("id", "label"), "sync-nodes")
+        listed = save(snap_edges.select("u", "v", "label"), "sync-edges")
+        differing = _differing(old, "nodes", nodes)
+        node_changes = save(
+            changes(_some(old, "nodes", differing), _in_parts(nodes, ["id"], differing, old.n_parts), ["id"]), "node-changes"
+        )
+        gone = save(node_changes.filter("change = 'removed'").select("id"), "gone")
+        differing = _differing(old, "edges", listed)
+        if not gone.isEmpty():
+            # The snapshot may still list edges of a node that it lacks.
+            lost = [filter_by_keys(old.edges, end, gone.withColumnRenamed("id", end)) for end in EDGE_KEY]
+            differing = sorted({*differing, *_parts_of(lost[0].unionByName(lost[1]), EDGE_KEY, old.n_parts)})
+        alive = with_endpoints(_in_parts(listed, EDGE_KEY, differing, old.n_parts), nodes, "u", "v")
+        alive = save(alive, "alive-edges")
+        found = save(changes(_some(old, "edges", differing), alive, EDGE_KEY), "edge-changes")
+        summary = keep(save(summary_of(node_changes, found), "sync-summary"))
+        if not summary.first()["changed"]:
+            return given, summary
+        if old.path is None or os.path.dirname(old.path) != os.path.dirname(path):
+            old = write_state(old, os.path.join(os.path.dirname(path), f"before-{os.path.basename(path)}"))
+        return _apply(old, nodes, alive, node_changes, found, gone, keys, path), summary
+
+
+def _apply(
+    old: State, nodes: DataFrame, alive: DataFrame, node_changes: DataFrame, found: DataFrame, gone: DataFrame, keys: Keys, path: str
+) -> State:
+    """Write the touched parts of each table, then the manifest."""
+    spark, n = nodes.sparkSession, old.n_parts
+    replaced: list[tuple[str, list[str]]] = []
+    written: list[Part] = []
+
+    def write(name: str, parts: list[str], rows: DataFrame) -> None:
+        replaced.append((name, parts))
+        written.extend(_write_parts(rows, name, path, n) if parts else [])
+
+    touched = _parts_of(node_changes, ["id"], n)
+    write("nodes", touched, _in_parts(nodes, ["id"], touched, n))
+    touched = _parts_of(found, EDGE_KEY, n)
+    write("edges", touched, _in_parts(alive, EDGE_KEY, touched, n))
+    now = _merged(old.parts, replaced, written)
+    new_nodes, new_edges = _open(spark, path, "nodes", now), _open(spark, path, "edges", now)
+
+    ends = save(touched_nodes(found), "touched")
+    stale = save(ends.unionByName(gone).distinct().withColumnRenamed("id", "node_id"), "stale")
+    touched = _parts_of(stale, ["node_id"], n)
+    lists = protect_adjacency(build_adjacency_of(new_edges, ends), keys)
+    kept = filter_by_keys(_some(old, "adjacency", touched), "node_id", stale, keep=False)
+    write("adjacency", touched, kept.unionByName(lists.select(*kept.columns)))
+
+    labels = save(touched_labels(node_changes, found), "touched-labels")
+    fresh = build_label_index(filter_by_keys(label_histogram(new_nodes, new_edges), "label", labels), keys)
+    tokens = [r[0] for r in labels.select(keyed_token(F.col("label"), keys.token)).collect()]
+    write("index", tokens, fresh.entries)
+    write("sizes", tokens, fresh.sizes)
+    _write_manifest(spark, path, n, _merged(old.parts, replaced, written))
+    return read_state(spark, path)
+
+
+def _merged(parts: Iterable[Part], replaced: list[tuple[str, list[str]]], written: list[Part]) -> list[Part]:
+    """``parts`` without those that were replaced, and what was written for them; a part without rows is gone."""
+    away = {(name, part) for name, some in replaced for part in some}
+    return [p for p in parts if (p.table, p.part) not in away] + written
