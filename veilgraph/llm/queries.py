@@ -104,21 +104,48 @@ def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
-def _leaves_sql(text: str) -> str:
-    """Leaf hashes by paragraph and section."""
-    cut = f"regexp_extract_all(p, '{LEAF}')"
-    return f"""list_transform(string_split({text}, chr(10) || chr(10)), lambda s:
-      list_transform(string_split(s, chr(10)), lambda p: list_transform({cut}, lambda l: sha256('l' || l))))"""
+def _tree_sql(text: str) -> str:
+    """Sections of paragraphs of leaves, each node with its hash."""
+    leaves = f"list_transform(regexp_extract_all(p, '{LEAF}'), lambda l: sha256('l' || l))"
+    paragraphs = f"list_transform(string_split(s, chr(10)), lambda p: {leaves})"
+    named = "list_transform(s, lambda p: {'p': sha256('p' || coalesce(array_to_string(p, ''), '')), 'ls': p})"
+    sections = f"list_transform(string_split({text}, chr(10) || chr(10)), lambda s: {paragraphs})"
+    inner = f"list_transform({sections}, lambda s: {named})"
+    return f"list_transform({inner}, lambda s: {{'s': sha256('s' || array_to_string(list_transform(s, lambda p: p.p), '')), 'ps': s}})"
 
 
-def _root_sql(leaves: str) -> str:
-    paragraphs = "list_transform(s, lambda p: sha256('p' || coalesce(array_to_string(p, ''), '')))"
-    return f"sha256('r' || array_to_string(list_transform({leaves}, lambda s: sha256('s' || array_to_string({paragraphs}, ''))), ''))"
+def _root_sql(tree: str) -> str:
+    return f"sha256('r' || array_to_string(list_transform({tree}, lambda s: s.s), ''))"
 
 
-def _near_sql(root_a: str, a: str, root_b: str, b: str) -> str:
-    both, total = f"len(list_intersect({a}, {b}))", f"(len({a}) + len({b}))"
-    share = f"CASE WHEN {total} > 0 THEN 2.0::DOUBLE * {both} / {total} ELSE 0.0::DOUBLE END"
+def _short(leaves: str) -> str:
+    return f"list_transform({leaves}, lambda h: substr(h, 1, 15))"
+
+
+def _compared_sql(a: str, b: str) -> str:
+    """A struct for each pair of branches: equal leaves, other leaves of both, place."""
+    none = "[]::VARCHAR[]"
+    pa, pb = f"{a}[i + 1].ps[j + 1]", f"{b}[i + 1].ps[j + 1]"
+    paragraph = f"""CASE WHEN {pa}.p IS NOT DISTINCT FROM {pb}.p
+      THEN {{'same': len({pa}.ls), 'ours': {none}, 'theirs': {none}, 'place': NULL::VARCHAR}}
+      ELSE {{'same': 0, 'ours': coalesce({_short(f"{pa}.ls")}, {none}), 'theirs': coalesce({_short(f"{pb}.ls")}, {none}), 'place': i || '.' || j}} END"""
+    inside = f"list_transform(range(greatest(coalesce(len({a}[i + 1].ps), 0), coalesce(len({b}[i + 1].ps), 0))), lambda j: {paragraph})"
+    whole = f"[{{'same': len(flatten(list_transform({a}[i + 1].ps, lambda p: p.ls))), 'ours': {none}, 'theirs': {none}, 'place': NULL::VARCHAR}}]"
+    section = f"CASE WHEN {a}[i + 1].s IS NOT DISTINCT FROM {b}[i + 1].s THEN {whole} ELSE {inside} END"
+    return f"flatten(list_transform(range(greatest(len({a}), len({b}))), lambda i: {section}))"
+
+
+def _summed_sql(parts: str) -> str:
+    ours, theirs = (f"list_distinct(flatten(list_transform({parts}, lambda x: x.{side})))" for side in ("ours", "theirs"))
+    places = f"list_filter(list_transform({parts}, lambda x: x.place), lambda x: x IS NOT NULL)"
+    return f"""{{'same': list_sum(list_transform({parts}, lambda x: x.same))::BIGINT, 'ours': {ours}, 'theirs': {theirs},
+    'places': coalesce(array_to_string({places}, ' '), '')}}"""
+
+
+def _near_sql(root_a: str, root_b: str, found: str) -> str:
+    total = f"(2 * {found}.same + len({found}.ours) + len({found}.theirs))"
+    both = f"(2 * {found}.same + 2 * len(list_intersect({found}.ours, {found}.theirs)))"
+    share = f"CASE WHEN {total} > 0 THEN 1.0::DOUBLE * {both} / {total} ELSE 0.0::DOUBLE END"
     return f"CASE WHEN {root_a} = {root_b} THEN 1.0::DOUBLE ELSE least({share}, 1.0::DOUBLE - 1.0::DOUBLE / ({total} + 2)) END"
 
 
@@ -128,13 +155,12 @@ def _near_sql(root_a: str, a: str, root_b: str, b: str) -> str:
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n FROM documents),
 x AS (SELECT doc_id, t, n, coalesce(lead(t) OVER o, first_value(t) OVER o) AS nt FROM d WINDOW o AS (ORDER BY doc_id DESC)),
 e AS (SELECT doc_id, t, n, nt, substr(t, 1, n - n // 2) || substr(nt, 1, n // 2) AS et FROM x),
-l AS (SELECT doc_id, n, et, {_leaves_sql("t")} AS tl, {_leaves_sql("et")} AS el, {_leaves_sql("nt")} AS nl FROM e),
-r AS (SELECT doc_id, n, et, {_root_sql("tl")} AS tr, {_root_sql("el")} AS er, {_root_sql("nl")} AS nr,
-  list_distinct(list_transform(flatten(flatten(tl)), lambda h: substr(h, 1, 15))) AS ta,
-  list_distinct(list_transform(flatten(flatten(el)), lambda h: substr(h, 1, 15))) AS ea,
-  list_distinct(list_transform(flatten(flatten(nl)), lambda h: substr(h, 1, 15))) AS na FROM l)
+l AS (SELECT doc_id, n, et, {_tree_sql("t")} AS tl, {_tree_sql("et")} AS el, {_tree_sql("nt")} AS nl FROM e),
+c AS (SELECT *, {_root_sql("tl")} AS tr, {_root_sql("el")} AS er, {_root_sql("nl")} AS nr,
+  {_compared_sql("tl", "el")} AS pe, {_compared_sql("tl", "nl")} AS pn FROM l),
+r AS (SELECT doc_id, n, et, tr, er, nr, {_summed_sql("pe")} AS we, {_summed_sql("pn")} AS wn FROM c)
 SELECT doc_id, n::BIGINT AS n_chars, sha256(et) AS edited_sha256, tr AS fingerprint, er AS edited_fingerprint,
-  {_near_sql("tr", "ta", "er", "ea")} AS near_edited, {_near_sql("tr", "ta", "nr", "na")} AS near_next
+  {_near_sql("tr", "er", "we")} AS near_edited, {_near_sql("tr", "nr", "wn")} AS near_next, we.places AS edited_branches
 FROM r""",
 )
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
