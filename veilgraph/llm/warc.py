@@ -193,15 +193,16 @@ def write_archives(pages: DataFrame, path: str) -> None:
     # Ids as text: a column of ids with a null would reach pandas as floats.
     whole = with_originals(pages).withColumns({c: F.col(c).cast("string") for c in ("page_id", "refers_to")})
     written = whole.mapInPandas(frames, "frame binary").select(F.col("frame").cast("string").alias("value"))
-    written.write.option("lineSep", EMPTY_FRAME.decode()).text(path)
+    # A file of its own would lack the dictionary: the session's bound on records a file does not hold here.
+    written.write.option("lineSep", EMPTY_FRAME.decode()).option("maxRecordsPerFile", 0).text(path)
 
 
 def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
     """Every record below ``path``; with ``payloads`` also the url and the payload of responses.
 
-    A file is one row of the reader, so batches hold one row.
+    A file is one row of the reader.
     """
-    small_batches(spark, 1)
+    small_batches(spark)  # Spark cuts a batch by its bytes as well, after a file or a few
     schema = RESULT + (", url string, payload binary" if payloads else "")
     names = [part.split()[0] for part in schema.split(", ")]
 
