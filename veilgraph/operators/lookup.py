@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilgraph.operators.padding import decoy_window
+from veilgraph.operators.padding import decoy_window, few_decoy_windows, window_bounds
 from veilgraph.operators.protect import Store
 from veilgraph.operators.skew import HUB_ROWS, Dimension, attach, repeat_rows
 from veilgraph.runtime import keep, save, scratch
@@ -58,15 +58,16 @@ def _read_padded(
     moved, and a short list of ids names the buckets that are opened.
     """
     with scratch(table.sparkSession):
-        decoys = decoy_window(pads, key, places, total)
-        wanted = requests.select(key, *ids).unionByName(decoys.select(key, *ids))
-        n_keys, reads = pads.agg(F.count(F.lit(1)), F.sum("p_r")).first()
-        if (reads or 0) <= NAMED_IDS:
-            wanted = save(wanted, "wanted")
-            table = table.filter(_named(ids[0], wanted))
+        n_keys, reads, low, high = pads.agg(F.count(F.lit(1)), F.sum("p_r"), *window_bounds(total)).first()
         if 2 * n_keys <= HUB_ROWS:  # a key asks for a row twice at most, so no row is asked for more often
-            return keep(save(wanted.join(table, ids), name))
-        wanted = save(wanted, "wanted")
+            decoys = few_decoy_windows(pads, key, places, total, low or 0, high or 0)
+            wanted = requests.select(key, *ids).unionByName(decoys.select(key, *ids))
+            if (reads or 0) <= NAMED_IDS:
+                wanted = save(wanted, "wanted")
+                table = table.filter(_named(ids[0], wanted))
+            return keep(save(wanted.join(table, ids).select(key, *table.columns), name))
+        decoys = decoy_window(pads, key, places, total)
+        wanted = save(requests.select(key, *ids).unionByName(decoys.select(key, *ids)), "wanted")
         asked = wanted.groupBy(*ids).agg(F.count(F.lit(1)).alias("_asked"))
         found = save(asked.join(table, ids).withColumn("_id", F.struct(*ids)), "asked-rows")
         lost = -1 - F.pmod(F.xxhash64(key, *ids), F.lit(1 << 62))

@@ -37,12 +37,7 @@ def decoy_window(pads: DataFrame, key: str, store: DataFrame, total: int) -> Dat
     share is looked up by broadcast.  The outer bounds of all windows are two
     scalars, so the scan skips what lies outside.
     """
-    windows = save(
-        pads.filter(F.col("dummies") > 0).select(
-            key, "dummies", window_start(F.col("p_r"), F.lit(total).cast("bigint"), F.col("dummies")).alias("_from")
-        ),
-        "windows",
-    )
+    windows = save(_windows(pads, key, total), "windows")
     low, high = windows.agg(F.min("_from"), F.max(F.col("_from") + F.col("dummies"))).first()
     places = repeat_rows(windows, F.col("dummies"), [key], index="_i", written=True)
     places = save(places.select(key, (F.col("_from") + F.col("_i")).alias("pos")), "decoy-places")
@@ -56,6 +51,29 @@ def decoy_window(pads: DataFrame, key: str, store: DataFrame, total: int) -> Dat
     return attach(places, "pos", dim, columns, scatter).filter(F.col(next(iter(columns))).isNotNull())
 
 
+def _windows(pads: DataFrame, key: str, total: int) -> DataFrame:
+    return pads.filter(F.col("dummies") > 0).select(
+        key, "dummies", window_start(F.col("p_r"), F.lit(total).cast("bigint"), F.col("dummies")).alias("_from")
+    )
+
+
+def few_decoy_windows(pads: DataFrame, key: str, store: DataFrame, total: int, low: int, high: int) -> DataFrame:
+    """As ``decoy_window`` for written ``pads`` of few keys, within [low, high): nothing is written on the way.
+
+    A position is in one window of a key at most, so with few keys no position is a hot one.
+    """
+    places = repeat_rows(_windows(pads, key, total), F.col("dummies"), [key], index="_i", written=True)
+    places = places.select(key, (F.col("_from") + F.col("_i")).alias("pos"))
+    return places.join(store.filter((F.col("pos") >= low) & (F.col("pos") < high)), "pos")
+
+
+def window_bounds(total: int) -> list[Column]:
+    """Aggregates of pads (p_r, dummies): the first and the last position of all windows."""
+    start = window_start(F.col("p_r"), F.lit(total).cast("bigint"), F.col("dummies"))
+    some = F.col("dummies") > 0
+    return [F.min(F.when(some, start)), F.max(F.when(some, start + F.col("dummies")))]
+
+
 def decoy_copies(batch: DataFrame, key: str, order: list[str], size=doubled_size) -> DataFrame:
     """Pad each key's rows to ``size(r)`` by repeating them in turn: row ``i mod r`` is copy ``i``.
 

@@ -68,7 +68,7 @@ def attach(rows: DataFrame, key: str, dim: Dimension, columns: dict[str, str], s
 
 
 def join_small(rows: DataFrame, side: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-    """Join ``rows`` to a written table ``side`` with one row per key.
+    """Join ``rows`` to a written table ``side`` with one row per key, or a few.
 
     ``side`` is broadcast only after its bytes and its rows were counted.  With a longer one, keys that more than
     ``hub_bound`` of the ``rows`` have are found by a count that is combined before its shuffle; their rows, and
