@@ -18,9 +18,10 @@ from veilgraph.operators.index import (
 from veilgraph.operators.lookup import lookup_padded
 from veilgraph.operators.padding import pad_table
 from veilgraph.operators.protect import NODE_RECORD, build_store, open_rows
-from veilgraph.plans import traverse
+from veilgraph.plans import pattern, traverse
 from veilgraph.plans.ingest import append_protected, read_protected, write_protected
 from veilgraph.plans.labels import label_query
+from veilgraph.plans.pattern import match_pattern_batch, pattern_table
 from veilgraph.plans.traverse import bfs_levels, bfs_plain, neighbour_table, reachable_pairs
 from veilgraph.runtime import save, scratch
 
@@ -201,3 +202,19 @@ def test_scratch_scopes_of_threads_are_their_own(spark):
     with ThreadPoolExecutor(4) as pool:
         found = list(pool.map(work, range(8)))
     assert found == [list(range(k * 10, k * 10 + 5)) for k in range(8)]
+
+
+def test_patterns_of_one_role_share_a_read(spark, keys, graph, monkeypatch):
+    store = build_store(graph, keys, list_rows=4)
+    fetched = []
+    real = pattern.fetch_lists
+    monkeypatch.setattr(pattern, "fetch_lists", lambda *a: fetched.append(real(*a)) or fetched[-1])
+    names = [("External", e, d) for e in ("INTERNAL", "SEND", "REPLY") for d in ("External", "Employee", "Inactive", "Executive")]
+    patterns = pattern_table(spark, names)
+    pairs, report = pattern.match_pattern_protected(patterns, graph.nodes, store, keys)
+    plain = {r.pattern: r.matches for r in match_pattern_batch(graph, patterns).collect()}
+    assert {r.pattern: r.matches for r in report.collect()} == plain and sum(plain.values()) == pairs.count() > 0
+    read = {r.blocks_fetched for r in report.collect()}
+    assert len(fetched) == len(read) == 1
+    lists = fetched[0].groupBy("node_id").agg(F.countDistinct("role").alias("n")).agg(F.max("n")).first()[0]
+    assert lists == 1 and not {"label", "pattern"} & set(fetched[0].columns)
