@@ -185,15 +185,15 @@ def test_fingerprints(spark, odd_docs, odd_rows):
     rows = merkle.fingerprints_with_edits(docs).collect()
     assert len(rows) == len(odd_rows) + 1
     wanted = []
-    for (i, text), (_, after) in zip(order, order[1:] + order[:1]):
+    for (i, text), (j, after) in zip(order, order[1:] + order[:1]):
         half = len(text) // 2
         edited = text[: len(text) - half] + after[:half]
         mine, other, following = plain_tree(text), plain_tree(edited), plain_tree(after)
         sha = hashlib.sha256(edited.encode()).hexdigest()
         near, places = plain_near(mine, other)
-        row = (i, len(text), sha, mine[0], other[0], round(near, 9), round(plain_near(mine, following)[0], 9), places)
+        row = (i, len(text), sha, mine[0], other[0], round(near, 9), round(plain_near(mine, following)[0], 9), places, j)
         wanted += [row] * (sum((k, t or "") == (i, text) for k, t in odd_rows) or 1)
-    found = [(*r[:5], round(r[5], 9), round(r[6], 9), r[7]) for r in rows]
+    found = [(*r[:5], round(r[5], 9), round(r[6], 9), r[7], r[8]) for r in rows]
     assert sorted(found, key=repr) == sorted(wanted, key=repr)
 
 

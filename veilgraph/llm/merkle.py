@@ -153,20 +153,18 @@ def edited_branches(a: Column, b: Column) -> Column:
 
 
 def next_documents(docs: DataFrame) -> DataFrame:
-    """(doc, half, next_doc, copies): the document that follows in descending id, the first after the last.
+    """(doc, next_doc, copies): the document that follows in descending id, the first after the last.
 
-    ``doc`` names an id with its text; ``half`` is the most code points that the edit of ``doc`` replaces.  No
-    text is moved.
+    ``doc`` names an id with its text.  No text is moved.
     """
-    half = F.floor(F.length(text_of()) / 2).cast("int")
-    ids = docs.select(_document(), "doc_id", half.alias("half")).groupBy("doc").agg(
-        F.min("doc_id").alias("doc_id"), F.max("half").alias("half"), F.count("*").alias("copies")
+    ids = docs.select(_document(), "doc_id").groupBy("doc").agg(
+        F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")
     )
     order = [F.col("doc_id").desc_nulls_last(), F.col("doc")]
     placed = save(with_positions(save(ids, "document-ids"), order, name="_pos"), "id-order")
     total = F.lit(max(placed.count(), 1))
     after = placed.select(F.pmod(F.col("_pos") - 1, total).alias("_pos"), F.col("doc").alias("next_doc"))
-    return placed.join(after, "_pos").select("doc", "half", "next_doc", "copies")
+    return placed.join(after, "_pos").select("doc", "next_doc", "copies")
 
 
 def _document() -> Column:
@@ -178,20 +176,14 @@ def fingerprints_with_edits(docs: DataFrame) -> DataFrame:
 
     The edited text has its last half (floor) of code points replaced by the next document's first as many;
     ``edited_branches`` names the paragraphs in which it differs.  Texts are shuffled once by their own document
-    and, cut to what the edit needs, once by the document before them.
+    and once by the document before them.
     """
     follows = save(next_documents(docs), "next-ids")
-    trees = (
-        docs.select("doc_id", _document(), text_of().alias("text"))
-        .withColumn("tree", merkle_tree(F.col("text")))
-        .select("doc_id", "doc", "text", F.col("tree.root").alias("root"), F.col("tree.branches").alias("branches"))
-    )
-    owners = follows.select(F.col("doc").alias("_owner"), "half", "next_doc")
-    heads = trees.join(owners, F.col("doc") == F.col("next_doc")).select(
-        "_owner",
-        F.substring(F.col("text"), F.lit(1), F.col("half")).alias("_next"),
-        F.col("root").alias("_next_root"),
-        F.col("branches").alias("_next_branches"),
+    texts = docs.select("doc_id", _document(), text_of().alias("text"))
+    owners = follows.select(F.col("doc").alias("_owner"), "next_doc")
+    # With the id both joins move the same columns by the same key, so the texts are shuffled for them once.
+    heads = texts.join(owners, F.col("doc") == F.col("next_doc")).select(
+        "_owner", F.col("doc_id").alias("next_doc_id"), F.col("text").alias("_next")
     )
     if not follows.filter("copies > 1").isEmpty():
         heads = heads.dropDuplicates(["_owner"])  # rows equal in id and text are one document
@@ -199,20 +191,23 @@ def fingerprints_with_edits(docs: DataFrame) -> DataFrame:
     edited = F.concat(
         F.substring(F.col("text"), F.lit(1), F.length("text") - half), F.substring(F.col("_next"), F.lit(1), half)
     )
-    return (
-        trees.join(heads, F.col("doc") == F.col("_owner"))
+    # Trees are several times as large as what they are made from: they are built where both texts are.
+    whole = (
+        texts.join(heads, F.col("doc") == F.col("_owner"))
         .withColumn("_edited", edited)
-        .withColumn("_tree", merkle_tree(F.col("_edited")))
-        .withColumn("_with_edited", compared(F.col("branches"), F.col("_tree.branches")))
-        .withColumn("_with_next", compared(F.col("branches"), F.col("_next_branches")))
-        .select(
-            "doc_id",
-            F.length("text").cast("bigint").alias("n_chars"),
-            F.sha2("_edited", 256).alias("edited_sha256"),
-            F.col("root").alias("fingerprint"),
-            F.col("_tree.root").alias("edited_fingerprint"),
-            likeness(F.col("root"), F.col("_tree.root"), F.col("_with_edited")).alias("near_edited"),
-            likeness(F.col("root"), F.col("_next_root"), F.col("_with_next")).alias("near_next"),
-            F.col("_with_edited.places").alias("edited_branches"),
-        )
+        .withColumns({f"_tree{c}": merkle_tree(F.col(c)) for c in ("text", "_edited", "_next")})
+        .withColumn("_with_edited", compared(F.col("_treetext.branches"), F.col("_tree_edited.branches")))
+        .withColumn("_with_next", compared(F.col("_treetext.branches"), F.col("_tree_next.branches")))
+    )
+    mine = F.col("_treetext.root")
+    return whole.select(
+        "doc_id",
+        F.length("text").cast("bigint").alias("n_chars"),
+        F.sha2("_edited", 256).alias("edited_sha256"),
+        mine.alias("fingerprint"),
+        F.col("_tree_edited.root").alias("edited_fingerprint"),
+        likeness(mine, F.col("_tree_edited.root"), F.col("_with_edited")).alias("near_edited"),
+        likeness(mine, F.col("_tree_next.root"), F.col("_with_next")).alias("near_next"),
+        F.col("_with_edited.places").alias("edited_branches"),
+        "next_doc_id",
     )

@@ -153,14 +153,15 @@ def _near_sql(root_a: str, root_b: str, found: str) -> str:
     "op1_fingerprints",
     f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n FROM documents),
-x AS (SELECT doc_id, t, n, coalesce(lead(t) OVER o, first_value(t) OVER o) AS nt FROM d WINDOW o AS (ORDER BY doc_id DESC)),
-e AS (SELECT doc_id, t, n, nt, substr(t, 1, n - n // 2) || substr(nt, 1, n // 2) AS et FROM x),
-l AS (SELECT doc_id, n, et, {_tree_sql("t")} AS tl, {_tree_sql("et")} AS el, {_tree_sql("nt")} AS nl FROM e),
+x AS (SELECT doc_id, t, n, coalesce(lead(t) OVER o, first_value(t) OVER o) AS nt,
+  coalesce(lead(doc_id) OVER o, first_value(doc_id) OVER o) AS nd FROM d WINDOW o AS (ORDER BY doc_id DESC)),
+e AS (SELECT doc_id, t, n, nt, nd, substr(t, 1, n - n // 2) || substr(nt, 1, n // 2) AS et FROM x),
+l AS (SELECT doc_id, n, et, nd, {_tree_sql("t")} AS tl, {_tree_sql("et")} AS el, {_tree_sql("nt")} AS nl FROM e),
 c AS (SELECT *, {_root_sql("tl")} AS tr, {_root_sql("el")} AS er, {_root_sql("nl")} AS nr,
   {_compared_sql("tl", "el")} AS pe, {_compared_sql("tl", "nl")} AS pn FROM l),
-r AS (SELECT doc_id, n, et, tr, er, nr, {_summed_sql("pe")} AS we, {_summed_sql("pn")} AS wn FROM c)
+r AS (SELECT doc_id, n, et, nd, tr, er, nr, {_summed_sql("pe")} AS we, {_summed_sql("pn")} AS wn FROM c)
 SELECT doc_id, n::BIGINT AS n_chars, sha256(et) AS edited_sha256, tr AS fingerprint, er AS edited_fingerprint,
-  {_near_sql("tr", "er", "we")} AS near_edited, {_near_sql("tr", "nr", "wn")} AS near_next, we.places AS edited_branches
+  {_near_sql("tr", "er", "we")} AS near_edited, {_near_sql("tr", "nr", "wn")} AS near_next, we.places AS edited_branches, nd AS next_doc_id
 FROM r""",
 )
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
