@@ -22,7 +22,7 @@ REPEAT_BLOCK = 65_536
 
 def hub_bound(total_rows: int, hub_rows: int | None = None) -> int:
     """Rows per key above which a key is a hub; at most MAX_HUBS keys can exceed it."""
-    return max(HUB_ROWS if hub_rows is None else hub_rows, ceil(total_rows / MAX_HUBS))
+    return max(HUB_ROWS if hub_rows is None else hub_rows, ceil(total_rows / max(1, MAX_HUBS)))
 
 
 @dataclass(frozen=True)
