@@ -355,13 +355,53 @@ def families(seed, bases, copies, length, changes):
 
 @pytest.mark.parametrize("percent,words", [(90, 3), (80, 5)])
 def test_components(spark, monkeypatch, percent, words):
-    monkeypatch.setattr(jaccard_join, "CELL_RECORDS", 30)  # the larger families take several cells
+    monkeypatch.setattr(jaccard_join, "CHUNK_RECORDS", 7)  # families take several units of their leader
+    monkeypatch.setattr(jaccard_join, "CELL_RECORDS", 30)  # and what is left open of the larger ones several cells
     rows = families(1, 6, 60, 90, 8) + [(5000 + k, t) for k, (_, t) in enumerate(families(2, 30, 3, 12, 2))]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     found = jaccard_join.near_duplicates(docs, words, percent).collect()
     assert sorted((tuple(r) for r in found), key=repr) == plain_components(rows, words, percent)
 
 
+def test_one_id_with_texts_of_unlike_sizes(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "CHUNK_RECORDS", 2)
+    monkeypatch.setattr(jaccard_join, "CELL_RECORDS", 3)
+    rows = families(5, 3, 25, 60, 9)
+    long = families(6, 1, 12, 200, 12)
+    rows += [(k, t) for k, (_, t) in enumerate(long)]  # ids of the short texts, once more
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = sorted((tuple(r) for r in jaccard_join.near_duplicates(docs).collect()), key=repr)
+    assert found == plain_components(rows, 3, 90)
+
+
+def test_units_meet_across_labels_and_sizes(spark):
+    """A large component beside a few others: its own pairs are left out, all pairs across of linking sizes are met."""
+    ids = [(k, 7, k // 90 if k < 90 else k, 100 + k % 3 if k != 99 else 300) for k in range(100)]
+    frame = spark.createDataFrame(ids, "id bigint, block bigint, label bigint, n bigint")
+    blocks = frame.select("id", F.col("block").alias("label"))
+    old = jaccard_join.CELL_RECORDS
+    jaccard_join.CELL_RECORDS = 20
+    try:
+        units = jaccard_join.block_units(blocks, frame.select("id", "label"), frame.select("id", "n"), 90).collect()
+    finally:
+        jaccard_join.CELL_RECORDS = old
+    label, size, members = {r[0]: r[2] for r in ids}, {r[0]: r[3] for r in ids}, {}
+    for u in units:
+        members.setdefault((u["low"], u["high"]), []).append((u["id"], u["cell"]))
+    met = set()
+    for (low, high), rows in members.items():
+        for (a, x), (b, y) in combinations(rows, 2):
+            if low == high or x != y:
+                met.add((min(a, b), max(a, b)))
+    wanted = {
+        (a, b) for a, b in combinations(range(100), 2)
+        if label[a] != label[b] and 10 * min(size[a], size[b]) >= 9 * max(size[a], size[b])
+    }
+    assert wanted <= met
+    assert not any(label[a] == label[b] for a, b in met)
+    assert len(units) < 100 * 5
+
+
 def test_components_of_odd_rows(odd_docs, odd_rows, no_docs):
     found = sorted((tuple(r) for r in jaccard_join.near_duplicates(odd_docs).collect()), key=repr)
     assert found == plain_components(odd_rows, 3, 90)

@@ -8,12 +8,19 @@
    many have them, then all other shingles by hash.  So only the pool is counted,
    and a passage common to many documents comes late in the order.  Most
    documents have enough shingles of their own and can link with nothing.
-3. Classes that share a blocking shingle are connected; each connected block
-   holds all links of its members and is much smaller than any hot shingle's list.
-4. In a block, signature trees are traversed together (``signature_tree``) and
-   what they do not prune is compared exactly.  A block larger than a cell is
-   cut into cells, and each pair of cells is a unit of its own.
-5. The links' spanning edges are merged into components.
+3. Leaders.  Each class follows the least class of most of its blocking shingles.
+   A leader and up to ``CHUNK_RECORDS`` followers are a unit, in which signature
+   trees are traversed together (``signature_tree``) and what they do not prune
+   is compared exactly.  So a family of m near copies costs m records and a
+   leader per unit, and is one component of what its units find.
+4. A blocking shingle is settled when all its classes are in one component
+   already, or were all in one unit.  Every link that is still missing lies in a
+   connected block of classes that share a shingle left open; it lies between
+   two components, so a block is compared across components only.
+5. A block larger than a cell is cut into cells by component (the largest one and
+   the others), size class and hash; each pair of cells whose sizes can link is
+   a unit, but for pairs within the largest component.
+6. The links' spanning edges are merged into components.
 
 Nothing is sampled or capped: every stage is an exact cover of the links.  Two
 different shingles with one hash would count as one; with 64 bits that is not
@@ -28,6 +35,7 @@ empty table gives an empty table.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -36,16 +44,17 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilgraph.llm.base import small_batches, text_of
 from veilgraph.llm.components import connected_components
 from veilgraph.llm.signature_tree import UnionFind, least_overlap, link, overlap
 from veilgraph.operators.skew import Dimension, attach
-from veilgraph.runtime import save
+from veilgraph.runtime import keep, save, scratch
 
 POOL_OF = 16
+CHUNK_RECORDS = 250
 CELL_RECORDS = 2000
 CELL_MEMBERS = 1_000_000
 MAX_TABLE_WORDS = 400_000
@@ -139,21 +148,30 @@ def jaccard_join(docs: DataFrame, words: int = 3, percent: int = 90, column: str
     sets = taken.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(
         described, "doc_id string, n bigint, content string, n_pool int, pool array<bigint>, more array<bigint>"
     )
-    sets = save(sets.withColumn("doc_id", F.col("doc_id").cast("bigint")), "shingle-sets")
-    full = sets.filter("n > 0 AND doc_id IS NOT NULL")
-    contents = save(
-        full.groupBy("content").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies")), "contents"
-    )
-    # A class is described by its least id's row.
-    least = contents.select(F.col("content").alias("_content"), F.col("class_id").alias("_id"))
-    classes = full.join(least, (F.col("content") == F.col("_content")) & (F.col("doc_id") == F.col("_id")))
-    # Written, so that the arrays are shuffled once for the three uses below.
-    classes = classes.dropDuplicates(["doc_id", "content"]).select("doc_id", "n", "n_pool", "pool", "more")
-    classes = save(classes, "classes")
-    keys = blocking_keys(classes, percent)
-    blocks = connected_components(star_edges(keys))
-    links = block_links(taken, blocks, sets, words, percent)
-    components = connected_components(links)
+    with scratch(spark):
+        sets = keep(save(sets.withColumn("doc_id", F.col("doc_id").cast("bigint")), "shingle-sets"))
+        full = sets.filter("n > 0 AND doc_id IS NOT NULL")
+        contents = full.groupBy("content").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"))
+        contents = keep(save(contents, "contents"))
+        # A class is described by its least id's row.
+        least = contents.select(F.col("content").alias("_content"), F.col("class_id").alias("_id"))
+        classes = full.join(least, (F.col("content") == F.col("_content")) & (F.col("doc_id") == F.col("_id")))
+        # Written, so that the arrays are shuffled once for the three uses below.
+        classes = classes.dropDuplicates(["doc_id", "content"]).select("doc_id", "n", "n_pool", "pool", "more")
+        classes = save(classes, "classes")
+        sizes = full.select(F.col("doc_id").alias("id"), "n")
+        keyed = key_leaders(blocking_keys(classes, percent))
+        placed = leader_places(keyed, sizes)
+        links = unit_edges(taken, leader_units(placed), words, percent, "leader-links")
+        components = connected_components(links)
+        named = named_places(placed, components)
+        left = open_keys(keyed, named)
+        if not left.isEmpty():
+            blocks = connected_components(star_edges(left))
+            units = block_units(blocks, named, sizes, percent)
+            more = unit_edges(taken, units, words, percent, "block-links")
+            components = connected_components(links.unionByName(more))
+        components = keep(save(components, "components"))
 
     dim = Dimension.of(contents, "content", "copies")
     scatter = F.concat(F.lit("-"), F.xxhash64("doc_id").cast("string"))
@@ -184,54 +202,129 @@ def blocking_keys(classes: DataFrame, percent: int) -> DataFrame:
     return save(found, "blocking-keys")
 
 
+def key_leaders(keys: DataFrame) -> DataFrame:
+    """(doc_id, key, lead): the least class of each blocking key, for keys that several classes have."""
+    least = keys.groupBy("key").agg(F.min("doc_id").alias("lead"), F.count("*").alias("_n")).filter("_n > 1")
+    return save(keys.join(least.drop("_n"), "key").select("doc_id", "key", "lead"), "key-leaders")
+
+
+def _parts(rows: Column, members: Column, most: int) -> Column:
+    """Parts of about ``most`` records and CELL_MEMBERS shingles at most."""
+    return F.greatest(F.lit(1), F.ceil(rows / most), F.ceil(members / CELL_MEMBERS)).cast("int")
+
+
+def leader_places(keyed: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(id, lead, chunks, chunk): whom each class follows and in which unit; a class that leads itself has no chunk."""
+    votes = keyed.groupBy("doc_id", "lead").agg((-F.count("*")).alias("_votes"))
+    best = votes.groupBy(F.col("doc_id").alias("id")).agg(F.min(F.struct("_votes", "lead")).alias("_best"))
+    largest = sizes.groupBy("id").agg(F.max("n").alias("n"))
+    chosen = save(best.join(largest, "id").select("id", F.col("_best.lead").alias("lead"), "n"), "leaders")
+    load = chosen.filter("id <> lead").groupBy("lead")
+    load = load.agg(_parts(F.count("*"), F.sum("n"), CHUNK_RECORDS).alias("chunks"))
+    chunk = F.when(F.col("id") != F.col("lead"), F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    return save(chosen.join(load, "lead", "left").select("id", "lead", "chunks", chunk.alias("chunk")), "leader-places")
+
+
+def leader_units(placed: DataFrame) -> DataFrame:
+    """Units of ``unit_edges``: the followers of a leader in chunks, the leader in each of them."""
+    followers = placed.filter("id <> lead").select(F.col("lead").alias("block"), "chunk", "id")
+    heads = followers.select("block", "chunk").distinct().withColumn("id", F.col("block"))
+    cell = F.col("chunk").cast("string")
+    units = followers.unionByName(heads)
+    return units.select("block", cell.alias("low"), cell.alias("high"), cell.alias("cell"), "id", F.col("id").alias("label"))
+
+
+def named_places(placed: DataFrame, components: DataFrame) -> DataFrame:
+    """``placed`` with the component (label) that the leaders' units gave each class."""
+    known = components.select(F.col("id").alias("_id"), F.col("label").alias("_label"))
+    named = placed.join(known, F.col("id") == F.col("_id"), "left")
+    return save(named.select("id", "lead", "chunk", F.coalesce("_label", "id").alias("label")), "named-places")
+
+
+def open_keys(keyed: DataFrame, named: DataFrame) -> DataFrame:
+    """(doc_id, key) of keys whose classes are in several components and were not all in one unit.
+
+    A leader is in every unit of its own, so its missing chunk does not count.
+    """
+    rows = keyed.select("doc_id", "key").join(named, F.col("doc_id") == F.col("id"))
+    ends = [f(c).alias(f"{f.__name__}_{c}") for c in ("label", "lead", "chunk") for f in (F.min, F.max)]
+    apart = "min_label <> max_label AND (min_lead <> max_lead OR min_chunk <> max_chunk)"
+    left = rows.groupBy("key").agg(*ends).filter(apart).select("key")
+    return save(keyed.select("doc_id", "key").join(left, "key"), "open-keys")
+
+
 def star_edges(keys: DataFrame) -> DataFrame:
     """(a, b): each class of a key and the key's least class; as many rows as there are keys, not pairs."""
     least = save(keys.groupBy("key").agg(F.min("doc_id").alias("b"), F.count("*").alias("_n")).filter("_n > 1"), "least")
     return keys.join(least, "key").select(F.col("doc_id").alias("a"), "b").distinct()
 
 
-def block_links(docs: DataFrame, blocks: DataFrame, sets: DataFrame, words: int, percent: int) -> DataFrame:
-    """(a, b): spanning edges of the links within each block."""
-    sizes = sets.select(F.col("doc_id").alias("_id"), "n").groupBy("_id").agg(F.max("n").alias("n"))
-    members = blocks.join(sizes, F.col("id") == F.col("_id")).select("id", F.col("label").alias("block"), "n")
+def size_class(n: Column, percent: int) -> Column:
+    """Sets that link are of one class or of neighbouring ones."""
+    if percent >= 100:
+        return n.cast("int")
+    # A little wider than the ratio of sizes, so that rounding moves no pair two classes apart.
+    return F.floor(F.ln(n) / F.lit(math.log(100 / percent) * 1.000001)).cast("int")
+
+
+def block_units(blocks: DataFrame, named: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """Units of ``unit_edges`` that cover all pairs of a block that are in different components and of sizes that link."""
+    # Rows of one id may differ in size: each size has its place.
+    known = named.select(F.col("id").alias("_id"), F.col("label").alias("_label"))
+    members = blocks.select("id", F.col("label").alias("block")).join(known, F.col("id") == F.col("_id"))
+    members = members.select("id", "block", F.col("_label").alias("label")).join(sizes.distinct(), "id")
     members = save(members, "block-members")
-    weights = members.groupBy("block").agg(F.count("*").alias("_rows"), F.sum("n").alias("_members"))
-    cells = F.greatest(F.ceil(F.col("_rows") / CELL_RECORDS), F.ceil(F.col("_members") / CELL_MEMBERS)).cast("int")
-    large = save(weights.select("block", cells.alias("cells")).filter("cells > 1"), "large-blocks")
-    parted = members.join(large.withColumnRenamed("block", "_block"), F.col("block") == F.col("_block"), "left")
-    # A record of cell i takes part in the units (i, j) of all cells j of its block.
-    cell = F.coalesce(F.pmod(F.xxhash64("id"), F.col("cells")).cast("int"), F.lit(0))
-    parted = parted.select("id", "block", cell.alias("cell"), F.coalesce("cells", F.lit(1)).alias("cells"))
-    parted = save(parted, "block-cells")
+    weights = members.groupBy("block").agg(_parts(F.count("*"), F.sum("n"), CELL_RECORDS).alias("cells"))
+    weighed = save(members.join(weights, "block"), "block-weights")
+    one = F.lit("0")
+    small = weighed.filter("cells = 1").select("block", one.alias("low"), one.alias("high"), one.alias("cell"), "id", "label")
+
+    large = weighed.filter("cells > 1").drop("cells")
+    counts = large.groupBy("block", "label").agg(F.count("*").alias("_rows"))
+    main = counts.groupBy("block").agg(F.max(F.struct("_rows", "label"))["label"].alias("_main"))
+    parted = large.join(main, "block").withColumn("main", F.col("label") == F.col("_main")).drop("_main")
+    parted = save(parted.withColumn("size", size_class(F.col("n"), percent)), "block-parts")
+    groups = parted.groupBy("block", "main", "size").agg(_parts(F.count("*"), F.sum("n"), CELL_RECORDS).alias("cells"))
+    groups = save(groups, "block-groups")
+    own = parted.join(groups, ["block", "main", "size"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("cells")))
+    near = F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1))
+    others = groups.select("block", F.col("main").alias("_main"), F.col("size").alias("_size"), F.col("cells").alias("_cells"))
+    met = own.withColumn("_size", near).join(others, ["block", "_size"]).filter("NOT (main AND _main)")
+    met = met.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_cells") - 1)))
+    cell = F.concat_ws("/", F.col("main").cast("string"), "size", "part")
+    other = F.concat_ws("/", F.col("_main").cast("string"), "_size", "_part")
+    low, high = F.least(cell, other).alias("low"), F.greatest(cell, other).alias("high")
+    return small.unionByName(met.select("block", low, high, cell.alias("cell"), "id", "label")).distinct()
+
+
+def unit_edges(docs: DataFrame, units: DataFrame, words: int, percent: int, name: str) -> DataFrame:
+    """(a, b): spanning edges, between labels, of the links within the units (block, low, high).
+
+    ``units``: (block, low, high, cell, id, label); a unit is one cell, or two of which only pairs across count.
+    Records of one label are known to be connected.
+    """
+    units = save(units, f"{name}-units")
     # The comparison lets Spark make a Bloom filter of the ids, see ``_filtered_scan``.
-    texts = docs.join(parted.filter("cells > 0"), F.col("doc_id") == F.col("id"))
-    texts = texts.select("block", "cell", "cells", "id", "text")
-    units = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1))).select(
-        "block",
-        F.least("cell", "other").alias("low"),
-        F.greatest("cell", "other").alias("high"),
-        "cell",
-        "id",
-        "text",
-    )
+    texts = docs.join(units.filter("low <= high"), F.col("doc_id") == F.col("id"))
+    texts = texts.select("block", "low", "high", "cell", "id", "label", "text")
 
     def linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         unit, rows = None, []
         for batch in batches:
             edges: list[tuple[int, int]] = []
-            columns = zip(*(batch[c] for c in ("block", "low", "high", "cell", "id", "text")))
-            for block, low, high, cell, own, text in columns:
+            columns = zip(*(batch[c] for c in ("block", "low", "high", "cell", "id", "label", "text")))
+            for block, low, high, cell, own, label, text in columns:
                 if (block, low, high) != unit:
                     edges += unit_links(unit, rows, percent)
                     unit, rows = (block, low, high), []
-                rows.append((int(own), int(cell), shingle_set(text, words)))
+                rows.append((int(label), cell, shingle_set(text, words)))
             yield pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
         yield pd.DataFrame(unit_links(unit, rows, percent), columns=["a", "b"], dtype="int64")
 
     # Units are spread by hash and lie one after the other within a partition.
-    spread = units.repartition("block", "low", "high").sortWithinPartitions("block", "low", "high", "id")
     with _filtered_scan(docs.sparkSession):
-        return save(spread.mapInPandas(linked, "a bigint, b bigint"), "block-links")
+        spread = texts.repartition("block", "low", "high").sortWithinPartitions("block", "low", "high", "id")
+        return save(spread.mapInPandas(linked, "a bigint, b bigint"), name)
 
 
 @contextmanager
@@ -250,24 +343,27 @@ def _filtered_scan(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-def unit_links(unit: tuple | None, rows: list[tuple[int, int, np.ndarray]], percent: int) -> list[tuple[int, int]]:
-    """Spanning edges among the records of a unit: within its cell, or between its two."""
+def unit_links(unit: tuple | None, rows: list[tuple[int, str, np.ndarray]], percent: int) -> list[tuple[int, int]]:
+    """Spanning edges between the labels of a unit's records (label, cell, set): within its cell, or between its two."""
     rows = [r for r in rows if len(r[2])]
-    if len(rows) < 2:
+    labels, sets = [r[0] for r in rows], [r[2] for r in rows]
+    first_of = {label: i for i, label in reversed(list(enumerate(labels)))}
+    if len(first_of) < 2:
         return []
-    ids, sets = [r[0] for r in rows], [r[2] for r in rows]
-    found = UnionFind(len(rows))
     if len(rows) == 2 and unit[1] == unit[2]:
         both = overlap(sets[0], sets[1])
-        return [(ids[0], ids[1])] if both >= least_overlap(len(sets[0]), len(sets[1]), percent) else []
-    place = np.array([r[1] for r in rows])
+        return [tuple(labels)] if both >= least_overlap(len(sets[0]), len(sets[1]), percent) else []
+    found = UnionFind(len(rows))
+    for i, label in enumerate(labels):
+        found.join(first_of[label], i)
     if unit[1] == unit[2]:
         link(sets, np.arange(len(rows)), None, percent, found)
     else:
-        first, second = np.flatnonzero(place == unit[1]), np.flatnonzero(place == unit[2])
-        if len(first) and len(second):
-            link(sets, first, second, percent, found)
-    return [(ids[i], ids[found.find(i)]) for i in range(len(rows)) if found.find(i) != i]
+        low = np.array([r[1] == unit[1] for r in rows])
+        if low.any() and not low.all():
+            link(sets, np.flatnonzero(low), np.flatnonzero(~low), percent, found)
+    ends = ((label, labels[found.find(i)]) for i, label in enumerate(labels))
+    return sorted({(a, b) for a, b in ends if a != b})
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 90, column: str = "text") -> DataFrame:
