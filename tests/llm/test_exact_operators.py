@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import struct
 from collections import Counter
 from itertools import combinations
 
@@ -252,6 +253,40 @@ def test_the_sessions_bound_on_records_cuts_no_archive(spark, tmp_path):
     assert warc.read_archives(spark, str(tmp_path / "archive")).count() == 40
 
 
+def test_archives_end_at_a_bound_of_bytes(spark, tmp_path):
+    r = random.Random(8)
+    texts = {k: "".join(chr(r.randrange(33, 126)) for _ in range(30_000 if k % 97 == 0 else r.randrange(400))) for k in range(900)}
+    pages = spark.createDataFrame([(k, "u", t) for k, t in texts.items()], "page_id bigint, url string, html string")
+    path = tmp_path / "archive"
+    warc.write_archives(pages.coalesce(1), str(path), archive_bytes=20_000)
+    files = [f.read_bytes() for f in path.glob("part-*")]
+    assert len(files) > 10
+    for data in files:  # each is read without the others, and is no longer than its bound and a record
+        magic, size = struct.unpack_from("<II", data)
+        assert magic == warc.DICTIONARY_FRAME
+        assert len(data) - 8 - size <= 20_000 + 31_000 + 8 * warc.ARCHIVE_ROWS
+        assert all(raw.startswith(b"WARC/1.1\r\n") for raw in warc.records_of(data))
+    found = warc.read_archives(spark, str(path), payloads=True).collect()
+    assert {r["page_id"]: (r["payload"] or b"").decode() for r in found if r["record_type"] == "response"} | {
+        r["page_id"]: texts[r["page_id"]] for r in found if r["record_type"] == "revisit"
+    } == texts
+    assert len(found) == 900
+
+
+def test_rows_of_an_archive():
+    for sizes in ([5] * 1000, [1000] * 300, [1] * 5000, [7, 1000, 3] * 200):
+        chunks, rows = warc.Chunks(b"H", 640), []
+        for n in sizes:
+            for out in chunks.add(b"x" * n):
+                rows += out
+        rows += chunks.rest()
+        assert sum(row.count(b"x") for row in rows) == sum(sizes)
+        for k in range(0, len(rows), warc.ARCHIVE_ROWS):
+            archive = rows[k : k + warc.ARCHIVE_ROWS]
+            assert archive[0].startswith(b"H") and b"".join(archive).count(b"H") == 1
+            assert sum(map(len, archive)) <= 640 + max(sizes) + 1
+
+
 def test_no_pages(spark):
     assert warc.archive_round_trip(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
 

@@ -9,6 +9,10 @@ empty skippable frame: eight bytes that every Zstandard reader passes over.  So
 task commits, retries after a lost executor and any Hadoop file system work as
 for other tables, and no record passes through the driver.
 
+An archive ends at a bound of bytes, as a reader takes a file whole.  The writer
+counts rows only: a row is a chunk of frames, every ``ARCHIVE_ROWS`` rows make a
+file, and an archive that is full earlier is filled up with empty rows.
+
 Records with equal payloads are told by their SHA-1; that with the largest page
 id keeps the payload as ``response``, the others are ``revisit`` records that
 name it.  Only (page id, digest) pairs are grouped, never the payloads.
@@ -47,6 +51,8 @@ DICTIONARY_BYTES = 65_536
 SAMPLE_RECORDS = 800
 SAMPLE_CHARS = 16_384
 LEVEL = 3
+ARCHIVE_BYTES = 64_000_000
+ARCHIVE_ROWS = 128
 DATE = "1970-01-01T00:00:00Z"
 RESULT = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
 _CONTROL = re.compile(r"[\x00-\x20\x7f]")
@@ -163,8 +169,11 @@ def with_originals(pages: DataFrame) -> DataFrame:
     return joined.select("page_id", "url", "payload", refers.alias("refers_to"))
 
 
-def write_archives(pages: DataFrame, path: str) -> None:
-    """Write a record per page below ``path``; one archive file per partition."""
+def write_archives(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES) -> None:
+    """Write a record per page below ``path``.
+
+    An archive file holds the dictionary and at most ``archive_bytes`` of records and one record more.
+    """
     spark = pages.sparkSession
     small_batches(spark)
     # At most SAMPLE_RECORDS payloads, cut to SAMPLE_CHARS, come to the driver: those of least hash.
@@ -177,30 +186,63 @@ def write_archives(pages: DataFrame, path: str) -> None:
         known = zstandard.ZstdCompressionDict(shared.value)
         known.precompute_compress(level=LEVEL)
         writer = zstandard.ZstdCompressor(level=LEVEL, dict_data=known, write_checksum=True)
-        opened = False
+        head = struct.pack("<II", DICTIONARY_FRAME, len(shared.value)) + shared.value
+        chunks = Chunks(head, archive_bytes)
         for batch in batches:
-            out = []
             for page_id, url, payload, refers in zip(*(batch[c] for c in ("page_id", "url", "payload", "refers_to"))):
                 raw = record(
                     None if pd.isna(page_id) else int(page_id), url, bytes(payload), None if pd.isna(refers) else int(refers)
                 )
-                out.append(writer.compress(raw))
-            if out and not opened:
-                out.insert(0, struct.pack("<II", DICTIONARY_FRAME, len(shared.value)) + shared.value)
-                opened = True
-            yield pd.DataFrame({"frame": out})
+                for rows in chunks.add(writer.compress(raw)):
+                    yield pd.DataFrame({"frame": rows})
+        yield pd.DataFrame({"frame": chunks.rest()}, dtype=object)
 
     # Ids as text: a column of ids with a null would reach pandas as floats.
     whole = with_originals(pages).withColumns({c: F.col(c).cast("string") for c in ("page_id", "refers_to")})
     written = whole.mapInPandas(frames, "frame binary").select(F.col("frame").cast("string").alias("value"))
-    # A file of its own would lack the dictionary: the session's bound on records a file does not hold here.
-    written.write.option("lineSep", EMPTY_FRAME.decode()).option("maxRecordsPerFile", 0).text(path)
+    # Rows reach the writer in the order of ``frames``, so each file begins with the row that holds a dictionary.
+    written.write.option("lineSep", EMPTY_FRAME.decode()).option("maxRecordsPerFile", ARCHIVE_ROWS).text(path)
+
+
+class Chunks:
+    """Frames in rows of about ``archive_bytes * 2 / ARCHIVE_ROWS``; every ARCHIVE_ROWS rows are an archive."""
+
+    def __init__(self, head: bytes, archive_bytes: int):
+        self.head, self.archive_bytes = head, archive_bytes
+        self.row_bytes = archive_bytes * 2 // ARCHIVE_ROWS
+        self.rows, self.written = 0, 0
+        self.frames: list[bytes] = []
+        self.waiting = 0
+
+    def _row(self) -> bytes:
+        row = b"".join([self.head, *self.frames] if self.rows == 0 else self.frames)
+        self.written += self.waiting
+        self.rows = (self.rows + 1) % ARCHIVE_ROWS
+        self.frames, self.waiting = [], 0
+        return row
+
+    def add(self, frame: bytes) -> Iterator[list[bytes]]:
+        """Rows that are complete with this frame."""
+        self.frames.append(frame)
+        self.waiting += len(frame)
+        full = self.written + self.waiting >= self.archive_bytes
+        if full or self.waiting >= self.row_bytes:
+            out = [self._row()]
+            if full:  # empty rows to the end of this archive
+                out += [b""] * (-self.rows % ARCHIVE_ROWS)
+                self.rows = 0
+            if self.rows == 0:
+                self.written = 0
+            yield out
+
+    def rest(self) -> list[bytes]:
+        return [self._row()] if self.frames else []
 
 
 def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
     """Every record below ``path``; with ``payloads`` also the url and the payload of responses.
 
-    A file is one row of the reader.
+    A file is one row of the reader, of as many bytes as its writer let it have.
     """
     small_batches(spark)  # Spark cuts a batch by its bytes as well, after a file or a few
     schema = RESULT + (", url string, payload binary" if payloads else "")
