@@ -101,11 +101,14 @@ def overhead_by_label(counts: DataFrame) -> DataFrame:
 
 def protect_stats(nodes: DataFrame, edges: DataFrame, counts: DataFrame) -> DataFrame:
     """One row: encrypted elements, real and dummy index entries, storage ratio, labels."""
+    return protect_stats_of(nodes.agg(F.count(F.lit(1))).scalar(), edges.agg(F.count(F.lit(1))).scalar(), counts)
+
+
+def protect_stats_of(n_nodes: Column, n_edges: Column, counts: DataFrame) -> DataFrame:
+    """``protect_stats`` where nodes and edges are counted already."""
     pads = pad_table(counts, "label").agg(
         F.sum("r").alias("total_real"), F.sum("dummies").alias("total_dummy"), F.count(F.lit(1)).alias("num_labels")
     )
-    n_nodes = nodes.agg(F.count(F.lit(1))).scalar()
-    n_edges = edges.agg(F.count(F.lit(1))).scalar()
     ratio = (F.col("total_real") + F.col("total_dummy")) / F.greatest(F.col("total_real"), F.lit(1))
     return pads.select(
         n_nodes.alias("enc_nodes"), n_edges.alias("enc_edges"), "total_real", "total_dummy",

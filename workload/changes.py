@@ -32,11 +32,13 @@ from veilgraph.plans.report import (
     order_by_metric,
     overall_mean_by_scheme,
 )
+from veilgraph.plans.counters import counters_of, graph_stats_of, update_counters
 from veilgraph.plans.sync import (
     State,
     adjacency_changed,
     added,
     changes,
+    edge_changes,
     rebuild_adjacency,
     relabelled,
     removed,
@@ -245,6 +247,25 @@ def sync_summary_query(w):
     return sync_summary(w.nodes, w.edges, *snapshot(w))
 
 
+@query("graph_stats_after_sync", graph_sql("""
+SELECT 'nodes' AS stat, count(*)::DOUBLE AS value FROM next_nodes UNION ALL SELECT 'edges', count(*)::DOUBLE FROM next_edges
+UNION ALL SELECT 'max_degree', max(d)::DOUBLE FROM next_degrees
+UNION ALL SELECT 'avg_degree', round(sum(d) / count(*)::DOUBLE, 2) FROM next_degrees
+UNION ALL SELECT 'labels', count(*)::DOUBLE FROM next_counts
+UNION ALL SELECT 'label:' || label, r::DOUBLE FROM next_counts""", NEXT + """, next_degrees AS (
+  SELECT n.id, count(e.id) AS d FROM next_nodes n
+  LEFT JOIN (SELECT u AS id FROM next_edges UNION ALL SELECT v FROM next_edges) e ON n.id = e.id GROUP BY n.id),
+next_counts AS (SELECT label, count(*) AS r FROM
+  (SELECT label FROM next_nodes UNION ALL SELECT label FROM next_edges) GROUP BY label)"""))
+def graph_stats_after_sync(w):
+    """Sizes, degrees and elements per label after a snapshot, from the counters before it and the changes alone."""
+    before = counters_of(w.nodes, w.edges)
+    nodes, edges = snapshot(w)
+    node_changes = save(changes(w.nodes, nodes, ["id"]), "node-changes")
+    found = save(edge_changes(w.edges, edges, node_changes, nodes), "edge-changes")
+    return graph_stats_of(update_counters(before, node_changes, found))
+
+
 @query("sync_apply", graph_sql(f"""
 SELECT 'node' AS part, label, count(*) AS n FROM next_nodes GROUP BY label
 UNION ALL SELECT 'edge', label, count(*) FROM next_edges GROUP BY label
