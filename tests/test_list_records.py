@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
-from veilgraph.functions.crypto import unseal
+from veilgraph.functions.crypto import seal, unseal
 from veilgraph.operators.adjacency import expand_lists
 from veilgraph.operators.protect import open_lists, protect_adjacency
 
@@ -27,3 +27,9 @@ def test_lists_come_back_whole_and_in_order(lists, keys):
     wanted = lists.select(F.col("id").alias("node_id"), "piece", "nbrs").withColumn("nbrs", F.array_sort("nbrs"))
     assert rows(opened) == rows(wanted)
     assert expand_lists(opened).count() == 6
+
+
+def test_blobs_of_older_stores_are_read(lists, keys):
+    record = F.to_json(F.struct("id", "piece", "nbrs"))
+    old = lists.select(F.col("id").alias("node_id"), "piece", seal(record, keys.content).alias("adj_ct"))
+    assert rows(open_lists(old, keys)) == rows(open_lists(protect_adjacency(lists, keys), keys))
