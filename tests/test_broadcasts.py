@@ -1,10 +1,15 @@
 """What the driver collects for a broadcast is bounded by rows in memory, not by the bytes of a file or a planner's guess."""
 
+import re
+
 from pyspark.sql import functions as F
 
-from conftest import rows
+from conftest import LOW_CUTOFFS, pairs_of, rows
 from veilgraph.operators import padding
+from veilgraph.operators.graph import build_graph
 from veilgraph.operators.padding import decoy_window, few_decoy_windows
+from veilgraph.operators.protect import build_store
+from veilgraph.plans import labels
 from veilgraph.runtime import save
 
 
@@ -38,3 +43,20 @@ def test_a_store_shorter_than_its_windows(spark):
     low, high, reads = pads.agg(*padding.window_bounds(3), F.sum("p_r")).first()
     found = few_decoy_windows(pads, "key", store, 3, low, high, reads).select("key", "node_id")
     assert rows(found) == rows(decoy_window(pads, "key", store, 3).select("key", "node_id"))
+
+
+def test_lists_read_again_are_decrypted_and_not_parsed(spark, keys, monkeypatch):
+    star = [(0, i) for i in range(1, 41)] + [(1, 2), (2, 3)]
+    graph = build_graph(pairs_of(spark, star), LOW_CUTOFFS)
+    store = build_store(graph, keys, list_rows=16)
+    real, parsed = labels.open_lists, []
+    monkeypatch.setattr(labels, "open_lists", lambda blobs, keys: parsed.append(blobs.count()) or real(blobs, keys))
+    found = labels.node_degree_padded(graph.nodes.select("id"), store, keys)
+    assert {r.id: (r.degree, r.p_r, r.scanned) for r in found.collect()} == {
+        r.id: (r.degree, 2 * r.degree, 2 * r.degree) for r in graph.nodes.collect()
+    }
+    lists = store.adjacency.count()
+    # Round 0 reads the pieces below the doubled degree, which are all of them.
+    assert parsed == [lists, lists]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"count\(.*aesDecrypt.*\) AS scanned", plan), plan
