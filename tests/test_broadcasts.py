@@ -5,6 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from conftest import LOW_CUTOFFS, pairs_of, rows
+from veilgraph import runtime
 from veilgraph.operators import padding
 from veilgraph.operators.graph import build_graph
 from veilgraph.operators.padding import decoy_window, few_decoy_windows
@@ -13,6 +14,27 @@ from veilgraph.plans import labels
 from veilgraph.runtime import save
 
 
+def test_a_short_file_of_many_ids_is_not_broadcast(spark, tmp_path):
+    session = spark.newSession()
+    ids = F.col("id") * 7919 + 5_000_000_000
+    session.range(600_000).select(ids.alias("id"), F.lit("Inactive").alias("label")).write.parquet(str(tmp_path / "nodes"), compression="zstd")
+    session.range(1_200_000).select(ids.alias("id")).write.parquet(str(tmp_path / "long"), compression="zstd")
+    runtime.fit_partitions(session, str(tmp_path / "nodes"))
+    nodes, long = (session.read.parquet(str(tmp_path / name)) for name in ("nodes", "long"))
+    session.conf.set("spark.sql.autoBroadcastJoinThreshold", "4m")
+    joined = long.join(nodes.select("id"), "id")
+    assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert joined.count() == 600_000
+
+
+def test_the_users_estimate_stays(spark, tmp_path):
+    session = spark.newSession()
+    session.conf.set("spark.sql.sources.fileCompressionFactor", "3.0")
+    (tmp_path / "table.parquet").write_bytes(b"x")
+    runtime.fit_partitions(session, str(tmp_path / "table.parquet"))
+    assert session.conf.get("spark.sql.sources.fileCompressionFactor") == "3.0"
+
+
 def _pads(spark, dummies):
     data = [(f"k{i}", 5, 5 + d, d) for i, d in enumerate(dummies)]
     return save(spark.createDataFrame(data, "key string, r bigint, p_r bigint, dummies bigint"), "pads")

@@ -59,3 +59,21 @@ def test_entries_are_short_of_one_length_and_come_back(spark, keys):
     assert len(lengths) == 1 and lengths.pop() <= 12 + 16 + len('{"kind":"e","u":,"v":}') + 2 * 10
     found = open_entries(index.entries, keys).select("kind", "id", "u", "v")
     assert rows(found) == rows(histogram.drop("label"))
+
+
+def test_entries_of_large_numbers_are_short(spark, keys):
+    edges = spark.createDataFrame([(FIRST + i, 5 * FIRST + i, "BROADCAST") for i in range(3000)], "u bigint, v bigint, label string")
+    nodes = spark.createDataFrame([(k, "Inactive") for k in (0, 6 * FIRST, -(2**63), 2**63 - 1, None)], "id bigint, label string")
+    for histogram, most in ((label_histogram(nodes.limit(0), edges), 34), (label_histogram(nodes, edges), 34)):
+        index = build_label_index(histogram, keys)
+        lengths = {r[0] for r in index.entries.select(F.length("ct")).collect()}
+        assert len(lengths) == 1 and lengths.pop() <= 12 + 16 + most
+        assert rows(open_entries(index.entries, keys).select("kind", "id", "u", "v")) == rows(histogram.drop("label"))
+
+
+def test_entries_of_older_indexes_are_read(spark, keys):
+    schema = "kind string, id bigint, u bigint, v bigint, pad string"
+    data = [("v", 7, None, None, None), ("e", None, -3, 9, None), ("d", None, None, None, "__dummy_0__a")]
+    old = spark.createDataFrame(data, schema)
+    sealed = old.select(seal(F.to_json(F.struct(*old.columns)), keys.index).alias("ct"))
+    assert rows(open_entries(sealed, keys)) == rows(old.filter("kind != 'd'").drop("pad"))

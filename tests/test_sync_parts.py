@@ -112,3 +112,15 @@ def test_history_is_merged(spark, keys, state, tmp_path, monkeypatch):
     again = sync_stream.sync_history(spark, f"{root}/state").orderBy("batch_id").collect()
     assert [tuple(r) for r in again] == [tuple(r) for r in found]
     assert rows(read_state(spark, newest).edges.select("u", "v")) == rows(state.edges.select("u", "v"))
+
+
+def test_the_index_of_a_state_is_written_once(spark, keys, state, tmp_path, monkeypatch):
+    old = write_state(state, str(tmp_path / "one"))
+    from veilgraph.operators import index as index_module
+
+    real, saved = index_module.save, []
+    monkeypatch.setattr(index_module, "save", lambda df, name, *more: saved.append((name, df.columns)) or real(df, name, *more))
+    edges = state.edges.filter("NOT (u = 20 AND v = 21)")
+    new, _ = sync_apply(old, state.nodes, edges, keys, str(tmp_path / "two"))
+    assert saved and not [name for name, columns in saved if "ct" in columns]
+    _check(new, keys, state.nodes, edges)
