@@ -42,12 +42,13 @@ def write_protected(store: Store, index: LabelIndex, path: str, dataset_id: str)
     """Replace one dataset of the protected tables under ``path``; others stay.
 
     A dataset has its tables, bucketed as in ``store``, the index with a directory per token, and their layout.
+    A store and an index that were never written (``seal_store``, ``label_index_rows``) are sealed where they are written here.
     """
     target = _dataset(path, dataset_id)
     if store.path == target:
         raise ValueError("a store is not written over itself")
     spark = store.nodes.sparkSession
-    return write_store(store, target, store_layout(spark, store.path)), write_index(index, target)
+    return write_store(store, target, store.layout or store_layout(spark, store.path)), write_index(index, target)
 
 
 def read_protected(spark: SparkSession, path: str, dataset_id: str) -> tuple[Store, LabelIndex]:
